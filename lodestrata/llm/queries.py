@@ -1,8 +1,10 @@
 """The queries of this subpackage's operators and, where SQL can express them, their DuckDB equivalents."""
 
 from .quality import op8_quality_rules
+from .simhash import op9_simhash
 
 QUERIES = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
