@@ -9,10 +9,12 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The characters that part words (fixed by the operators' contracts).
 SPACES = " \t\n\r\x0b\x0c"
@@ -119,3 +121,17 @@ def fields(text: str) -> T.StructType:
     """A schema from "name type, ..." of simple types; needs no session, so UDFs can be module-level."""
     kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in map(str.split, text.split(", "))])
+
+
+def map_rows(df: DataFrame, fn, schema: T.StructType, rows: int = 512) -> DataFrame:
+    """fn over df in slices of up to `rows` rows: it gets each column as a list and returns the
+    columns of schema as lists (of any common length)."""
+    arrow = to_arrow_schema(schema)
+
+    def over(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                out = fn(*(c.to_pylist() for c in batch.slice(at, rows).columns))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types)], schema=arrow)
+
+    return df.mapInArrow(over, schema)
