@@ -1,10 +1,12 @@
 """The queries of this subpackage's operators and, where SQL can express them, their DuckDB equivalents."""
 
 from .media import op3_media_columns
+from .packing import op2_best_fit_packing
 from .quality import op8_quality_rules
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_media_columns": op3_media_columns,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
