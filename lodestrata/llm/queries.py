@@ -1,11 +1,13 @@
 """The queries of this subpackage's operators and, where SQL can express them, their DuckDB equivalents."""
 
+from .bpe import op4_byte_level_bpe
 from .media import op3_media_columns
 from .packing import op2_best_fit_packing
 from .quality import op8_quality_rules
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op4_byte_level_bpe": op4_byte_level_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_media_columns": op3_media_columns,
     "op8_quality_rules": op8_quality_rules,
