@@ -5,12 +5,14 @@ from .media import op3_media_columns
 from .packing import op2_best_fit_packing
 from .quality import op8_quality_rules
 from .simhash import op9_simhash
+from .substrings import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_media_columns": op3_media_columns,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
