@@ -3,6 +3,7 @@
 from .bpe import op4_byte_level_bpe
 from .media import op3_media_columns
 from .packing import op2_best_fit_packing
+from .pii import op6_pii_pseudonyms
 from .quality import op8_quality_rules
 from .simhash import op9_simhash
 from .substrings import OP1_SQL, op1_substring_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_media_columns": op3_media_columns,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
 }
