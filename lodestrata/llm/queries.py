@@ -1,6 +1,7 @@
 """The queries of this subpackage's operators and, where SQL can express them, their DuckDB equivalents."""
 
 from .bpe import op4_byte_level_bpe
+from .licenses import op5_license_scan
 from .media import op3_media_columns
 from .packing import op2_best_fit_packing
 from .pii import op6_pii_pseudonyms
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_media_columns": op3_media_columns,
+    "op5_license_scan": op5_license_scan,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
