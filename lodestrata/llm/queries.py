@@ -8,6 +8,7 @@ from .pii import op6_pii_pseudonyms
 from .quality import op8_quality_rules
 from .simhash import op9_simhash
 from .substrings import OP1_SQL, op1_substring_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
