@@ -2,6 +2,7 @@
 
 from .bpe import op4_byte_level_bpe
 from .licenses import op5_license_scan
+from .lm import op7_lm_score
 from .media import op3_media_columns
 from .packing import op2_best_fit_packing
 from .pii import op6_pii_pseudonyms
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op5_license_scan": op5_license_scan,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
+    "op7_lm_score": op7_lm_score,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
