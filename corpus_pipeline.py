@@ -1,20 +1,57 @@
-"""The corpus pipeline: each stage takes what its predecessor kept."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing.
+
+Each stage takes what its predecessor kept, as documents; the last one gives the packed pieces. A
+stage's result is written as Parquet and read again, so a lost executor costs no earlier stage.
+Nulls, empty texts, repeated rows and empty tables: see the operators, whose rules hold here."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import quality
+from lodestrata.llm import packing, pii, quality, simhash, substrings
 from lodestrata.llm.common import store, table
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now, where documents have that column."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
-#: Not expressible in SQL: the label model, fingerprints and tokens.
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that repeat an earlier passage go; the rest of a text stays as it is."""
+    return _counted(substrings.strip_repeats(docs))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes pseudonyms."""
+    return _counted(pii.mask(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents with their sequence and place."""
+    return packing.best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("pii_pseudonyms", pii_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: Not expressible in SQL: the label model, fingerprints and tokens. tests/llm compares run() with plain Python.
 ORACLE_SQL = None
 
 

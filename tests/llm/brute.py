@@ -32,3 +32,17 @@ def components(ids, fps, bits=2):
     for i, d in enumerate(ids):
         least[find(i)] = min(least.get(find(i), d), d)
     return [least[find(i)] for i in range(len(ids))]
+
+
+def removed_words(docs, window):
+    """Numbers of the words that a window seen earlier covers, for each id of (id, text) rows."""
+    seen, gone = {}, {}
+    words = {d: (t or "").encode().split() for d, t in docs}
+    for d in sorted(words):
+        gone[d] = set()
+        for s in range(len(words[d]) - window + 1):
+            key = tuple(words[d][s : s + window])
+            if key in seen:
+                gone[d] |= set(range(s, s + window))
+            seen.setdefault(key, (d, s))
+    return gone
