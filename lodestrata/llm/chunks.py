@@ -13,22 +13,29 @@ class Chunks:
     """of(text) gives what make(chunk) returned for each chunk of the text, in order. Results are kept
     for up to `most` distinct chunks, then afresh."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 1_000_000):
         self.make, self.most = make, most
         self.first: dict = {}
         self.rest: dict = {}
 
     def _get(self, known: dict, chunks: list, lead: str) -> list:
-        out = list(map(known.get, chunks))
-        if None in out:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
+        out, missing, k = list(map(known.get, chunks)), [], -1
+        try:
+            while True:
+                k = out.index(None, k + 1)
+                missing.append(k)
+        except ValueError:
+            pass
+        if missing:
+            new = list(dict.fromkeys([chunks[k] for k in missing]))
             if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
                 return []
-            if len(known) + len(new) > self.most:
+            made = dict(zip(new, self.make([lead + c for c in new])))
+            for k in missing:
+                out[k] = made[chunks[k]]
+            if len(known) > self.most:
                 known.clear()
-                new = list(dict.fromkeys(chunks))
-            known.update(zip(new, self.make([lead + c for c in new])))
-            out = list(map(known.get, chunks))
+            known.update(made)
         return out
 
     def of(self, text: str) -> list:

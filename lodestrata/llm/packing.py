@@ -19,6 +19,7 @@ repeated rows are packed each. An empty table gives no sequences. Other columns
 from __future__ import annotations
 
 import json
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -36,25 +37,46 @@ CAPACITY, END_ID = 1024, 2
 _tokenizers: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for the
+    characters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def _chunked(spec: str) -> Chunks:
-    """The tokenizer of a tokenizers JSON file, by chunks where its pre-tokenizer allows; each chunk
-    gives its ids as bytes. One for each Python worker."""
+    """The tokenizer of a tokenizers JSON file, each chunk giving its ids as bytes; one for each Python
+    worker. For byte-level BPE without a normalizer, chunks are split by the pattern and each distinct
+    match goes to the model alone; other tokenizers get whole texts."""
     if spec not in _tokenizers:
+        import regex
         from tokenizers import Tokenizer
 
         plan, tokenizer = json.loads(spec), Tokenizer.from_str(spec)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        before = plan.get("pre_tokenizer") or {}
-        free = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not plan.get("normalizer")
+        before, model = plan.get("pre_tokenizer") or {}, tokenizer.model
+        letters, split, known = str.maketrans(_byte_letters()), regex.compile(public_tokenizers.PATTERN).findall, {}
 
-        def make(texts):
+        def ids_of(match):
+            if match not in known:
+                if len(known) > 400_000:
+                    known.clear()
+                known[match] = array("I", [t.id for t in model.tokenize(match.encode().decode("latin-1").translate(letters))]).tobytes()
+            return known[match]
+
+        def by_match(texts):
+            return [b"".join(map(ids_of, split(t))) for t in texts]
+
+        def whole(texts):
             return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
 
-        _tokenizers[spec] = Chunks(make)
+        free = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not plan.get("normalizer")
+        _tokenizers[spec] = Chunks(by_match if free else whole)
         if not free:
-            _tokenizers[spec].of = lambda text: make([text])
+            _tokenizers[spec].of = lambda text: whole([text])
     return _tokenizers[spec]
 
 
