@@ -114,6 +114,9 @@ def viterbi(stretch: str, model: np.ndarray) -> str:
     return max(best.values())[1].rstrip(" ")
 
 
+_SIGNS = {"-", ".", "_", "*"}
+
+
 class Restorer:
     """Suspicious stretches become their readings; each distinct token is read once."""
 
@@ -140,8 +143,11 @@ class Restorer:
         return self.known[token]
 
     def gaps(self, text: str, tokens) -> str:
-        """The text with its spaced letters drawn together, if at least three tokens are one letter."""
-        return SPACED.sub(self._spaced, text) if sum(n for t, n in tokens.items() if len(t) == 1) > 2 else text
+        """The text with its spaced letters drawn together, if three tokens of one letter follow each other."""
+        single = {t for t in tokens if len(t) < 3 and sum(map(str.isalnum, t)) == 1}
+        if len(single) and sum(map(tokens.__getitem__, single)) > 2 and b"\1\1\1" in bytes(map((single | _SIGNS).__contains__, text.split())):
+            return SPACED.sub(self._spaced, text)
+        return text
 
     def __call__(self, text: str) -> str:
         return re.sub(r"\S+", lambda m: self.token(m[0]), self.gaps(text, Counter(text.split())))
@@ -161,8 +167,16 @@ def levels(n: int, n_words: int) -> list[int]:
     return [1, *[k for k, least in ((2, 2), (3, 4)) if n >= least], *[k for k, one_in in ((4, 150), (5, 40)) if n * one_in >= n_words]]
 
 
-def _id(unit: str, level: int) -> int:
-    return zlib.crc32(f"{level}{unit}".encode())
+def head_of(word: str) -> int:
+    """A hash of the three letters that all units of a word begin with."""
+    return (zlib.crc32(word[:3].encode()) & 0xFFFF) << 35
+
+
+def bases_of(word: str) -> tuple[int, ...]:
+    """A number for each of a word's units: the hash of the word's head, that of the unit, and three bits
+    for the level, which make it a feature."""
+    head = head_of(word)
+    return tuple(head | zlib.crc32(u.encode()) << 3 for u in units_of(word))
 
 
 def _words(text: str, restore: Restorer) -> Counter:
@@ -176,12 +190,17 @@ def _words(text: str, restore: Restorer) -> Counter:
     return words
 
 
-def _all_features(words: Counter) -> list[int]:
+def _all_features(words: Counter, known: dict) -> list[int]:
     total, units = sum(words.values()), Counter()
+    if len(known) > 200_000:
+        known.clear()
     for w, n in words.items():
-        for u in units_of(w):
+        own = known.get(w)
+        if own is None:
+            own = known[w] = bases_of(w)
+        for u in own:
             units[u] += n
-    return [_id(u, k) for u, n in units.items() for k in levels(n, total)]
+    return [u | k for u, n in units.items() for k in levels(n, total)]
 
 
 class Scorer:
@@ -189,14 +208,16 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[int, float], bias: float):
         self.restore, self.weights, self.bias, self.known = Restorer(model), weights, bias, {}
+        self.bases = {f & ~7 for f in weights}
+        self.heads = {f >> 35 << 35 for f in weights}
 
     def _units(self, token: str) -> tuple[tuple, int]:
         """A token's units that any chosen feature has, and its number of words."""
         if token not in self.known:
-            if len(self.known) > 300_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             words = _WORD.findall(self.restore.token(token).lower())
-            self.known[token] = tuple(u for w in words for u in units_of(w) if any(_id(u, k) in self.weights for k in range(1, 6))), len(words)
+            self.known[token] = tuple(u for w in words if head_of(w) in self.heads for u in bases_of(w) if u in self.bases), len(words)
         return self.known[token]
 
     def features(self, text: str | None) -> list[int]:
@@ -210,7 +231,7 @@ class Scorer:
             total += n * words
             for u in own:
                 units[u] += n
-        return [f for u, n in units.items() for k in levels(n, total) if (f := _id(u, k)) in self.weights]
+        return [f for u, n in units.items() for k in levels(n, total) if (f := u | k) in self.weights]
 
     def __call__(self, text: str | None) -> float:
         if not self.weights:
@@ -248,14 +269,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts = docs.select(doc_id, text).join(F.broadcast(picked), doc_id).select("y", text)
 
     def look(ys, all_texts):
-        restore = Restorer(model)
-        return ys, [pack(np.unique(np.array(_all_features(_words(t or "", restore)), np.uint32))) for t in all_texts]
+        restore, known = Restorer(model), {}
+        return ys, [pack(np.unique(np.array(_all_features(_words(t or "", restore), known), np.int64))) for t in all_texts]
 
     found = store(map_rows(texts.withColumn("y", F.col("y").cast("int")), look, fields("y int, features binary")), "labelled")
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def opened(blobs: pd.Series) -> pd.Series:
-        return pd.Series([unpack(b)[0].astype(np.int64) for b in blobs], dtype=object)
+        return pd.Series([unpack(b)[0] for b in blobs], dtype=object)
 
     n, toxic = found.agg(F.count("*"), F.sum("y")).first()
     if not toxic:
@@ -270,10 +291,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return model, {}, 0.0
 
     def keep(ys, blobs):
-        wanted = np.array(sorted(names), np.uint32)
+        wanted = np.array(sorted(names), np.int64)
         return ys, [pack(np.intersect1d(unpack(b)[0], wanted)) for b in blobs]
 
-    rows = [(r[0], unpack(r[1])[0].tolist()) for r in map_rows(found, keep, fields("y int, features binary")).orderBy("y", "features").collect()]  # at most about SAMPLE
+    rows = sorted((r[0], unpack(r[1])[0].tolist()) for r in map_rows(found, keep, fields("y int, features binary")).collect())  # at most about SAMPLE
     return model, *logistic(rows)
 
 
