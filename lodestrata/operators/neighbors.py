@@ -60,6 +60,36 @@ def stencil(binned: DataFrame) -> DataFrame:
     return binned
 
 
+def _displaced(both: DataFrame) -> DataFrame:
+    """both with dx, dy, dz, r2. The generator keeps the optimizer from writing the displacement out
+    again for each use of it in the join's condition."""
+    off = [F.col(f"js{k}") - F.col(f"s{k}") for k in range(3)]
+    moved = G.cartesian([s - F.rint(s) for s in off])
+    plain = [F.col(f"j{a}") - F.col(a) for a in "xyz"]
+    d = F.struct(*(F.when(F.col("pbc"), m).otherwise(p).alias(f"d{a}") for m, p, a in zip(moved, plain, "xyz")))
+    found = both.select("config_id", "atom_id", "j_id", "type", "j_type", F.inline(F.array(d)))
+    return found.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+
+
+def _within(both: DataFrame, cutoff: float, lowest: float | None) -> DataFrame:
+    found = _displaced(both)
+    found = found.filter(F.col("r2") < cutoff * cutoff)
+    if lowest is not None:
+        found = found.filter(F.col("r2") > lowest)
+    return found.select("config_id", F.col("atom_id").alias("i"), F.col("j_id").alias("j"), F.col("type").alias("ti"), F.col("j_type").alias("tj"), "dx", "dy", "dz", "r2")
+
+
+def _displaced(both: DataFrame) -> DataFrame:
+    """both with dx, dy, dz, r2. The generator keeps the optimizer from writing the displacement out
+    again for each use of it in the join's condition."""
+    off = [F.col(f"js{k}") - F.col(f"s{k}") for k in range(3)]
+    moved = G.cartesian([s - F.rint(s) for s in off])
+    plain = [F.col(f"j{a}") - F.col(a) for a in "xyz"]
+    d = F.struct(*(F.when(F.col("pbc"), m).otherwise(p).alias(f"d{a}") for m, p, a in zip(moved, plain, "xyz")))
+    found = both.select("config_id", "atom_id", "j_id", "type", "j_type", F.inline(F.array(d)))
+    return found.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+
+
 def _within(both: DataFrame, cutoff: float, lowest: float | None) -> DataFrame:
     found = _displaced(both)
     found = found.filter(F.col("r2") < cutoff * cutoff)
@@ -69,7 +99,7 @@ def _within(both: DataFrame, cutoff: float, lowest: float | None) -> DataFrame:
 
 
 def _partners(atoms: DataFrame, *keys: str) -> DataFrame:
-    return atoms.select("config_id", *keys, F.col("atom_id").alias("j_id"), F.col("type").alias("j_type"), *(F.col(a).alias(f"j{a}") for a in "xyz"))
+    return atoms.select("config_id", *keys, F.col("atom_id").alias("j_id"), F.col("type").alias("j_type"), *(F.col(a).alias(f"j{a}") for a in ("x", "y", "z", "s0", "s1", "s2")))
 
 
 def cell_list_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False) -> DataFrame:
