@@ -46,6 +46,8 @@ CLASSES = TOP // IN_CLASS + TAILS
 LANES, STEPS, WARM, LONGEST = 512, 16, 1_000_000, 512
 #: Tokens held at once in a task, about.
 HELD = 6_000_000
+#: Rows in which sums over tasks or buckets reach the driver.
+FEW = 16
 END = b" "  # no word has a space
 BLOCK, WORDS, VOCABULARY = 0, 1, 2
 BLOCK_WORDS = 1 << 21
@@ -135,7 +137,8 @@ def counted(docs: DataFrame) -> DataFrame:
                 total[w] = total.get(w, 0) + k
         names = rows.column("block").to_pylist()
         made = [(BLOCK, b, bucket, pack(np.fromiter(map(total.__getitem__, p), np.int64, len(p)))) for b, p in zip(names, parts)]
-        most = heapq.nsmallest(TOP, ((-n, w) for w, n in total.items() if n))
+        end = [(-total[END], END)] if total.get(END) else []  # the end is kept, however rare
+        most = heapq.nsmallest(TOP, ((-n, w) for w, n in total.items() if n and w != END)) + end
         masses = np.bincount([tail_class(w) for w in total], [n + 0.5 if n else 0.0 for n in total.values()], TAILS)
         known = np.array([sum(total.values()), sum(map(bool, total.values()))], np.int64)
         made.append((VOCABULARY, bucket, bucket, pack(known, masses, np.array([-n for n, _ in most], np.int64), *pack_words([w for _, w in most]))))
@@ -169,6 +172,24 @@ def counted(docs: DataFrame) -> DataFrame:
     return blocks.groupBy("kind", "key").cogroup(found.groupBy("kind", "key")).applyInArrow(put_together, out)
 
 
+def merged(vocabulary: DataFrame, groups: int) -> DataFrame:
+    """Vocabulary rows (at, payload) of equal at as one: totals and masses added, the TOP most frequent words."""
+    schema = fields("at long, payload binary")
+
+    def merge(key, rows):
+        known, masses, words = np.zeros(2, np.int64), np.zeros(TAILS), {}
+        for blob in rows.column("payload"):
+            k, m, n, lengths, raw = unpack(blob.as_py())
+            known, masses = known + k, masses + m
+            words |= dict(zip(unpack_words(lengths, raw), n.tolist()))  # a word is in one bucket
+        end = words.pop(END, 0)
+        most = heapq.nsmallest(TOP, ((-n, w) for w, n in words.items())) + [(-end, END)] * bool(end)
+        blob = pack(known, masses, np.array([-n for n, _ in most], np.int64), *pack_words([w for _, w in most]))
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([blob], pa.binary())], names=schema.names)
+
+    return vocabulary.withColumn("at", F.col("at") % groups).groupBy("at").applyInArrow(merge, schema)
+
+
 class Vocabulary:
     """Totals N and V, the top words with their counts, and the training mass of each tail class."""
 
@@ -425,7 +446,8 @@ def _trained(docs: DataFrame, codes: dict, start: np.ndarray, rate: float) -> tu
         total = sum(np.frombuffer(b.as_py(), np.float64) for b in rows.column("weights"))
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([sum(rows.column("n").to_pylist())]), pa.array([total.tobytes()], pa.binary())], names=schema.names)
 
-    parts = docs.mapInArrow(learn, schema).groupBy("at").applyInArrow(add, schema).collect()  # at most `groups` rows
+    parts = docs.mapInArrow(learn, schema).groupBy("at").applyInArrow(add, schema)
+    parts = parts.withColumn("at", F.col("at") % FEW).groupBy("at").applyInArrow(add, schema).collect()  # at most FEW rows
     total = sum(r["n"] for r in parts)
     return (sum(np.frombuffer(r["weights"], np.float64) for r in parts) / total if parts else start), total
 
@@ -474,7 +496,8 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.col(text).alias("text"))
     counts = store(counted(keyed), "counts")
-    vocabulary = Vocabulary([r[0] for r in counts.filter(F.col("kind") == VOCABULARY).select("payload").collect()])
+    rows = counts.filter(F.col("kind") == VOCABULARY).select(F.pmod(F.xxhash64("payload"), F.lit(1 << 30)).alias("at"), "payload")
+    vocabulary = Vocabulary([r["payload"] for r in merged(merged(rows, buckets_of(docs.sparkSession)), FEW).collect()])  # at most FEW rows
     held = F.pmod(id_crc("id"), F.lit(FOLDS)) == HELD_OUT
     weights = train(keyed.filter(~held).select("id", "text"), vocabulary, vocabulary.total)
     found = score(keyed, weights, vocabulary)
