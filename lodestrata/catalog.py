@@ -886,9 +886,9 @@ _L4 = A0 * _PHONON
 _FC = Q.eam(_PH_ATOMS, _PH_CELLS) + f""", fc as (
   select axis as a, b, atom_id, -(sum(case when shift > 0 then f end) - sum(case when shift < 0 then f end)) / {2 * _STEP}::double as phi
   from (select s.axis, s.shift, atom_id, unnest([0, 1, 2]) as b, unnest([fx, fy, fz]) as f from per_atom p join {_PH_NAMES} s on s.name = p.config_id) group by all
-), at as (select atom_id, {', '.join(f'{c} - {_L4!r}::double * round_even({c} / {_L4!r}::double, 0) as r{c}' for c in 'xyz')} from ({Q.fcc(chr(39) + 'x' + chr(39), f'{A0}::double', _PHONON)})),
+), spots as (select atom_id, {', '.join(f'{c} - {_L4!r}::double * round_even({c} / {_L4!r}::double, 0) as r{c}' for c in 'xyz')} from ({Q.fcc(chr(39) + 'x' + chr(39), f'{A0}::double', _PHONON)})),
 q as (select k::bigint as q_id, 2 * pi() / {A0}::double * k / 8 as qx from range(9) t(k)),
-dm as (select q_id, a, b, sum(phi * cos(qx * rx)) / 63.546::double as re from fc join at using (atom_id), q group by all)"""
+dm as (select q_id, a, b, sum(phi * cos(qx * rx)) / 63.546::double as re from fc join spots using (atom_id), q group by all)"""
 
 
 @query(_FC + " select q_id, a::int as a, b::int as b, round(re, 6) + 0.0 as re from dm")
