@@ -13,8 +13,8 @@ class Chunks:
     """of(text) gives what make(chunk) returned for each chunk of the text, in order. Results are kept
     for up to `most` distinct chunks, then afresh."""
 
-    def __init__(self, make, most: int = 1_000_000):
-        self.make, self.most = make, most
+    def __init__(self, make, most: int = 1_000_000, also=lambda: None):
+        self.make, self.most, self.also = make, most, also
         self.first: dict = {}
         self.rest: dict = {}
 
@@ -38,6 +38,11 @@ class Chunks:
             known.update(made)
         return out
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.rest.clear()
+        self.also()
+
     def of(self, text: str) -> list:
         if not text:
             return []

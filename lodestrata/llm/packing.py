@@ -74,7 +74,7 @@ def _chunked(spec: str) -> Chunks:
             return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
 
         free = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not plan.get("normalizer")
-        _tokenizers[spec] = Chunks(by_match if free else whole)
+        _tokenizers[spec] = Chunks(by_match if free else whole, also=known.clear)
         if not free:
             _tokenizers[spec].of = lambda text: whole([text])
     return _tokenizers[spec]
@@ -106,6 +106,7 @@ def token_pieces(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str =
                         seen[length] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
+        chunked.forget()  # workers outlive their tasks
 
     return picked.mapInArrow(over, schema)
 

@@ -91,6 +91,10 @@ def _features(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(list(map(features, text)), columns=FEATURES.names)
 
 
+#: Not moved or doubled by the optimizer: a filter on one of its fields would else run it once more.
+_features = _features.asNondeterministic()
+
+
 def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the base counts and the rules' votes."""
     at = free_name(docs, "features")
