@@ -143,7 +143,8 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Da
     """The rows of docs that are kept, with docs' own columns."""
     at = free_name(docs, "row")
     nested = docs.select(F.struct(*docs.columns).alias(at))
-    judged = judge(nested.withColumn("features_", _features(F.col(f"{at}.{text}"))).select(at, "features_.*"), threshold)
+    featured = nested.withColumn("features_", _features(F.col(f"{at}.{text}"))).select(at, "features_.*")
+    judged = judge(store(featured, "quality"), threshold)  # read twice, the texts once
     return judged.filter("kept").select(f"{at}.*")
 
 
