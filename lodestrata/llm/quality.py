@@ -101,13 +101,35 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(at, _features(F.col(text))).select("*", f"{at}.*").drop(at)
 
 
+def _rates(counts: np.ndarray) -> np.ndarray:
+    """Likeliest vote probabilities from counts [class, rule, vote] (good, bad; reject, abstain, keep) such
+    that a rule's reject is no likelier in good documents and its keep no likelier in bad ones. Where the
+    free shares don't hold to that, the votes concerned get the share of both classes."""
+    both = np.broadcast_to(counts.sum(0), counts.shape)
+    both = both / both.sum(2, keepdims=True)
+
+    def tied(vote):
+        rest = counts * (np.arange(3) != vote)
+        out = rest / rest.sum(2, keepdims=True) * (1 - both[:, :, vote, None])
+        out[:, :, vote] = both[:, :, vote]
+        return out
+
+    ways = np.stack([counts / counts.sum(2, keepdims=True), tied(0), tied(2), both])
+    holds = (ways[:, 1, :, 0] >= ways[:, 0, :, 0] - 1e-12) & (ways[:, 1, :, 2] <= ways[:, 0, :, 2] + 1e-12)
+    fit = np.where(holds, (counts * np.log(ways)).sum((1, 3)), -np.inf)  # `both` always holds
+    return ways[fit.argmax(0), :, np.arange(counts.shape[1])].transpose(1, 0, 2)
+
+
 def estimate(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     """Posterior probability of 'good' for each vote pattern, from the patterns' counts.
 
     Each class keeps, for each rule, the probabilities of the three votes. Rules are written so that
     each sees one kind of bad text: a good document is rarely rejected by any rule (a Dirichlet prior,
     GOOD_VOTES, weighing a fifth of the documents), while a bad one is often kept by most. The start
-    follows from that: no reject is good, two rejects are bad, one is undecided."""
+    follows from that: no reject is good, two rejects are bad, one is undecided.
+
+    Two things keep the classes from trading places when one rule rejects a large source: a reject never
+    speaks for good nor a keep for bad (_rates), and documents that all rules keep count as good."""
     if not patterns:
         return {}
     names = sorted(patterns)
@@ -116,13 +138,15 @@ def estimate(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     good = np.array([0.95, 0.4, 0.05])[np.minimum((votes == 0).sum(1), 2)]
     prior_votes = np.stack([0.2 * count.sum() * np.array(GOOD_VOTES), np.full(3, 1 / 3)])
     one_hot = np.eye(3)[votes]
+    clean = (votes == 2).all(1)
+    good[clean] = 1
     for _ in range(rounds):
         weight = np.stack([count * good, count * (1 - good)])
         prior = (weight.sum(1) + 1) / (count.sum() + 2)
-        table_ = np.einsum("cp,prv->crv", weight, one_hot) + prior_votes[:, None, :]
-        table_ /= table_.sum(2, keepdims=True)
+        table_ = _rates(np.einsum("cp,prv->crv", weight, one_hot) + prior_votes[:, None, :])
         log = np.log(prior)[:, None] + np.einsum("prv,crv->cp", one_hot, np.log(table_))
         good = 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
+        good[clean] = 1
     return dict(zip(names, good.tolist()))
 
 

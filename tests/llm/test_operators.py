@@ -53,6 +53,21 @@ def test_quality_estimates_find_the_rejects():
     assert quality.estimate({}) == {}
 
 
+@pytest.mark.parametrize("hot", ["+++++++-+", "++-++++++", "++++-++++"])
+@pytest.mark.parametrize("size", [3500, 4800])
+def test_quality_keeps_clean_documents_beside_a_hot_source(hot, size):
+    """A third of the rows have one reject vote, all of the same rule."""
+    clean = {"+++++++++": 7800, "0++++++++": 600, "++++0++++": 600}
+    junk = {"+++-+-++-": 160, "+-+-+++++": 150, "+-+++-++-": 150}
+    good = quality.estimate({**clean, **junk, hot: size})
+    assert min(good[v] for v in [*clean, hot]) > 0.9 and max(good[v] for v in junk) < 0.5
+
+
+def test_quality_votes_speak_for_their_side():
+    rates = quality._rates(np.random.default_rng(0).gamma(0.5, 50, (2, 200, 3)) + 0.1)
+    assert np.allclose(rates.sum(2), 1) and (rates[1, :, 0] >= rates[0, :, 0] - 1e-9).all() and (rates[1, :, 2] <= rates[0, :, 2] + 1e-9).all()
+
+
 def test_quality_keeps_rows_whole(spark, odd):
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {1, 2}
