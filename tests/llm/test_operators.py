@@ -201,6 +201,26 @@ def test_licenses_by_wording(spark, odd):
     assert licenses.license_hits(odd).collect() == []
 
 
+@pytest.mark.parametrize("n", [120, 1000, 5000, 20000])
+def test_licenses_in_long_blocks(n):
+    """Marks each 100 words make one block of the whole text."""
+    rng = random.Random(0)
+    known = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(5000)]
+    words = ["warranty" if k % 100 == 99 else rng.choice(known) for k in range(n)]
+    for k, at in ((0, 0.2), (2, 0.4), (4, 0.6), (-1, 0.8)):
+        words[int(n * at) : int(n * at)] = licenses.TEMPLATES[k][1].split()
+    assert sorted(h[2] for h in licenses.scan(" ".join(words)) if h[6]) == ["Apache-2.0", "GPL-2.0", "MIT", "Unlicense"]
+
+
+def test_licenses_at_every_place_and_in_other_words():
+    found = lambda t: [(h[2], h[6]) for h in licenses.scan(t)]
+    assert found("Released under the MIT License. It was: Released under the MIT License.") == [("MIT", True)] * 2
+    assert found("x under the Apache License, Version 2.0 and so on") == [("Apache-2.0", False)]  # without its first word
+    assert found("Licensed under the GNU General Public License v3.0") == [("GPL-3.0", True)]
+    assert found("Licensed under the GNU GPL v7.0") == [(None, False)]
+    assert found("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nx") == [("MIT", True), ("Apache-2.0", True), ("GPL-2.0-only", True)]
+
+
 def test_pseudonyms_keep_formats_and_links():
     key = b"k"
     assert sorted(pii.permute(v, 1000, key, "t") for v in range(1000)) == list(range(1000))
