@@ -25,6 +25,7 @@ get equal results; all columns stay. Values that fail validation stay as they ar
 from __future__ import annotations
 
 import datetime
+import hashlib
 import hmac
 import re
 from collections import Counter
@@ -49,7 +50,11 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         a, b = value >> half, value & mask
         for r in range(ROUNDS):
-            digest = hmac.digest(key, f"{tweak}|{size}|{r}|{b}".encode(), "sha256")
+            if half <= 256:
+                digest = hmac.digest(key, f"{tweak}|{size}|{r}|{b}".encode(), "sha256")
+            else:  # as many bits as the half has
+                seed = hmac.digest(key, f"{tweak}|{size:x}|{r}|{b:x}".encode(), "sha256")
+                digest = hashlib.shake_256(seed).digest((half + 7) // 8)
             a, b = b, a ^ int.from_bytes(digest, "big") & mask
         value = a << half | b
         if value < size:

@@ -238,6 +238,20 @@ def test_pseudonyms_keep_formats_and_links():
     assert pii.pseudonymise(text, key)[0] != pii.pseudonymise(text, b"other")[0]
 
 
+@pytest.mark.parametrize("n", [100, 160, 256, 5000])
+def test_pseudonyms_change_long_values_throughout(n):
+    rng = random.Random(n)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"):
+        secret = "".join(rng.choice(alphabet) for _ in range(n))
+        new, spans = pii.pseudonymise(f"token={secret} x", b"k")
+        new = new[6:-2]
+        assert len(spans) == 1 and len(new) == n and set(new) <= set(alphabet)
+        for k in range(0, n - 15, 16):
+            assert sum(map(str.__eq__, new[k : k + 16], secret[k : k + 16])) < 8
+    wide = 1 << 2000
+    assert len({pii.permute(v << 1990, wide, b"k", "t") for v in range(100)}) == 100
+
+
 def test_pseudonyms_of_a_table(spark, odd):
     out = pii.mask(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and pii.mask(odd.limit(0)).collect() == []
