@@ -18,6 +18,10 @@ on key and value alone, so equal values stay linked across documents, machines a
 
 Each text is worked on alone, whole: no shuffle. Texts without a digit and without @ are passed over.
 
+Where numbers stand next to each other, the ends of digit groups within a match are tried: a card has
+an issuer's first digits and length, an IBAN and a phone the length of their country where it has a
+fixed one. Where nothing fits, the search goes on one group later.
+
 Defined results: a null text stays null with nothing found; an empty text stays empty. Repeated rows
 get equal results; all columns stay. Values that fail validation stay as they are.
 """
@@ -217,7 +221,7 @@ PATTERN = re.compile(
     r"|(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s{0,4}[:=]\s{0,4}[\"']?)(?P<secret>[A-Za-z0-9_+/=-]{8,})"
     r"|(?<![\w.])(?:"
     r"(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?!\w)"
-    r"|(?P<date>(?:[0-9]{4}([-/.])[0-9]{1,2}\5[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\6[0-9]{4}))(?![\w]|[-/.][0-9])"
+    r"|(?P<date>(?:[0-9]{4}([-/.])[0-9]{1,2}\5[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\6[0-9]{4}))(?!(?![Tt][0-9])\w|[-/.][0-9])"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
     r"|(?P<phone>\+[0-9](?:[ ().-]{0,2}[0-9]){7,14})(?!\w)"
@@ -228,22 +232,122 @@ PATTERN = re.compile(
 _MAY = re.compile(r"[0-9@]|(?i:token|secret|passw|pwd|key)")
 
 
+#: Lengths of IBANs, and digits of phone numbers with their country code where they are fixed.
+IBAN_LENGTHS = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in names.split()
+}
+PHONE_DIGITS = {
+    "1": (11,), "7": (11,), "30": (12,), "31": (11,), "32": (11, 10), "33": (11,), "34": (11,), "36": (11, 10), "41": (11,), "44": (12, 11), "45": (10,),
+    "47": (10,), "48": (11,), "52": (12,), "55": (13, 12), "61": (11,), "65": (10,), "81": (12, 11), "90": (12,), "91": (12,),
+    "351": (12,), "353": (12, 11), "380": (12,), "420": (12,), "421": (12,), "852": (11,), "886": (12, 11), "966": (12,), "971": (12, 11), "972": (12, 11),
+}
+#: First digits of card issuers, and how many digits their cards have.
+_ISSUERS = (
+    (re.compile(r"3[47]"), (15,)),
+    (re.compile(r"3(?:0[0-5]|[689])"), (14, 16)),
+    (re.compile(r"4"), (16, 13, 19)),
+    (re.compile(r"5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)"), (16,)),
+    (re.compile(r"35|6011|64[4-9]|65|62"), (16, 17, 18, 19)),
+    (re.compile(r"5[06-8]|6"), (16, 13, 14, 15, 17, 18, 19)),
+)
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
+_GROUP = re.compile(r"[0-9]+")
+
+
+def _usual(sizes: list[int]) -> bool:
+    """Digit groups as cards are written."""
+    return len(sizes) == 1 or sizes in ([4, 6, 5], [4, 6, 4]) or (set(sizes[:-1]) == {4} and sizes[-1] <= 4)
+
+
+def _card_span(text: str, a: int, b: int, first: bool) -> tuple[int, int] | None:
+    """The likeliest card among whole groups from one that starts in text[a:b]; `first`: a isn't within a
+    span that failed."""
+    groups = []
+    at = a
+    while (m := _GROUP.match(text, at)) and (m.start() < b or sum(y - x for x, y in groups) < 38):
+        groups.append(m.span())
+        if text[m.end() : m.end() + 1] not in (" ", "-"):
+            break
+        at = m.end() + 1
+    best = None
+    for i, (x, _) in enumerate(groups):
+        if x >= b:
+            break
+        d, sizes = "", []
+        for _x, y in groups[i:]:
+            d += text[_x:y]
+            sizes.append(y - _x)
+            if len(d) > 19:
+                break
+            if len(d) < 13 or not luhn(d) or len(set(d)) == 1 or re.match(r"\w|-(?![0-9])", text[y : y + 2]):
+                continue
+            lengths = next((n for p, n in _ISSUERS if p.match(d)), ())
+            known, usual = len(d) in lengths, _usual(sizes)
+            if (known and (usual or min(sizes) > 2)) or (usual and i == 0 and first):
+                rank = (not usual, not known, lengths.index(len(d)) if known else 9, i)
+                if best is None or rank < best[0]:
+                    best = (rank, x, y)
+    if best:
+        return best[1:]
+    return (a, b) if first else None
+
+
+def _ends(text: str, a: int, b: int) -> list[int]:
+    """Ends of groups in text[a:b], the last one first."""
+    return [y for y in range(b, a, -1) if text[y - 1].isalnum() and not text[y : y + 1].isalnum()]
+
+
+def _replaced(text: str, kind: str, a: int, b: int, key: bytes, first: bool) -> tuple[int, int, str, str] | None:
+    """(start, end, kind, pseudonym) of the value found in text[a:b]."""
+    if kind == "iban":
+        length = IBAN_LENGTHS.get(text[a : a + 2])
+        for y in sorted(_ends(text, a, b), key=lambda y: len(text[a:y].replace(" ", "")) != length):
+            if (new := _iban(text[a:y], key)) is not None:
+                return a, y, kind, new
+        return None
+    if kind == "phone":
+        d = _digits(text[a:b])
+        allowed = next((PHONE_DIGITS[d[:n]] for n in (1, 2, 3) if d[:n] in PHONE_DIGITS), ())
+        ends = {len(_digits(text[a:y])): y for y in _ends(text, a, b)}
+        y = next((ends[n] for n in allowed if n in ends), b)
+        new = _phone(text[a:y], key)
+        return new and (a, y, kind, new)
+    if kind != "card":
+        new = KINDS[kind](text[a:b], key)
+        if new is not None:
+            return a, b, kind, new
+        m = _CARD.match(text, a) if kind in ("date", "ssn") else None
+        if not m:
+            return None
+        kind, b = "card", m.end()
+    if (span := _card_span(text, a, b, first)) and (new := _card(text[slice(*span)], key)) is not None:
+        return *span, "card", new
+    new = _number(text[a:b], key) if b - a <= 19 and text[a:b].isdigit() else None
+    return new and (a, b, "number", new)
+
+
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with its values replaced, and (start, end, kind) of each in the given text."""
     if not text or not _MAY.search(text):
         return text, []
-    found, out, done = [], [], 0
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup
-        a, b = m.span(kind)
-        new = KINDS[kind](m[kind], key)
-        if new is None and kind in ("card", "phone") and _digits(m[kind]) == m[kind]:
-            kind = "number"
-            new = _number(m[kind] if m[kind] else text[a:b], key) if b - a <= 19 else None
-        if new is not None:
+    found, out, done, at, tried = [], [], 0, 0, 0
+    while m := PATTERN.search(text, at):
+        a, b = m.span(m.lastgroup)
+        hit = _replaced(text, m.lastgroup, a, b, key, a >= tried)
+        if hit:
+            a, at, kind, new = hit
             out += [text[done:a], new]
-            found.append((a, b, kind))
-            done = b
+            found.append((a, at, kind))
+            done = at
+        else:
+            at, tried = a + 1, b if a >= tried else tried
     return "".join([*out, text[done:]]), found
 
 

@@ -252,6 +252,31 @@ def test_pseudonyms_change_long_values_throughout(n):
     assert len({pii.permute(v << 1990, wide, b"k", "t") for v in range(100)}) == 100
 
 
+@pytest.mark.parametrize(
+    "before, value, after, kind",
+    [
+        ("", "4111 1111 1111 1111", " 12/27", "card"),
+        ("", "4111 1111 1111 1111", " 123 ok", "card"),
+        ("2 ", "4111 1111 1111 1111", "", "card"),
+        ("123456 ", "4111-1111-1111-1111", "-99 x", "card"),
+        ("", "3782 822463 10005", " 1234", "card"),
+        ("", "DE89 3704 0044 0532 0130 00", " BIC COBADEFF", "iban"),
+        ("XX12 3456 7890 ", "4111 1111 1111 1111", "", "card"),
+        ("", "+1 415 555 0123", " 20", "phone"),
+        ("at ", "2024-01-05", "T10:00", "date"),
+    ],
+)
+def test_pseudonyms_beside_other_numbers(before, value, after, kind):
+    new, spans = pii.pseudonymise(before + value + after, b"k")
+    assert spans == [(len(before), len(before + value), kind)]
+    assert new == before + pii.pseudonymise(value, b"k")[0] + after and value not in new
+
+
+def test_pseudonyms_leave_tables_of_numbers():
+    for text in (" ".join(map(str, range(1990, 2024))), " ".join(map(str, range(10, 99))), "2024-13-45 and 999-99-9999"):
+        assert len(pii.pseudonymise(text, b"k")[1]) <= 2
+
+
 def test_pseudonyms_of_a_table(spark, odd):
     out = pii.mask(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and pii.mask(odd.limit(0)).collect() == []
