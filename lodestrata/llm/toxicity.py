@@ -139,7 +139,7 @@ class Restorer:
             if len(self.known) > 100_000:
                 self.known.clear()
             at = token.find("@")  # an address isn't obfuscated
-            self.known[token] = token if 0 < at < token.rfind(".") - 1 else MIXED.sub(self._mixed, SPACED.sub(self._spaced, token), 1)
+            self.known[token] = token if 0 < at < token.rfind(".") - 1 else MIXED.sub(self._mixed, SPACED.sub(self._spaced, token))
         return self.known[token]
 
     def gaps(self, text: str, tokens) -> str:

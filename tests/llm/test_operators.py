@@ -346,6 +346,13 @@ def test_toxicity_readings_and_scores(spark, odd):
     assert toxicity.score(odd.limit(0), trained).collect() == []
 
 
+def test_toxicity_reads_all_words_of_a_token(spark):
+    read = toxicity.Restorer(toxicity.log_model(toxicity.character_counts(spark.createDataFrame([("an idiot, a moron and stupid you say hello " * 9,)], "text string"))))
+    for text, want in (("hello,1d10t", "hello,idiot"), ("you...stup1d", "you...stupid"), ("1d10t,m0r0n", "idiot,moron"), ("say:1d10t", "say:idiot"), ("'1d10t'm0r0n.stup1d", "'idiot'moron.stupid")):
+        assert read(text) == want
+    assert read("hello,you http://an.idiot/say") == "hello,you http://an.idiot/say"
+
+
 def test_store_survives_a_reread(spark, odd):
     kept = store(odd, "test")
     assert kept.columns == odd.columns and kept.count() == kept.count() == odd.count()
