@@ -245,9 +245,17 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
     return np.bincount((pixels >> 4).ravel(), minlength=BINS)[:BINS]
 
 
-def shots(hists: np.ndarray, around: int = 8, factor: float = 2.5, least: float = 0.02) -> list[tuple[int, int]]:
+def _median(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Median of the n finite values of each row; the others are infinite."""
+    rows, at = np.sort(rows, axis=1), np.arange(len(rows))
+    return (rows[at, (n - 1) // 2] + rows[at, n // 2]) / 2
+
+
+def shots(hists: np.ndarray, around: int = 8, factor: float = 2.5, least: float = 0.02, sure: float = 0.5) -> list[tuple[int, int]]:
     """(first frame, end frame) of each shot. A cut is a frame whose histogram's distance from the
-    one before is at least `least` and `factor` deviations over the mean of the distances around it."""
+    one before is at least `least` and `factor` deviations over the mean of the distances around it, or
+    twice that over their median in median deviations (of `least` at least), which other cuts nearby
+    don't raise; or a distance of `sure`, whatever is around it."""
     n = len(hists)
     if n == 0:
         return []
@@ -258,7 +266,13 @@ def shots(hists: np.ndarray, around: int = 8, factor: float = 2.5, least: float
     m = np.maximum(1, b - a - 1)
     mean = (total[b] - total[a] - d) / m
     dev = np.sqrt(np.maximum(0, (square[b] - square[a] - d * d) / m - mean**2))
-    cuts = (np.flatnonzero((d >= least) & (d > mean + factor * dev) & (m > 1)) + 1).tolist()
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(d, around, constant_values=np.inf), 2 * around + 1).copy() if len(d) else d[:, None]
+    near[:, around : around + 1] = np.inf
+    known = np.isfinite(near)
+    level = _median(near, m)
+    spread = 1.4826 * _median(np.where(known, np.abs(np.where(known, near, 0) - level[:, None]), np.inf), m) if len(d) else d
+    out = (d > mean + factor * dev) | (d > level + 2 * factor * np.maximum(spread, least))
+    cuts = (np.flatnonzero((d >= sure) | (d >= least) & out & (m > 1)) + 1).tolist()
     return list(zip([0, *cuts], [*cuts, n]))
 
 

@@ -190,6 +190,17 @@ def test_media_shots_and_clips(spark):
         media.parse_riff(b"RIFF....WAVE")
 
 
+def test_media_cuts_near_each_other():
+    def cuts(*kinds):
+        hists = np.array([[100, 0, 0], [0, 100, 0], [60, 40, 0]])[list(kinds)]
+        return [a for a, _ in media.shots(hists)][1:]
+
+    assert cuts(*[0] * 4, *[1] * 4, *[0] * 4, *[1] * 4, *[0] * 4) == [4, 8, 12, 16]
+    assert cuts(0, 0, 0, 1, 1, 1, 0, 0) == [3, 6] and cuts(0, 1) == [1] and cuts(0, 0, 1) == [2]
+    assert cuts(*[0] * 6, *[2] * 6, *[0] * 6, *[2] * 6) == [6, 12, 18]
+    assert cuts(0) == cuts(0, 0) == cuts(*[1] * 30) == []
+
+
 def test_licenses_by_wording(spark, odd):
     found = lambda t: [(h[2], h[6]) for h in licenses.scan(t)]
     assert found("x\nThis work is licensed under the GNU General Public License, version 3.") == [("GPL-3.0", True)]
