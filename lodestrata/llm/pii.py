@@ -9,13 +9,20 @@ on key and value alone, so equal values stay linked across documents, machines a
   iban   passes mod 97: country kept, letters and digits permuted in place, check digits anew
   ssn    ddd-dd-dddd with possible area, group and serial numbers
   phone  international form with + and 8-15 digits: country code 1 keeps possible area and exchange
-         codes; others keep the first two digits
+         codes (and impossible ones impossible); others keep the first two digits
   ip     dotted quad
-  date   possible dates of 1900-2099 as y-m-d, m/d/y or d/m/y (also with dots)
+  date   possible dates of 1900-2099 as y-m-d, m/d/y or d/m/y (also with dots); a month or day of one
+         digit becomes one of one digit
   email  the local part's letters and digits
-  secret what follows token, password, api_key and the like: hexadecimal or alphanumeric
+  secret what follows token, password, api_key and the like: digits, hexadecimal (both digits and
+         letters) or any other; each kind stays of its kind
   number other runs of 12-19 digits: all digits but the first; too long to be a count
 
+A kind's domain always has the value itself: what doesn't hold for the value isn't asked of its
+pseudonym. So the walk ends (at the value, at the latest) and is one-to-one within the domain.
+
+The key is the caller's: who has it can undo every pseudonym.
+
 Each text is worked on alone, whole: no shuffle. Texts without a digit and without @ are passed over.
 
 Where numbers stand next to each other, the ends of digit groups within a match are tried: a card has
@@ -41,7 +48,8 @@ from pyspark.sql import functions as F
 from .common import fields, table
 
 ROUNDS = 10
-DEFAULT_KEY = b"change this key before use"
+#: The key of the query, public and so for tests only.
+EXAMPLE_KEY = b"an example, no secret"
 FOUND = fields("text string, n_found long, kinds string")
 
 
@@ -66,7 +74,9 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
 
 
 def _walk(value: int, size: int, key: bytes, tweak: str, fits) -> int:
-    """permute() again and again until the result fits; a value that fits comes back at last."""
+    """permute() again and again until the result fits; a value that fits comes back at last, so it ends."""
+    if not fits(value):
+        raise ValueError("a value outside of its own domain")
     value = permute(value, size, key, tweak)
     while not fits(value):
         value = permute(value, size, key, tweak)
@@ -88,21 +98,27 @@ def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
 
+def _checked(body: str) -> str:
+    """body and the digit that makes it pass the Luhn check."""
+    return body + next(c for c in "0123456789" if luhn(body + c))
+
+
 def _card(text: str, key: bytes) -> str | None:
     d = _digits(text)
     if not 13 <= len(d) <= 19 or not luhn(d) or len(set(d)) == 1:
         return None
     n = len(d) - 2
-    body = d[0] + f"{_walk(int(d[1:-1]), 10**n, key, f'card{n}{d[0]}', lambda v: len({d[0], *f'{v:0{n}}'}) > 1):0{n}}"
-    return _fill(text, body + next(c for c in "0123456789" if luhn(body + c)))
+    whole = lambda v: _checked(f"{d[0]}{v:0{n}}")
+    return _fill(text, whole(_walk(int(d[1:-1]), 10**n, key, f"card{n}{d[0]}", lambda v: len(set(whole(v))) > 1)))
 
 
 def _number(text: str, key: bytes) -> str | None:
     d = _digits(text)
-    fits = (lambda v: not luhn(f"{d[0]}{v:0{len(d) - 1}}")) if len(d) >= 13 else (lambda v: True)
-    if len(set(d)) == 1 or (len(d) >= 13 and luhn(d)):
-        return None
-    return _fill(text, d[0] + f"{_walk(int(d[1:]), 10 ** (len(d) - 1), key, f'number{len(d)}{d[0]}', fits):0{len(d) - 1}}")
+    n = len(d) - 1
+    whole = lambda v: f"{d[0]}{v:0{n}}"
+    fits = lambda v: len(set(whole(v))) > 1 and not (n >= 12 and luhn(whole(v)))
+    v = int(d[1:])
+    return _fill(text, whole(_walk(v, 10**n, key, f"number{len(d)}{d[0]}", fits))) if fits(v) else None
 
 
 def _ssn(text: str, key: bytes) -> str | None:
@@ -118,17 +134,18 @@ def _phone(text: str, key: bytes) -> str | None:
     d = _digits(text)
     if not 8 <= len(d) <= 15:
         return None
+    n, fits = len(d) - 2, lambda v: True
     if d[0] == "1" and len(d) == 11:
 
-        def fits(v):
+        def possible(v):
             s = f"{v:010}"
             return s[0] in "23456789" and s[3] in "23456789"
 
         v = int(d[1:])
-        if fits(v):
-            return _fill(text, f"1{_walk(v, 10**10, key, 'phone1', fits):010}")
-    n = len(d) - 2
-    return _fill(text, d[:2] + f"{permute(int(d[2:]), 10**n, key, f'phone{n}{d[:2]}'):0{n}}")
+        if possible(v):
+            return _fill(text, f"1{_walk(v, 10**10, key, 'phone1', possible):010}")
+        fits = lambda v: not possible(int(f"{d[1]}{v:09}"))
+    return _fill(text, d[:2] + f"{_walk(int(d[2:]), 10**n, key, f'phone{n}{d[:2]}', fits):0{n}}")
 
 
 def _ip(text: str, key: bytes) -> str | None:
@@ -144,22 +161,23 @@ _DAY0, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.
 
 def _date(text: str, key: bytes) -> str | None:
     a, sep, b, _, c = re.split(r"([-/.])", text)
+    order = "ymd" if len(a) == 4 else "mdy" if int(a) <= 12 else "dmy"
+    parts = dict(zip(order, (a, b, c)))
     try:
-        if len(a) == 4:
-            day = datetime.date(int(a), int(b), int(c))
-            new = _DAY0 + datetime.timedelta(permute((day - _DAY0).days, _DAYS, key, "ymd")) if 1900 <= day.year < 2100 else None
-            return new and f"{new.year}{sep}{new.month:02}{sep}{new.day:02}"
-        month_first = int(a) <= 12
-        day = datetime.date(int(c), *((int(a), int(b)) if month_first else (int(b), int(a))))
+        day = datetime.date(*(int(parts[k]) for k in "ymd"))
     except ValueError:
         return None
     if not 1900 <= day.year < 2100:
         return None
     at = lambda v: _DAY0 + datetime.timedelta(v)
-    fits = (lambda v: True) if month_first else (lambda v: at(v).day > 12)  # read back the same way
-    new = at(_walk((day - _DAY0).days, _DAYS, key, "mdy" if month_first else "dmy", fits))
-    first, second = (new.month, new.day) if month_first else (new.day, new.month)
-    return f"{first:02}{sep}{second:02}{sep}{new.year}"
+
+    def fits(v):  # read back the same way, and as wide
+        new = at(v)
+        return (order != "dmy" or new.day > 12) and (len(parts["m"]) == 2 or new.month < 10) and (len(parts["d"]) == 2 or new.day < 10)
+
+    new = at(_walk((day - _DAY0).days, _DAYS, key, "date", fits))
+    spelled = {"y": str(new.year), "m": f"{new.month:0{len(parts['m'])}}", "d": f"{new.day:0{len(parts['d'])}}"}
+    return sep.join(spelled[k] for k in order)
 
 
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -193,11 +211,16 @@ def _email(text: str, key: bytes) -> str | None:
     return f"{_in_place(local, key, 'email')}@{domain}"
 
 
+def _hexadecimal(text: str) -> str | None:
+    """The set of a text of hexadecimal digits in one case that has both digits and letters."""
+    found = set(text)
+    return next((s for s in _HEX if found <= set(s) and found & set(s[10:]) and found & set(s[:10])), None)
+
+
 def _secret(text: str, key: bytes) -> str | None:
-    for s in _HEX:
-        if set(text) <= set(s) and set(text) & set(s[10:]) and set(text) & set(s[:10]):
-            return _in_place(text, key, "hex", (s,), lambda t: bool(set(t) & set(s[10:]) and set(t) & set(s[:10])))
-    return _in_place(text, key, "secret", fits=lambda t: not any(set(t) <= set(s) for s in _HEX))
+    if hexadecimal := _hexadecimal(text):
+        return _in_place(text, key, "hex", (hexadecimal,), lambda t: _hexadecimal(t) is not None)
+    return _in_place(text, key, "secret", fits=lambda t: _hexadecimal(t) is None)
 
 
 def _mod97(text: str) -> int:
@@ -206,7 +229,7 @@ def _mod97(text: str) -> int:
 
 def _iban(text: str, key: bytes) -> str | None:
     flat = text.replace(" ", "")
-    if not 15 <= len(flat) <= 34 or _mod97(flat) != 1:
+    if not 15 <= len(flat) <= 34 or _mod97(flat) != 1 or not 2 <= int(flat[2:4]) <= 98:
         return None
     body = _in_place(flat[4:], key, "iban" + flat[:2])
     check = 98 - _mod97(flat[:2] + "00" + body)
@@ -365,11 +388,11 @@ def pseudonyms(key: bytes):
     return replace
 
 
-def mask(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs with their own columns, personal data in the text replaced."""
+def mask(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """docs with their own columns, personal data in the text replaced by means of the caller's key."""
     return docs.withColumn(text, pseudonyms(key)(F.col(text))["text"])
 
 
 def op6_pii_pseudonyms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", pseudonyms(DEFAULT_KEY)("text").alias("p")).select("doc_id", "p.n_found", "p.kinds", "p.text")
+    return docs.select("doc_id", pseudonyms(EXAMPLE_KEY)("text").alias("p")).select("doc_id", "p.n_found", "p.kinds", "p.text")
