@@ -6,6 +6,8 @@ Nulls, empty texts, repeated rows and empty tables: see the operators, whose rul
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from lodestrata.llm import packing, pii, quality, simhash, substrings
 from lodestrata.llm.common import store, table
 
+#: The session's setting that holds the secret key of the pseudonyms.
+KEY_SETTING = "spark.lodestrata.pii.key"
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars of the text as it is now, where documents have that column."""
@@ -35,8 +40,11 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes pseudonyms."""
-    return _counted(pii.mask(docs))
+    """Personal data becomes pseudonyms, by the key of the setting KEY_SETTING."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms are made with a public key and can be undone by anyone", stacklevel=2)
+    return _counted(pii.mask(docs, key.encode() if key is not None else pii.EXAMPLE_KEY))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
