@@ -5,11 +5,13 @@ Two 64-bit fingerprints within 2 bits differ in at most 2 of their 8 bytes, so t
 pairs): fingerprints that share 6 bytes meet in one posting list at least. For each pair that meets,
 the shared positional bytes are tallied; pairs with at least 6 are kept and verified bit by bit.
 
-A posting list longer than LIST_LIMIT isn't paired out. Its fingerprints go another, exact way: each
-is dealt to the 65 values within one bit of it. Two fingerprints are within 2 bits if and only if
-they meet at such a value, and a value has at most 65 of them, so the work stays in proportion to
-the list and no list is cut. Links become stars around the smallest fingerprint, and alternating
-large-star and small-star rounds (Kiveris et al., 2014) turn them into components.
+A posting list longer than LIST_LIMIT isn't paired out but split: each of its fingerprints gets
+postings with two more of the remaining four bytes, so a pair that shares 6 bytes meets again in one
+of the six finer lists. Lists that are still longer are split once more, by two of the four half bytes
+that remain: two different bits leave two of them alike. Those lists have at most 256 fingerprints, as
+8 bits are left. So each list is paired out in the end, no link is lost and a fingerprint never meets
+more than a fixed number of others. Links become components by alternating large-star and small-star
+rounds (Kiveris et al., 2014).
 
 Only narrow columns are shuffled: equal texts meet as one fingerprint from the start. Joins on a
 fingerprint that many rows share carry no aggregate above them, so adaptive execution splits them.
@@ -27,14 +29,14 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import buckets_of, free_name, lower_ascii, store, table
 
 SEED, SHINGLE, BITS = 42, 3, 2
-#: Longest posting list whose pairs are tallied; longer ones go by neighbouring values.
+#: Longest posting list that is paired out; longer ones are split by further positions.
 LIST_LIMIT = 64
 
 
@@ -61,37 +63,46 @@ def simhash(text: pd.Series) -> pd.Series:
     return text.map(fingerprint, na_action=None).astype("int64")
 
 
-def _byte_keys(fp: Column) -> Column:
-    """The six postings of a fingerprint: (which two byte pairs, their 32 bits)."""
-    pair = [F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
-    return F.array(*(F.struct(F.lit(n).alias("at"), (F.shiftleft(pair[a], 16) + pair[b]).alias("key")) for n, (a, b) in enumerate(combinations(range(4), 2))))
-
-
-def _shared_bytes(x: Column) -> Column:
-    """Positional bytes that two fingerprints with exclusive-or x share."""
-    return sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(0xFF) == 0).cast("int") for k in range(8))
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: links that join all distinct fingerprints fp of fps within BITS bits.
-
-    Within lists of up to LIST_LIMIT these are all such pairs; of longer lists, a star around the
-    smallest fingerprint of each neighbourhood, which has the same components."""
-    spark = fps.sparkSession
-    posts = fps.select("fp", F.explode(_byte_keys(F.col("fp"))).alias("post")).select("fp", "post.*")
-    sizes = posts.groupBy("at", "key").count().filter("count > 1")
-    sized = posts.join(sizes, ["at", "key"])
-    lists = sized.filter(F.col("count") <= LIST_LIMIT).repartition(buckets_of(spark), "at", "key").groupBy("at", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    a, b = F.col("a"), F.col("b")
-    first = F.array_position(F.transform(F.arrays_zip(_byte_keys(a).alias("x"), _byte_keys(b).alias("y")), lambda z: z["x"]["key"] == z["y"]["key"]), True) - 1
-    met = lists.select("at", F.posexplode("fps").alias("n", "a"), "fps").select("at", "a", F.explode(F.slice("fps", F.col("n") + 2, LIST_LIMIT)).alias("b"))
-    x = a.bitwiseXOR(b)
-    tallied = met.filter(_shared_bytes(x) >= 8 - BITS).filter(F.bit_count(x) <= BITS).filter(F.col("at") == first).select("a", "b")
-    crowded = sized.filter(F.col("count") > LIST_LIMIT).select("fp").distinct()
-    near = F.array(F.lit(0).cast("long"), *(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(64)))
-    around = crowded.select("fp", F.explode(near).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
-    stars = around.groupBy("value").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter("size(fps) > 1")  # at most 65
-    return tallied.unionByName(stars.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 65)).alias("b"))).distinct()
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def finer(mask: int, width: int) -> list[int]:
+    """The masks that add to `mask` two of the four units of `width` bits outside of it."""
+    free = [m for k in range(0, 64, width) if not (m := ((1 << width) - 1) << k) & mask]
+    return [mask | x | y for x, y in combinations(free, 2)]
+
+
+def _posted(fps: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
+    """(fp, mask, key): fps(fp, mask) with a posting for each of the masks that follow its own; `count`,
+    the length of its list, 2 at least."""
+    follow = F.create_map(*(x for m, ms in masks.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(k)) for k in ms)))))
+    posts = fps.select("fp", F.explode(F.element_at(follow, F.col("mask"))).alias("mask"))
+    posts = posts.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    return posts.join(posts.groupBy("mask", "key").count().filter("count > 1"), ["mask", "key"])
+
+
+def _paired(lists: DataFrame, most: int) -> DataFrame:
+    """Verified pairs (a, b) of fingerprints whose list has up to `most`."""
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    shared = sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(0xFF) == 0).cast("int") for k in range(8))
+    lists = lists.repartition(buckets_of(lists.sparkSession), "mask", "key").groupBy("mask", "key").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
+    met = lists.select(F.posexplode("fps").alias("n", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("n") + 2, most)).alias("b"))
+    return met.filter(shared >= 8 - BITS).filter(F.bit_count(x) <= BITS)
+
+
+def links(fps: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """(a, b), a < b: all pairs of fingerprints fp of fps within BITS bits of each other."""
+    found, crowded, masks = [], fps.select("fp", F.lit(0).cast("long").alias("mask")), [0]
+    for width in (16, 8, 4):
+        steps = {m: finer(m, width) for m in masks}
+        sized = _posted(crowded, steps)
+        last = width == 4
+        found.append(_paired(sized if last else sized.filter(F.col("count") <= limit), 256 if last else limit))
+        if not last:
+            crowded = store(sized.filter(F.col("count") > limit).select("fp", "mask").distinct(), "crowded")
+            masks = sorted({k for ms in steps.values() for k in ms})
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
