@@ -2,10 +2,11 @@
 
 Tokens are a text's words, A-Z lowered, and an end. Every training document is counted and trained on.
 
-Counts. Blocks of documents send each of their distinct words once, with its count in training
-documents, to the word's hash bucket and get the global count back (as in bpe.py), so each document's
-unigram sum needs no row per occurrence. Buckets also send their most frequent words and the mass of
-each word class; of those, a number that the model's size bounds reaches the driver.
+Counts. Texts are read once. Blocks of documents number their distinct words, send each once, with its
+count in training documents, to the word's hash bucket and get the global count back (as in bpe.py).
+Blocks are stored with words, numbers and counts; training and scoring read only them. Buckets also
+send their most frequent words and the mass of each word class; of those, a number that the model's
+size bounds reaches the driver.
 
 Model. The TOP most frequent words stand for themselves, in classes by rank; all others, known or
 not, fall in one of TAILS classes by their spelling. The network predicts the class by softmax, then
@@ -14,10 +15,12 @@ the word in its class: by softmax for top words, by its share of the class's tra
 P(word) = P(class | state) P(word | class, state).
 
 Training. A bounded sample of documents (WARM tokens) gives a start; then each task goes over all
-training documents of its partition by truncated backpropagation in numpy, many documents abreast,
-with the state carried from window to window and cleared at a document's start. The tasks' weights
-are averaged by tokens: partial sums in Spark, then one row for each shuffle partition. Scoring
-carries the state through each whole document.
+training documents of its blocks by truncated backpropagation in numpy: many documents abreast,
+gradients cut after STEPS tokens, the state carried through each whole document and cleared at its
+start. Where only few documents are left abreast, steps are as much smaller. The tasks' weights are
+averaged by tokens: partial sums in Spark, then one row for each shuffle partition. So the model, and
+with it the score, depends a little on how the table is cut into tasks. Scoring carries the state in
+the same way.
 
 Defined results: a null text counts as empty, its only token is the end. A null id has the fold of
 crc32(''). Repeated rows get equal results. Without training documents all counts are 0 and the
@@ -28,7 +31,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +40,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import buckets_of, crc_of_id, fields, id_crc, lower_ascii, pack, pack_words, store, table, unpack, unpack_words
+from .common import buckets_of, crc_of_id, fields, lower_ascii, pack, pack_words, store, table, unpack, unpack_words
 
 FOLDS, HELD_OUT = 5, 1
 TOP, IN_CLASS, TAILS, HIDDEN = 512, 32, 32, 16
 CLASSES = TOP // IN_CLASS + TAILS
-LANES, STEPS, WARM, LONGEST = 512, 16, 1_000_000, 512
+LANES, STEPS, WARM = 512, 16, 1_000_000
 #: Tokens held at once in a task, about.
 HELD = 6_000_000
 #: Rows in which sums over tasks or buckets reach the driver.
 FEW = 16
 END = b" "  # no word has a space
 BLOCK, WORDS, VOCABULARY = 0, 1, 2
+#: Tokens in a block, about, for up to 256 buckets; in proportion for more, up to eight times that.
 BLOCK_WORDS = 1 << 21
 
 
@@ -74,19 +77,23 @@ _tails: dict[bytes, int] = {}
 
 
 def _blocks(docs: DataFrame, buckets: int, id_type) -> DataFrame:
+    """Rows (kind, key, block, ids, payload): each block with its words, and its words for each bucket."""
     schema = T.StructType([*fields("kind int, key long, block long").fields, T.StructField("ids", T.ArrayType(id_type)), T.StructField("payload", T.BinaryType())])
-    arrow = to_arrow_schema(schema)
+    arrow, most = to_arrow_schema(schema), BLOCK_WORDS * min(8, max(1, buckets // 256))
 
     def flush(block, ids, marks, held, counts, numbers, words):
-        seq = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-        of_doc = np.repeat(np.array(held) == 0, counts)
-        train = np.bincount(seq[of_doc], minlength=len(words))
-        raw = list(words)
+        seq = np.concatenate(numbers)
+        raw, held = list(words), np.array(held, np.uint8)
+        train = np.bincount(seq[np.repeat(held == 0, counts)], minlength=len(raw))
         bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
-        rows = [(BLOCK, block, block, ids, pack(bucket.astype(np.uint32), np.array(marks, np.int64), np.array(counts, np.uint32), (seq & 0xFFFF).astype(np.uint16), (seq >> 16).astype(np.uint16)))]
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            rows.append((WORDS, int(bucket[part[0]]), block, None, pack(*pack_words([raw[k] for k in part]), train[part].astype(np.uint32))))
+        order = np.argsort(bucket, kind="stable")  # words in the order in which their counts come back
+        rank = np.empty(len(raw), np.uint32)
+        rank[order] = np.arange(len(raw), dtype=np.uint32)
+        seq, raw, bucket, train = rank[seq], [raw[k] for k in order.tolist()], bucket[order], train[order].astype(np.uint32)
+        rows = [(BLOCK, block, block, ids, pack(np.array(marks, np.int64), held, np.array(counts, np.uint32), (seq & 0xFFFF).astype(np.uint16), (seq >> 16).astype(np.uint16), *pack_words(raw)))]
+        for part in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(bucket)) + 1):
+            a, b = int(part[0]), int(part[-1]) + 1
+            rows.append((WORDS, int(bucket[a]), block, None, pack(*pack_words(raw[a:b]), train[a:b])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
     def over(batches):
@@ -104,7 +111,7 @@ def _blocks(docs: DataFrame, buckets: int, id_type) -> DataFrame:
                     held.append(crc_of_id(i) % FOLDS == HELD_OUT)
                     counts.append(len(tokens))
                     size += len(tokens)
-                    if size >= BLOCK_WORDS:
+                    if size >= most:
                         yield flush(task << 32 | nth, ids, marks, held, counts, numbers, words)
                         nth, ids, marks, held, counts, numbers, words, size = nth + 1, [], [], [], [], [], {}, 0
         if ids:
@@ -114,14 +121,14 @@ def _blocks(docs: DataFrame, buckets: int, id_type) -> DataFrame:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """From docs(id, mark, text): rows (kind, id, mark, n_tokens, n_known, log_sum) for documents, kind
-    BLOCK, and (kind, payload) for the buckets' vocabulary, kind VOCABULARY."""
+    """From docs(id, mark, text): rows (kind, ids, payload, known): blocks with the global count of each of
+    their words, kind BLOCK, and the buckets' vocabulary, kind VOCABULARY."""
     spark, id_type = docs.sparkSession, docs.schema["id"].dataType
     buckets = buckets_of(spark, 2)
     blocks = _blocks(docs, buckets, id_type).repartition(buckets_of(spark), "kind", "key")
     back = fields("kind int, key long, bucket long, payload binary")
     back_arrow = to_arrow_schema(back)
-    out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", id_type), *fields("mark long, n_tokens long, n_known long, log_sum double, payload binary").fields])
+    out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), *fields("payload binary, known binary").fields])
     out_arrow = to_arrow_schema(out)
 
     def count(key, rows):
@@ -148,30 +155,38 @@ def counted(docs: DataFrame) -> DataFrame:
         kind = key[0].as_py()
         if kind == VOCABULARY:
             n = found.num_rows
-            cols = [[kind] * n, [None] * n, [None] * n, [None] * n, [None] * n, [None] * n, found.column("payload").combine_chunks()]
-            return pa.Table.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(cols, out_arrow.types)], schema=out_arrow)
+            return pa.Table.from_arrays([pa.array([kind] * n, pa.int32()), pa.nulls(n, out_arrow.types[1]), found.column("payload").combine_chunks(), pa.nulls(n, pa.binary())], schema=out_arrow)
         if kind != BLOCK:
             return out_arrow.empty_table()
-        bucket, marks, counts, low, high = unpack(block.column("payload")[0].as_py())
         got = [unpack(p)[0] for _, p in sorted(zip(found.column("bucket").to_pylist(), found.column("payload").to_pylist()))]
-        got = np.concatenate(got)
-        if len(got) != len(bucket):
-            raise ValueError(f"a block of {len(bucket)} words got the counts of {len(got)}")
-        c = np.empty(len(bucket), np.int64)
-        c[np.argsort(bucket, kind="stable")] = got
-        seq = low.astype(np.int64) | high.astype(np.int64) << 16
-        ends = np.cumsum(counts, dtype=np.int64)
-        starts = ends - counts
-        logs = np.add.reduceat(np.log10(c + 0.5)[seq], starts)
-        known = np.add.reduceat((c > 0).astype(np.int64)[seq], starts)
-        n = len(counts)
-        cols = [pa.array([kind] * n, pa.int32()), block.column("ids")[0].values, pa.array(marks), pa.array(counts.astype(np.int64)), pa.array(known), pa.array(logs), pa.nulls(n, pa.binary())]
-        return pa.Table.from_arrays(cols, schema=out_arrow)
+        return pa.Table.from_arrays([pa.array([kind], pa.int32()), block.column("ids").combine_chunks(), block.column("payload").combine_chunks(), pa.array([pack(np.concatenate(got))], pa.binary())], schema=out_arrow)
 
     found = blocks.groupBy("kind", "key").applyInArrow(count, back)
     return blocks.groupBy("kind", "key").cogroup(found.groupBy("kind", "key")).applyInArrow(put_together, out)
 
 
+class Block:
+    """A stored block: for each document its mark, fold and tokens; for each distinct word its global count."""
+
+    def __init__(self, payload: bytes, known: bytes):
+        self.marks, self.held, counts, low, high, lengths, raw = unpack(payload)
+        self.words, self.known = unpack_words(lengths, raw), unpack(known)[0]
+        if len(self.words) != len(self.known):
+            raise ValueError(f"a block of {len(self.words)} words got the counts of {len(self.known)}")
+        self.seq = low.astype(np.int64) | high.astype(np.int64) << 16
+        self.counts = counts.astype(np.int64)
+        self.ends = np.cumsum(self.counts)
+
+    def codes(self, top: dict[bytes, int]) -> list[np.ndarray]:
+        """Each document's tokens as codes: the rank of top words, TOP + class of others."""
+        own = np.fromiter((top[w] if w in top else TOP + tail_class(w) for w in self.words), np.int32, len(self.words))
+        return np.split(own[self.seq], self.ends[:-1])
+
+    def sums(self, of_word: np.ndarray) -> np.ndarray:
+        """The sum over each document's tokens."""
+        return np.add.reduceat(of_word[self.seq], self.ends - self.counts)
+
+
 def merged(vocabulary: DataFrame, groups: int) -> DataFrame:
     """Vocabulary rows (at, payload) of equal at as one: totals and masses added, the TOP most frequent words."""
     schema = fields("at long, payload binary")
@@ -280,16 +295,17 @@ def _sigmoid(x):
 def forward(w: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
     """States after each step of x (steps, lanes), from h; a document's start clears the state."""
     n = HIDDEN
-    out = np.empty((*x.shape, n), np.float32)
-    for t, ids in enumerate(x):
-        h = h * (ids != START)[:, None]
-        a, u = w["E"][ids], h @ w["U"]
+    out, of_x, going = np.empty((*x.shape, n), np.float32), w["E"][x], x != START
+    cleared = (~going.all(1)).tolist()
+    for t, a in enumerate(of_x):
+        if cleared[t]:
+            h = h * going[t][:, None]
+        u = h @ w["U"]
         rz = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
         g = np.tanh(a[:, 2 * n :] + rz[:, :n] * u[:, 2 * n :])
-        z = rz[:, n:]
         if keep is not None:
             keep.append((h, u[:, 2 * n :], rz, g))
-        h = g + z * (h - g)
+        h = g + rz[:, n:] * (h - g)
         out[t] = h
     return out
 
@@ -337,21 +353,24 @@ def output(w: dict, h: np.ndarray, codes: np.ndarray, grad: dict | None = None)
 def backward(w: dict, x: np.ndarray, kept: list, dh_out: np.ndarray, grad: dict) -> None:
     """Backpropagation through the window's steps."""
     n = HIDDEN
-    da_all = np.empty((*x.shape, 3 * n), np.float32)
+    da_all, du_all, going = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32), x != START
+    cleared, back = (~going.all(1)).tolist(), w["U"].T
     dh = np.zeros_like(dh_out[0])
     for t in range(len(x) - 1, -1, -1):
         h, ug, rz, g = kept[t]
         r, z = rz[:, :n], rz[:, n:]
         dh = dh + dh_out[t]
         dg = dh * (1 - z) * (1 - g * g)
-        da = da_all[t]
+        da, du = da_all[t], du_all[t]
         da[:, :n] = dg * ug * r * (1 - r)
         da[:, n : 2 * n] = dh * (h - g) * z * (1 - z)
         da[:, 2 * n :] = dg
-        du = da.copy()
-        du[:, 2 * n :] *= r
-        grad["U"] += h.T @ du
-        dh = (dh * z + du @ w["U"].T) * (x[t] != START)[:, None]
+        du[:, : 2 * n] = da[:, : 2 * n]
+        du[:, 2 * n :] = dg * r
+        dh = dh * z + du @ back
+        if cleared[t]:
+            dh *= going[t][:, None]
+    grad["U"] += np.concatenate([k[0] for k in kept]).T @ du_all.reshape(-1, 3 * n)
     ids, rows = x.ravel(), da_all.reshape(-1, 3 * n)
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
@@ -359,16 +378,14 @@ def backward(w: dict, x: np.ndarray, kept: list, dh_out: np.ndarray, grad: dict)
 
 
 class Trainer:
-    """Adam over windows of documents. Longer documents than LONGEST are trained on in pieces of that
-    length, so that lanes end at about the same time and no window is of a few documents only."""
+    """Adam over windows of documents, each whole."""
 
     def __init__(self, weights: dict, rate: float):
         self.w, self.rate, self.steps = {k: v.copy() for k, v in weights.items()}, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
 
     def over(self, docs: list[np.ndarray]) -> None:
-        pieces = [p for d in docs for p in (np.split(d, range(LONGEST, len(d), LONGEST)) if len(d) > LONGEST else (d,))]
-        streams = Streams(pieces, mixed=len(docs))
+        streams = Streams(docs, mixed=len(docs))
         h = np.zeros((len(streams.lengths), HIDDEN), np.float32)
         for at, live in streams.windows():
             x, keep = streams.before[at], []
@@ -383,13 +400,14 @@ class Trainer:
             self._step(grad, max(1, int(on.sum())))
 
     def _step(self, grad: dict, n: int) -> None:
+        """n: tokens of the window; below an eighth of a full one the step is shorter in proportion."""
         self.steps += 1
-        a, b = 1 - 0.9**self.steps, 1 - 0.99**self.steps
+        a, b, rate = 1 - 0.9**self.steps, 1 - 0.99**self.steps, self.rate * min(1.0, 8 * n / (LANES * STEPS))
         for k, g in grad.items():
             g /= n
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.01 * (g * g - self.v[k])
-            self.w[k] -= self.rate * (self.m[k] / a) / (np.sqrt(self.v[k] / b) + 1e-6)
+            self.w[k] -= rate * (self.m[k] / a) / (np.sqrt(self.v[k] / b) + 1e-6)
 
 
 def log_probabilities(w: dict, docs: list[np.ndarray]) -> np.ndarray:
@@ -412,30 +430,24 @@ def log_probabilities(w: dict, docs: list[np.ndarray]) -> np.ndarray:
 # ---- on Spark
 
 
-def coded(text: str | None, top: dict[bytes, int]) -> np.ndarray:
-    """Codes of a text's tokens: the rank of top words, TOP + class of others."""
-    tokens = [*lower_ascii(text).split(), END]
-    out = np.fromiter(map(top.get, tokens, repeat(-1)), np.int32, len(tokens))
-    others = np.flatnonzero(out < 0)
-    out[others] = [TOP + tail_class(tokens[k]) for k in others.tolist()]
-    return out
-
-
-def _trained(docs: DataFrame, codes: dict, start: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
-    """Weights after each partition of docs(text) went on from `start`, averaged by tokens."""
-    groups = buckets_of(docs.sparkSession)
+def _trained(parts: DataFrame, codes_of, start: np.ndarray, rate: float, most: float = float("inf")) -> tuple[np.ndarray, float]:
+    """Weights after each partition of `parts` went on from `start`, averaged by tokens. codes_of gives the
+    documents of a row; `most`: tokens after which a task stops."""
+    groups = buckets_of(parts.sparkSession)
     schema = fields("at int, n double, weights binary")
 
     def learn(batches):
         trainer, held, size, total = Trainer(shaped(start), rate), [], 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for t in batch.column(0).slice(at, 512).to_pylist():
-                    held.append(coded(t, codes))
-                    size += len(held[-1])
-                if size >= HELD:
-                    trainer.over(held)
-                    total, held, size = total + size, [], 0
+            for row in zip(*batch.columns):
+                if total + size >= most:
+                    break
+                for own in codes_of(*(x.as_py() for x in row)):
+                    held.append(own)
+                    size += len(own)
+                    if size >= HELD:
+                        trainer.over(held)
+                        total, held, size = total + size, [], 0
         if held:
             trainer.over(held)
         total += size
@@ -446,67 +458,89 @@ def _trained(docs: DataFrame, codes: dict, start: np.ndarray, rate: float) -> tu
         total = sum(np.frombuffer(b.as_py(), np.float64) for b in rows.column("weights"))
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([sum(rows.column("n").to_pylist())]), pa.array([total.tobytes()], pa.binary())], names=schema.names)
 
-    parts = docs.mapInArrow(learn, schema).groupBy("at").applyInArrow(add, schema)
-    parts = parts.withColumn("at", F.col("at") % FEW).groupBy("at").applyInArrow(add, schema).collect()  # at most FEW rows
-    total = sum(r["n"] for r in parts)
-    return (sum(np.frombuffer(r["weights"], np.float64) for r in parts) / total if parts else start), total
+    done = parts.mapInArrow(learn, schema).groupBy("at").applyInArrow(add, schema)
+    done = done.withColumn("at", F.col("at") % FEW).groupBy("at").applyInArrow(add, schema).collect()  # at most FEW rows
+    total = sum(r["n"] for r in done)
+    return (sum(np.frombuffer(r["weights"], np.float64) for r in done) / total if done else start), total
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, n_train_tokens: int) -> dict[str, np.ndarray]:
-    """The network trained on all of docs(id, text), the training documents."""
+def below(n_train_tokens: int) -> int:
+    """Marks, as unsigned 64-bit numbers, under which documents are of the warm start: about WARM tokens, and
+    never none, however many tokens there are."""
+    return max(1 << 20, min(1 << 64, (WARM << 64) // max(1, n_train_tokens)))
+
+
+def train(blocks: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """The network trained on all training documents of the blocks(payload, known)."""
     start = flat(fresh())
-    if not n_train_tokens:
+    if not vocabulary.total:
         return shaped(start)
-    share = min(1.0, WARM / n_train_tokens)
-    warm = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    start, _ = _trained(warm.repartition(1), vocabulary.codes, start, 0.02)  # about WARM tokens at most
-    return shaped(_trained(docs.select("text"), vocabulary.codes, start, 0.004)[0])
+    codes, bound, schema = vocabulary.codes, below(vocabulary.total), fields("mark long, codes binary")
+
+    def sample(batches):
+        for batch in batches:
+            for payload, known in zip(*batch.columns):
+                marks, held = unpack(payload.as_py())[:2]
+                own = np.flatnonzero((held == 0) & (marks.view(np.uint64) <= np.uint64(bound - 1)))
+                if len(own):
+                    docs = Block(payload.as_py(), known.as_py()).codes(codes)
+                    yield pa.RecordBatch.from_arrays([pa.array(marks[own]), pa.array([pack(docs[k]) for k in own.tolist()], pa.binary())], names=schema.names)
+
+    warm = blocks.mapInArrow(sample, schema).dropDuplicates(["mark"]).repartition(1).sortWithinPartitions("mark")  # about WARM tokens
+    start, _ = _trained(warm.select("codes"), lambda blob: unpack(blob), start, 0.02, 2 * WARM)
+
+    def documents(payload, known):
+        block = Block(payload, known)
+        return [c for c, held in zip(block.codes(codes), block.held.tolist()) if not held]
 
+    return shaped(_trained(blocks, documents, start, 0.004)[0])
 
-def score(docs: DataFrame, weights: dict, vocabulary: Vocabulary) -> DataFrame:
-    """(id, mark, model) from docs(id, mark, text): the log10 probability of classes and words, but for
-    the part log10(count + 0.5) of words that aren't top words; `top_log` is that of the top words."""
-    schema = T.StructType([docs.schema["id"], *fields("mark long, model double, top_log double").fields])
+
+def score(blocks: DataFrame, weights: dict, vocabulary: Vocabulary) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, base_score, score) of all documents of the blocks(ids, payload, known)."""
+    schema = T.StructType([T.StructField("id", blocks.schema["ids"].dataType.elementType), *fields("held_out boolean, n_tokens long, n_known long, base_score double, score double").fields])
     arrow, codes, masses, counts = to_arrow_schema(schema), vocabulary.codes, vocabulary.log_masses, vocabulary.counts
+    per_token = float(np.log10(vocabulary.total + 0.5 * (vocabulary.distinct + 1)))
 
-    def over(batches):
-        def flush(ids, marks, held):
-            own = np.array([masses[c[c >= TOP] - TOP].sum() for c in held])
-            top = np.array([np.log10(counts[c[c < TOP]] + 0.5).sum() for c in held])
-            return pa.RecordBatch.from_arrays([pa.array(ids, arrow.types[0]), pa.array(marks, pa.int64()), pa.array(log_probabilities(weights, held) - own), pa.array(top)], schema=arrow)
+    of_code = np.concatenate([-np.log10(counts + 0.5), np.zeros(TOP - len(counts)), -masses])  # what isn't a word's own share
 
-        ids, marks, held, size = [], [], [], 0
+    def over(batches):
+        def flush():
+            each = log_probabilities(weights, [c for _, _, docs in held for c in docs])
+            for ids, block, docs in held:
+                logs, n = block.sums(np.log10(block.known + 0.5)), len(docs)
+                own = logs + np.add.reduceat(of_code[np.concatenate(docs)], block.ends - block.counts)
+                cols = [ids.values, pa.array(block.held == 1), pa.array(block.counts), pa.array(block.sums((block.known > 0).astype(np.int64))), pa.array(logs - block.counts * per_token), pa.array(each[:n] + own)]
+                each = each[n:]
+                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for i, m, t in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
-                    ids.append(i)
-                    marks.append(m)
-                    held.append(coded(t, codes))
-                    size += len(held[-1])
+            for ids, payload, known in zip(*batch.columns):
+                block = Block(payload.as_py(), known.as_py())
+                held.append((ids, block, block.codes(codes)))
+                size += int(block.ends[-1])
                 if size >= HELD:
-                    yield flush(ids, marks, held)
-                    ids, marks, held, size = [], [], [], 0
-        if ids:
-            yield flush(ids, marks, held)
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
-    return docs.mapInArrow(over, schema)
+    return blocks.mapInArrow(over, schema)
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
-    keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.col(text).alias("text"))
-    counts = store(counted(keyed), "counts")
-    rows = counts.filter(F.col("kind") == VOCABULARY).select(F.pmod(F.xxhash64("payload"), F.lit(1 << 30)).alias("at"), "payload")
-    vocabulary = Vocabulary([r["payload"] for r in merged(merged(rows, buckets_of(docs.sparkSession)), FEW).collect()])  # at most FEW rows
-    held = F.pmod(id_crc("id"), F.lit(FOLDS)) == HELD_OUT
-    weights = train(keyed.filter(~held).select("id", "text"), vocabulary, vocabulary.total)
-    found = score(keyed, weights, vocabulary)
-    mine = counts.filter(F.col("kind") == BLOCK).groupBy("id", "mark").agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_known", "log_sum")))
-    mine = mine.withColumnsRenamed({"id": "its_id", "mark": "its_mark"})
-    joined = found.join(mine, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
-    per_token = float(np.log10(vocabulary.total + 0.5 * (vocabulary.distinct + 1)))
-    return joined.select("id", held.alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * per_token).alias("base_score"), (F.col("model") + F.col("log_sum") - F.col("top_log")).alias("score"))
+    """(id, held_out, n_tokens, n_known, base_score, score, train_tokens) for each row of docs."""
+    spark = docs.sparkSession
+    keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).alias("mark"), F.col(text).alias("text"))
+    found = store(counted(keyed), "counts")
+    rows = found.filter(F.col("kind") == VOCABULARY).select(F.pmod(F.xxhash64("payload"), F.lit(1 << 30)).alias("at"), "payload")
+    vocabulary = Vocabulary([r["payload"] for r in merged(merged(rows, buckets_of(spark)), FEW).collect()])  # at most FEW rows
+    blocks = found.filter(F.col("kind") == BLOCK).select("ids", "payload", "known")
+    weights = train(blocks.select("payload", "known"), vocabulary)
+    return score(blocks, weights, vocabulary).withColumn("train_tokens", F.lit(vocabulary.total).cast("long"))
 
 
 def op7_lm_score(spark, sf_dir):
-    return scored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    found = scored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
