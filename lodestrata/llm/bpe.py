@@ -245,8 +245,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """tokens (id, ids) with `decoded`, the bytes of its ids."""
     with open(path, "rb") as f:
-        data = f.read()
-
+        ranks = read_ranks(f.read())
+    by_id = [b""] * (max(ranks.values()) + 1)
+    for token, k in ranks.items():
+        by_id[k] = token
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
     arrow, at = to_arrow_schema(schema), tokens.columns.index("ids")
 

@@ -1,9 +1,11 @@
 """Motion-JPEG media columns: AVI files in a binary column.
 
 parse_riff() walks the RIFF chunks and finds frames by the idx1 index (by the movi list where there
-is none). decode_jpeg() decodes baseline greyscale intra frames: Huffman symbols, dequantising and
-the inverse cosine transform, in integers, so results are equal on every machine. shots() cuts where
-the difference of neighbouring frames' histograms stands out from those around it.
+is none, or where it points elsewhere than at frames). decode_jpeg() decodes baseline intra frames,
+grey or colour with any sampling: Huffman symbols by table look-up (the standard's tables where a
+frame brings none, as motion-JPEG's frames do), dequantising and the inverse cosine transform, in
+integers, so results are equal on every machine. shots() cuts where the difference of neighbouring
+frames' histograms of brightness stands out from those around it.
 
 store_bytes() writes any bytes as such a file, without loss: each run of 64 bytes is one 8x8 block,
 each byte one coefficient of the block in zigzag order. A byte b is the amplitude bits of an
@@ -14,7 +16,9 @@ baseline JPEG frames; read_bytes() takes the coefficients back out of the entrop
 Every document is worked on alone, in slices of a batch: no shuffle, no group.
 
 Defined results: a null media value has no frames and no clips; a text that is null counts as empty
-and stores one block of zeros. Files whose frames aren't baseline greyscale raise ValueError.
+and stores one block of zeros. A file that can't be read (cut off, not baseline, not a JPEG or AVI)
+gives one clip row with its error and nothing else, so no row ends a job; decode_jpeg() and
+parse_riff() themselves raise ValueError. A frame of length 0 repeats the one before.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ import hashlib
 import re
 import struct
 import zlib
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -94,8 +100,17 @@ def store_bytes(payload: bytes) -> bytes:
 
 def parse_riff(media: bytes) -> tuple[list[bytes], float, int | None]:
     """The frames of the first video stream, frames a second, and the length that 'plen' gives."""
+    try:
+        return _parse_riff(media)
+    except struct.error as e:
+        raise ValueError(f"not a whole AVI file: {e}") from e
+
+
+def _parse_riff(media: bytes) -> tuple[list[bytes], float, int | None]:
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
+    if 8 + struct.unpack_from("<I", media, 4)[0] > len(media):
+        raise ValueError("an AVI file that is cut off")
     fps, plen, movi, index, todo = 25.0, None, None, None, [(12, min(len(media), 8 + struct.unpack_from("<I", media, 4)[0]))]
     walked = []
     while todo:
@@ -118,36 +133,130 @@ def parse_riff(media: bytes) -> tuple[list[bytes], float, int | None]:
             at = body + size + size % 2
     if movi is None:
         raise ValueError("an AVI file without a movi list")
-    if index:
-        entries = list(struct.iter_unpack("<4sIII", media[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]))
-        base = movi[0] if entries and media[movi[0] + entries[0][2] :][:4] == entries[0][0] else 0  # some count from the file's start
-        walked = [media[base + at + 8 : base + at + 8 + size] for name, _, at, size in entries if name[2:] in (b"dc", b"db")]
+    entries = [e for e in struct.iter_unpack("<4sIII", media[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]) if e[0][2:] in (b"dc", b"db")] if index else []
+    for base in (movi[0], 0):  # some count from the file's start
+        spots = [(base + at + 8, size) for _, _, at, size in entries]
+        if entries and all(media[a - 8 : a - 4] == e[0] and a + n <= len(media) for (a, n), e in zip(spots, entries)):
+            walked = [media[a : a + n] for a, n in spots]
+            break
     else:
         at = movi[0] + 4
         while at + 8 <= movi[1]:
             name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+            if name == b"LIST":  # rec lists hold frames
+                at += 12
+                continue
             if name[2:] in (b"dc", b"db"):
+                if at + 8 + size > len(media):
+                    raise ValueError("a frame is cut off")
                 walked.append(media[at + 8 : at + 8 + size])
             at += 8 + size + size % 2
+    for k, frame in enumerate(walked):
+        if not frame and k:
+            walked[k] = walked[k - 1]
     return walked, fps, plen
 
 
-def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    out, code, k = {}, 0, 0
+#: The standard's Huffman tables (number of codes of each length, symbols), by the byte that names them.
+STANDARD = {
+    0x00: ("00010501010101010100000000000000", "000102030405060708090a0b"),
+    0x01: ("00030101010101010101010000000000", "000102030405060708090a0b"),
+    0x10: (
+        "0002010303020403050504040000017d",
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a53"
+        "5455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9"
+        "cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+    ),
+    0x11: (
+        "00020102040403040705040400010277",
+        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a53"
+        "5455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8"
+        "c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+    ),
+}
+_PEEK = 16
+
+
+@lru_cache(64)
+def _look_up(counts: bytes, symbols: bytes) -> list[int]:
+    """For each next 16 bits: length << 8 | symbol of the code they begin with, 0 where there is none."""
+    table_, code, k = np.zeros(1 << _PEEK, np.int32), 0, 0
     for length, n in enumerate(counts, 1):
         for _ in range(n):
-            out[length, code] = symbols[k]
+            table_[code << (_PEEK - length) : (code + 1) << (_PEEK - length)] = length << 8 | symbols[k]
             code, k = code + 1, k + 1
         code <<= 1
-    return out
+    return table_.tolist()
+
+
+class Part(NamedTuple):
+    """A colour component: sampling factors, blocks in a row, quantised coefficients (blocks, 64) in zigzag
+    order, quantisation."""
+
+    h: int
+    v: int
+    across: int
+    coefs: np.ndarray
+    quant: np.ndarray
+
+
+def _decode_run(data: bytes, units: list, out: list, slots) -> None:
+    """Decodes the blocks of one restart interval: units are (component, dc table, ac table) of an MCU, slots
+    the places of each MCU's blocks."""
+    data, acc, have, at = data + b"\xff" * 8, 0, 0, 0
+    end, last = 8 * (len(data) - 8), [0] * len(out)
+    for places in slots:
+        for (c, dc, ac), place in zip(units, places):
+            row, k = out[c][place], 0
+            while k < 64:
+                while have < 32:
+                    acc, have, at = (acc << 8 | (data[at] if at < len(data) else 255)) & 0xFFFFFFFFFFFF, have + 8, at + 1
+                found = (ac if k else dc)[acc >> (have - _PEEK) & 0xFFFF]
+                if not found:
+                    raise ValueError("a code that no table has")
+                have -= found >> 8
+                symbol = found & 255
+                size = symbol & 15 if k else symbol
+                if size > 11 + 4 * (k > 0):
+                    raise ValueError("a coefficient of too many bits")
+                if k and not size and symbol != 0xF0:
+                    break  # end of block
+                k += symbol >> 4 if k else 0
+                v = 0
+                if size:
+                    have -= size
+                    v = acc >> have & ((1 << size) - 1)
+                    if not v >> (size - 1):
+                        v -= (1 << size) - 1
+                if k > 63:
+                    raise ValueError("a block of more than 64 coefficients")
+                if k == 0:
+                    last[c] += v
+                    v = last[c]
+                row[k] = v
+                k += 1
+            if 8 * at - have > end:
+                raise ValueError("a frame is cut off")
+
+
+def components(frame: bytes) -> tuple[list[Part], int, int]:
+    """A frame's components, width and height."""
+    try:
+        return _components(frame)
+    except (IndexError, KeyError, struct.error, TypeError) as e:
+        raise ValueError(f"not a whole JPEG frame: {e!r}") from e
 
 
-def coefficients(frame: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """A frame's quantised coefficients (blocks, 64) in zigzag order, its quantisation, width and height."""
-    at, huff, quant, scan, every, dims = 2, {}, {}, None, 0, None
+def _components(frame: bytes) -> tuple[list[Part], int, int]:
+    at, huff, quant, scan, every, parts = 2, {k: (bytes.fromhex(a), bytes.fromhex(b)) for k, (a, b) in STANDARD.items()}, {}, None, 0, None
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     while scan is None:
+        if frame[at] != 0xFF:
+            raise ValueError("no marker where one must be")
+        if frame[at + 1] == 0xFF:  # filling
+            at += 1
+            continue
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + size]
         if marker == 0xDB:
@@ -156,65 +265,61 @@ def coefficients(frame: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
                     raise ValueError("16-bit quantisation is not baseline")
                 quant[body[k] & 15] = np.frombuffer(body, np.uint8, 64, k + 1).astype(np.int64)
         elif marker == 0xC0:
-            bits, height, width, parts = struct.unpack_from(">BHHB", body)
-            if bits != 8 or parts != 1:
-                raise ValueError("only 8-bit greyscale frames are decoded")
-            dims = (width, height, body[8])
+            bits, height, width, n = struct.unpack_from(">BHHB", body)
+            if bits != 8 or n not in (1, 3) or not width or not height:
+                raise ValueError("only 8-bit frames of one or three components are decoded")
+            parts = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
+            if any(not 1 <= h <= 4 or not 1 <= v <= 4 for h, v, _ in parts.values()):
+                raise ValueError("sampling factors out of range")
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("only baseline frames are decoded")
         elif marker == 0xC4:
             k = 0
             while k < len(body):
                 n = sum(body[k + 1 : k + 17])
-                huff[body[k]] = _codes(body[k + 1 : k + 17], body[k + 17 : k + 17 + n])
+                huff[body[k]] = body[k + 1 : k + 17], body[k + 17 : k + 17 + n]
                 k += 17 + n
         elif marker == 0xDD:
             every = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
             scan = body
         at += 2 + size
-    width, height, table_ = dims
-    blocks = -(-width // 8) * (-(-height // 8))
-    data = frame[at : frame.rindex(b"\xff\xd9")]
-    runs = [x.replace(b"\xff\0", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", data)]
-    dc, ac = huff[scan[2] >> 4], huff[0x10 | scan[2] & 15]
-    if every == 1 and dc == ac == {(1, 0): 8} and all(len(x) == 72 for x in runs):
-        bits = np.unpackbits(np.frombuffer(b"".join(runs), np.uint8)).reshape(-1, 64, 9)
-        if not bits[:, :, 0].any():  # each symbol is the bit 0 and eight amplitude bits
-            v = np.packbits(bits[:, :, 1:], axis=2)[:, :, 0].astype(np.int64)
-            return np.where(v < 128, v - 255, v), quant[table_], width, height
-    out = np.zeros((blocks, 64), np.int64)
-    done = 0
-    for run in runs:
-        bits, p, last = np.unpackbits(np.frombuffer(run, np.uint8)).tolist(), 0, 0
-
-        def symbol(codes, p):
-            code = 0
-            for length in range(1, 17):
-                code = code << 1 | bits[p + length - 1]
-                if (length, code) in codes:
-                    return codes[length, code], p + length
-            raise ValueError("a code that no table has")
-
-        def amplitude(size, p):
-            v = int("".join(map(str, bits[p : p + size])) or "0", 2)
-            return (v if not size or v >> (size - 1) else v - (1 << size) + 1), p + size
-
-        for _ in range(min(every or blocks, blocks - done)):
-            size, p = symbol(dc, p)
-            diff, p = amplitude(size, p)
-            last += diff
-            out[done, 0], k = last, 1
-            while k < 64:
-                rs, p = symbol(ac, p)
-                if rs == 0:
-                    break
-                k += rs >> 4
-                if rs & 15:
-                    out[done, k], p = amplitude(rs & 15, p)
-                k += 1
-            done += 1
-    return out, quant[table_], width, height
+    if parts is None or scan[0] != len(parts):
+        raise ValueError("only frames of one interleaved scan are decoded")
+    end = frame.rfind(b"\xff\xd9")
+    if end < at:
+        raise ValueError("a frame is cut off")
+    runs = [x.replace(b"\xff\0", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", frame[at:end])]
+    if len(parts) == 1:
+        ((name, (_, _, q)),) = parts.items()
+        parts = {name: (1, 1, q)}
+        dc, ac = huff[scan[2] >> 4], huff[0x10 | scan[2] & 15]
+        if every == 1 and dc == ac == (b"\1" + b"\0" * 15, b"\x08") and all(len(x) == 72 for x in runs):
+            bits = np.unpackbits(np.frombuffer(b"".join(runs), np.uint8)).reshape(-1, 64, 9)
+            if not bits[:, :, 0].any() and len(bits) == -(-width // 8) * -(-height // 8):  # each symbol is the bit 0 and eight amplitude bits
+                v = np.packbits(bits[:, :, 1:], axis=2)[:, :, 0].astype(np.int64)
+                return [Part(1, 1, -(-width // 8), np.where(v < 128, v - 255, v), quant[q])], width, height
+    most = max(h for h, _, _ in parts.values()), max(v for _, v, _ in parts.values())
+    if any(most[0] % h or most[1] % v for h, v, _ in parts.values()):
+        raise ValueError("sampling factors that don't divide each other")
+    wide, high = -(-width // (8 * most[0])), -(-height // (8 * most[1]))  # in MCUs
+    tables = {scan[1 + 2 * k]: scan[2 + 2 * k] for k in range(scan[0])}
+    units, spots, out = [], [], []
+    mcu = np.arange(wide * high)
+    for c, (name, (h, v, _)) in enumerate(parts.items()):
+        out.append([[0] * 64 for _ in range(wide * high * h * v)])
+        dc, ac = _look_up(*huff[tables[name] >> 4]), _look_up(*huff[0x10 | tables[name] & 15])
+        for y in range(v):
+            for x in range(h):
+                units.append((c, dc, ac))
+                spots.append((mcu // wide * v + y) * wide * h + mcu % wide * h + x)
+    slots = np.stack(spots, 1).tolist()
+    every = every or len(slots)
+    if len(runs) < -(-len(slots) // every):
+        raise ValueError("a frame is cut off")
+    for k, first in enumerate(range(0, len(slots), every)):
+        _decode_run(runs[k], units, out, slots[first : first + every])
+    return [Part(h, v, wide * h, np.array(own, np.int64), quant[q]) for own, (h, v, q) in zip(out, parts.values())], width, height
 
 
 def decode_blocks(coefs: np.ndarray, quant: np.ndarray) -> np.ndarray:
@@ -222,11 +327,31 @@ def decode_blocks(coefs: np.ndarray, quant: np.ndarray) -> np.ndarray:
     return np.clip(np.floor((coefs * quant).astype(float) @ IDCT / 2**22 + 0.5) + 128, 0, 255).astype(np.uint8)
 
 
+def _plane(part: Part) -> np.ndarray:
+    return decode_blocks(part.coefs, part.quant).reshape(-1, part.across, 8, 8).swapaxes(1, 2).reshape(-1, part.across * 8)
+
+
+def brightness(frame: bytes) -> np.ndarray:
+    """The frame's brightness (height, width): its first component."""
+    parts, width, height = components(frame)
+    return _spread(parts, 0)[:height, :width]
+
+
+def _spread(parts: list[Part], k: int) -> np.ndarray:
+    """A component's plane in the size of the largest, each sample repeated."""
+    plane = _plane(parts[k])
+    return plane.repeat(max(p.v for p in parts) // parts[k].v, 0).repeat(max(p.h for p in parts) // parts[k].h, 1)
+
+
 def decode_jpeg(frame: bytes) -> np.ndarray:
-    """The frame's pixels (height, width)."""
-    coefs, quant, width, height = coefficients(frame)
-    across = -(-width // 8)
-    return decode_blocks(coefs, quant).reshape(-1, across, 8, 8).swapaxes(1, 2).reshape(-1, across * 8)[:height, :width]
+    """The frame's pixels (height, width), or (height, width, 3) in red, green, blue."""
+    parts, width, height = components(frame)
+    y, *rest = (_spread(parts, k)[:height, :width].astype(np.int64) for k in range(len(parts)))
+    if not rest:
+        return y.astype(np.uint8)
+    b, r = (x - 128 for x in rest)
+    rgb = np.stack([y + (91881 * r + 32768 >> 16), y - (22554 * b + 46802 * r + 32768 >> 16), y + (116130 * b + 32768 >> 16)], 2)
+    return np.clip(rgb, 0, 255).astype(np.uint8)
 
 
 def read_bytes(media: bytes) -> bytes:
@@ -234,7 +359,7 @@ def read_bytes(media: bytes) -> bytes:
     frames, _, plen = parse_riff(media)
     if plen is None:
         raise ValueError("a file without stored bytes")
-    return b"".join(_samples(coefficients(f)[0]).tobytes() for f in frames)[:plen]
+    return b"".join(_samples(components(f)[0][0].coefs).tobytes() for f in frames)[:plen]
 
 
 def _samples(coefs: np.ndarray) -> np.ndarray:
@@ -281,7 +406,7 @@ def clips_of(media: bytes | None) -> list[tuple[int, int, int, int, str]]:
     if media is None:
         return []
     frames, fps, _ = parse_riff(media)
-    hists = np.array([histogram(decode_jpeg(f)) for f in frames]).reshape(-1, BINS)
+    hists = np.array([histogram(brightness(f)) for f in frames]).reshape(-1, BINS)
     return _clip_rows(hists, fps)
 
 
@@ -295,12 +420,18 @@ def _clip_rows(hists: np.ndarray, fps: float) -> list[tuple[int, int, int, int,
 
 
 def clip_rows(files: DataFrame, file_id: str, media: str) -> DataFrame:
-    """One row per shot of each file: (id, clip, first_frame, end_frame, start_ms, end_ms, histogram)."""
-    schema = fields("clip int, first_frame int, end_frame int, start_ms long, end_ms long, histogram string")
+    """One row per shot of each file: (id, clip, first_frame, end_frame, start_ms, end_ms, histogram, error); a
+    file that can't be read has one row, with all but id and error null."""
+    schema = fields("clip int, first_frame int, end_frame int, start_ms long, end_ms long, histogram string, error string")
 
     def cut(ids, blobs):
-        rows = [(i, k, *c) for i, blob in zip(ids, blobs) for k, c in enumerate(clips_of(blob))]
-        return list(zip(*rows)) or [[]] * 7
+        rows = []
+        for i, blob in zip(ids, blobs):
+            try:
+                rows += [(i, k, *c, None) for k, c in enumerate(clips_of(blob))]
+            except ValueError as e:
+                rows.append((i, *[None] * 6, str(e)))
+        return list(zip(*rows)) or [[]] * 8
 
     picked = files.select(F.col(file_id).alias("id"), F.col(media).alias("media"))
     out = type(schema)([picked.schema["id"], *schema.fields])
@@ -326,9 +457,9 @@ def media_features(files: DataFrame) -> DataFrame:
         rows = []
         for i, n, blob in zip(ids, sizes, blobs):
             frames, fps, plen = parse_riff(blob)
-            parts = [coefficients(f) for f in frames]
-            payload = b"".join(_samples(p[0]).tobytes() for p in parts)[:plen]
-            pixels = decode_blocks(np.concatenate([p[0] for p in parts]), parts[0][1]).reshape(len(parts), -1)
+            parts = [components(f)[0][0] for f in frames]
+            payload = b"".join(_samples(p.coefs).tobytes() for p in parts)[:plen]
+            pixels = decode_blocks(np.concatenate([p.coefs for p in parts]), parts[0].quant).reshape(len(parts), -1)
             at = (pixels >> 4) + (np.arange(len(parts), dtype=np.int64) * BINS)[:, None]
             hists = np.bincount(at.ravel(), minlength=BINS * len(parts)).reshape(-1, BINS)
             clips = ",".join(f"{c[2]}-{c[3]}:{c[4]}" for c in _clip_rows(hists, fps))

@@ -171,9 +171,13 @@ def _date(text: str, key: bytes) -> str | None:
         return None
     at = lambda v: _DAY0 + datetime.timedelta(v)
 
+    short = {k for k in "md" if len(parts[k]) == 1}
+    plain = short and all(parts[k][0] != "0" for k in "md")  # written without filling zeros
+
     def fits(v):  # read back the same way, and as wide
         new = at(v)
-        return (order != "dmy" or new.day > 12) and (len(parts["m"]) == 2 or new.month < 10) and (len(parts["d"]) == 2 or new.day < 10)
+        own = {"m": new.month, "d": new.day}
+        return (order != "dmy" or new.day > 12) and all(own[k] < 10 if k in short else own[k] > 9 or not plain for k in "md")
 
     new = at(_walk((day - _DAY0).days, _DAYS, key, "date", fits))
     spelled = {"y": str(new.year), "m": f"{new.month:0{len(parts['m'])}}", "d": f"{new.day:0{len(parts['d'])}}"}

@@ -8,8 +8,9 @@ Spark counts the vote patterns over all documents (partial aggregation, then at
 estimation needs only those counts, so the driver's work doesn't grow with the corpus.
 
 Defined results: a null text has no words, as an empty one; both get n_words 0 and are rejected by
-the base rules. Repeated rows get equal results. An empty table gives an empty table. Columns of the
-input stay, whatever their names; an input column with the name of a result is an error.
+the base rules. Repeated rows get equal results. An empty table gives an empty table. keep_good()
+keeps all columns of its input, whatever their names. rule_features() and judge() add columns to those
+of their input; where one has the name of a result they raise ValueError and name it.
 """
 
 from __future__ import annotations
@@ -95,8 +96,14 @@ def _features(text: pd.Series) -> pd.DataFrame:
 _features = _features.asNondeterministic()
 
 
+def _no_clash(df: DataFrame, names) -> None:
+    if clash := {c.lower() for c in df.columns} & set(names):
+        raise ValueError(f"the input has columns with names of results: {', '.join(sorted(clash))}")
+
+
 def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the base counts and the rules' votes."""
+    _no_clash(docs, FEATURES.names)
     at = free_name(docs, "features")
     return docs.withColumn(at, _features(F.col(text))).select("*", f"{at}.*").drop(at)
 
@@ -154,6 +161,7 @@ def judge(featured: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds quality (posterior), base_failed and kept to rows that rule_features() made.
 
     The counts of vote patterns are taken over all rows of `featured`; it is read twice."""
+    _no_clash(featured, ("quality", "base_failed", "kept"))
     rows = featured.groupBy("votes").count().collect()  # at most 3 ** len(RULES)
     posterior = estimate({r[0]: r[1] for r in rows})
     spark = featured.sparkSession

@@ -9,7 +9,8 @@ after the words at both coordinates, its own and its source's, have been compare
 
 How Spark does it:
 1. Documents are read in blocks. A block hashes its windows, keeps the first of each and deals them
-   by hash, sorted and packed with their places (about 8 bytes a window). Later ones of the same
+   by hash, sorted and packed with their places (about 8 bytes a window) and the ids of the documents
+   that these lie in, of no others, so that a window costs no more with many buckets. Later ones of the same
    block are resolved in it, so a window that a third of all documents share has one entry a block.
 2. A hash bucket finds edges of several blocks and sends each block the first places.
 3. A block joins those with its own and compacts paths to spans. Only spans are stored.
@@ -17,7 +18,7 @@ How Spark does it:
 5. One join with the texts applies the spans.
 Blocks and buckets read one exchange, as in bpe.py.
 
-Order: a place is earlier by smaller document id (null ids last), then by the text's crc32, then by
+Order: a place is earlier by smaller document id (null ids last), then by the text's hash, then by
 start. Rows alike in id and text are one document; each gets its result. A null text has no words; a
 text of fewer than WINDOW words loses none. Very long texts make a block of their own. An empty table
 gives an empty table. Other columns stay in strip_repeats() and are ignored in repeats().
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import buckets_of, fields, free_name, map_rows, pack, store, table, unpack, words_of
 
 WINDOW = 20
-#: Words in a block, about.
+#: Words in a block, about, for up to 512 buckets; in proportion for more, up to eight times that.
 BLOCK_WORDS = 1 << 21
 BLOCK, EDGES = 0, 1
 NO_ID = np.iinfo(np.int64).max
@@ -85,7 +85,7 @@ def _power(m: np.uint64, n: int) -> np.uint64:
 def _blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """Rows (kind, key, block, payload) from docs (id, text)."""
     schema = fields("kind int, key long, block long, payload binary")
-    arrow = to_arrow_schema(schema)
+    arrow, most = to_arrow_schema(schema), BLOCK_WORDS * min(8, max(1, buckets // 512))
 
     def flush(block, ids, marks, hashes):
         order = np.lexsort((marks, ids))
@@ -108,10 +108,11 @@ def _blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         h, at = h[new], at[new]
         bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        head_ids = np.diff(ids, prepend=np.int64(0))
         for k, (a, b) in enumerate(zip(ends, ends[1:])):
             if b > a:
-                rows.append((EDGES, k, block, pack(head_ids, marks, sizes.astype(np.uint32), planes(np.diff(h[a:b], prepend=np.uint64(0))), planes(at[a:b].astype(np.uint32)))))
+                own = np.unique(doc_of[at[a:b]])
+                head = np.diff(ids[own], prepend=np.int64(0)), marks[own], np.diff(starts[own], prepend=0).astype(np.uint32)
+                rows.append((EDGES, k, block, pack(*head, planes(np.diff(h[a:b], prepend=np.uint64(0))), planes(at[a:b].astype(np.uint32)))))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
     def over(batches):
@@ -124,21 +125,20 @@ def _blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     raw = (t or "").encode()
                     own = raw.split()
                     ids.append(NO_ID if i is None else i)
-                    marks.append(zlib.crc32(raw))
+                    marks.append(xxhash.xxh64_intdigest(raw, 42))
                     hashes.append(np.fromiter(map(digest, own), np.uint64, len(own)))
                     held += len(own)
-                    if held >= BLOCK_WORDS:
-                        yield flush(task << 32 | nth, np.array(ids, np.int64), np.array(marks, np.uint32), hashes)
+                    if held >= most:
+                        yield flush(task << 32 | nth, np.array(ids, np.int64), np.array(marks, np.uint64).view(np.int64), hashes)
                         nth, ids, marks, hashes, held = nth + 1, [], [], [], 0
         if ids:
-            yield flush(task << 32 | nth, np.array(ids, np.int64), np.array(marks, np.uint32), hashes)
+            yield flush(task << 32 | nth, np.array(ids, np.int64), np.array(marks, np.uint64).view(np.int64), hashes)
 
     return docs.mapInArrow(over, schema)
 
 
-def _places(at: np.ndarray, ids: np.ndarray, marks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(at: np.ndarray, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, mark, start) of places given as word numbers in a block."""
-    starts = np.cumsum(sizes, dtype=np.int64) - sizes
     doc = np.searchsorted(starts, at, "right") - 1
     return ids[doc], marks[doc], at - starts[doc]
 
@@ -160,10 +160,10 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         names, blobs = rows.column("block").to_pylist(), rows.column("payload")
         hashes, ats, heads = [], [], []
         for blob in blobs:
-            ids, marks, sizes, h, at = unpack(blob.as_py())
+            ids, marks, starts, h, at = unpack(blob.as_py())
             hashes.append(np.cumsum(unplanes(h, np.uint64), dtype=np.uint64))
             ats.append(unplanes(at, np.uint32))
-            heads.append((np.cumsum(ids), marks, sizes))
+            heads.append((np.cumsum(ids), marks, np.cumsum(starts, dtype=np.int64)))
         every = np.concatenate(hashes)
         every.sort()
         twice = every[1:][every[1:] == every[:-1]]
@@ -195,7 +195,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if key[0].as_py() != BLOCK:
             return out_arrow.empty_table()
         ids, marks, sizes, at, head, twin, twin_head = unpack(block.column("payload")[0].as_py())
-        total = int(sizes.sum())
+        total, starts = int(sizes.sum()), np.cumsum(sizes) - sizes
         has, s_id, s_mark, s_start = np.zeros(total, bool), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64)
         for blob in met.column("payload"):
             t, i, m, d = unpack(blob.as_py())
@@ -203,18 +203,18 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             has[t], s_id[t], s_mark[t], s_start[t] = True, np.cumsum(i), m, d + t
         outer = has.copy()
         for targets, sources in ((at, head), (twin[outer[twin_head]], twin_head[outer[twin_head]])):
-            i, m, s = _places(sources.astype(np.int64), ids, marks, sizes)
+            i, m, s = _places(sources.astype(np.int64), ids, marks, starts)
             own = outer[sources]
             has[targets] = True
             s_id[targets], s_mark[targets], s_start[targets] = np.where(own, s_id[sources], i), np.where(own, s_mark[sources], m), np.where(own, s_start[sources], s)
         t = np.flatnonzero(has)
         if not len(t):
             return out_arrow.empty_table()
-        i, m, start = _places(t, ids, marks, sizes)
+        i, m, start = _places(t, ids, marks, starts)
         joined = (np.diff(t) == 1) & (np.diff(start) == 1) & (np.diff(s_id[t]) == 0) & (np.diff(s_mark[t]) == 0) & (np.diff(s_start[t]) == 1)
         a = np.concatenate([[0], np.flatnonzero(~joined) + 1])
         n = np.diff(np.concatenate([a, [len(t)]])) + window - 1
-        cols = [i[a], m[a].astype(np.int64), start[a], n, s_id[t[a]], s_mark[t[a]], s_start[t[a]]]
+        cols = [i[a], m[a], start[a], n, s_id[t[a]], s_mark[t[a]], s_start[t[a]]]
         return pa.Table.from_arrays([pa.array(c) for c in cols], schema=out_arrow)
 
     met = blocks.groupBy("kind", "key").applyInArrow(meet, back)
@@ -243,8 +243,8 @@ def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Verified repeated spans: (id, mark, start, n_words, source_id, source_mark, source_start). A
-    null id is the largest long; mark is the text's crc32."""
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("id"), F.crc32(F.coalesce(text, F.lit(""))).alias("mark"), F.col(text).alias("text"))
+    null id is the largest long; mark is the text's hash (XXH64, seed 42)."""
+    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.col(text).alias("text"))
     return verified(keyed, store(spans(keyed, window), "spans"))
 
 
@@ -292,7 +292,7 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str, window: int) -> tuple[D
     """(row, starts, sizes) for each row of docs; starts and sizes are null where nothing repeats."""
     cut = repeats(docs, doc_id, text, window).groupBy("id", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("n_words").alias("sizes"))
     row = free_name(docs, "row")
-    keyed = docs.select(F.struct(*docs.columns).alias(row), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("id"), F.crc32(F.coalesce(text, F.lit(""))).alias("mark"))
+    keyed = docs.select(F.struct(*docs.columns).alias(row), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
     return keyed.join(store(cut, "cuts"), ["id", "mark"], "left").select(row, "starts", "sizes"), row
 
 

@@ -13,7 +13,7 @@ hash of their id (all of them where there are fewer). Words and beginnings are c
 sample in Spark; those that toxic texts have significantly more often are chosen, at most CHOSEN.
 
 Defined results: a null text counts as empty; empty texts get the score of no evidence. Rows with a
-null id belong to the fold of crc32('') and have no label. Repeated rows get equal scores; a labels
+null id belong to the fold of crc32('') and have no label; of several labels of one id the largest counts. Repeated rows get equal scores; a labels
 table without toxic rows, or empty, gives the score 0 to all. Other columns are ignored.
 """
 
@@ -264,8 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     count = fold.count()
     if not count:
         return model, {}, 0.0
-    share = min(1.0, 0.95 * SAMPLE / count)
-    picked = fold.filter(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy(doc_id).agg(F.max(label).alias("y"))  # at most about SAMPLE rows
+    bound = min(1 << 63, int(0.95 * SAMPLE) * (1 << 63) // count)  # as finely as the hash, so never none
+    picked = fold.filter(F.xxhash64(doc_id).bitwiseAND((1 << 63) - 1) <= F.lit(max(0, bound - 1)).cast("long")).groupBy(doc_id).agg(F.max(label).alias("y"))  # at most about SAMPLE rows
     texts = docs.select(doc_id, text).join(F.broadcast(picked), doc_id).select("y", text)
 
     def look(ys, all_texts):

@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, licenses, lm, media, packing, pii, quality, simhash, substrings, toxicity
+from lodestrata.llm import bpe, chunks, licenses, lm, media, packing, pii, quality, simhash, substrings, toxicity
 from lodestrata.llm.common import crc_of_id, id_crc, store
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,6 +74,37 @@ def test_quality_keeps_rows_whole(spark, odd):
     assert quality.keep_good(odd.limit(0)).collect() == []
 
 
+def test_quality_names_clashing_columns(spark, odd):
+    for clash in ("votes", "N_words"):
+        with pytest.raises(ValueError, match=clash.lower()):
+            quality.rule_features(odd.withColumn(clash, F.lit(1)))
+    with pytest.raises(ValueError, match="kept"):
+        quality.judge(quality.rule_features(odd).withColumn("kept", F.lit(1)))
+    assert quality.keep_good(odd.withColumn("votes", F.lit(1))).columns == [*odd.columns, "votes"]
+
+
+def test_quality_posterior_equals_plain_em():
+    """Against a plain restatement row by row, on counts where no rate has to be tied."""
+    votes = {"+++++++++": 900, "0++++++++": 40} | {"".join("-" if r in (k, (k + 1) % 9) else "+" for r in range(9)): 20 + k for k in range(9)}
+    rows = [p for p, n in votes.items() for _ in range(n)]
+    good = {p: 1.0 if set(p) == {"+"} else (0.95, 0.4, 0.05)[min(2, p.count("-"))] for p in votes}
+    for _ in range(60):
+        share, rate = {}, {}
+        for c in (0, 1):
+            weight = {p: good[p] if c == 0 else 1 - good[p] for p in votes}
+            share[c] = (sum(weight[p] for p in rows) + 1) / (len(rows) + 2)
+            prior = [0.2 * len(rows) * x for x in quality.GOOD_VOTES] if c == 0 else [1 / 3] * 3
+            for r in range(9):
+                n = [sum(weight[p] for p in rows if p[r] == v) + x for v, x in zip("-0+", prior)]
+                rate[c, r] = {v: x / sum(n) for v, x in zip("-0+", n)}
+        assert all(rate[0, r]["-"] <= rate[1, r]["-"] and rate[0, r]["+"] >= rate[1, r]["+"] for r in range(9))  # none is tied
+        for p in votes:
+            odds = [share[c] * np.prod([rate[c, r][v] for r, v in enumerate(p)]) for c in (0, 1)]
+            good[p] = 1.0 if set(p) == {"+"} else odds[0] / sum(odds)
+    got = quality.estimate(votes)
+    assert all(got[p] == pytest.approx(good[p], abs=1e-6) for p in votes)
+
+
 def test_simhash_equals_all_pairs(spark):
     rng = random.Random(5)
     base = rng.getrandbits(64)
@@ -95,6 +126,18 @@ def test_simhash_of_texts(spark, odd):
     assert simhash.drop_near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_simhash_splits_long_lists(spark):
+    """Lists of a thousand fingerprints that share four, six or seven bytes, all paired through the tally."""
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    values = {base & ~0xFFFF | rng.getrandbits(16) for _ in range(600)} | {base & ~0xFF | k for k in range(256)} | {base ^ rng.getrandbits(24) << 30 for _ in range(300)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    table = spark.createDataFrame([(v,) for v in signed], "fp long")
+    want = {(x, y) for k, x in enumerate(signed) for y in signed[k + 1 :] if ((x ^ y) % (1 << 64)).bit_count() <= 2}
+    for limit in (simhash.LIST_LIMIT, 3):
+        assert {(r.a, r.b) for r in simhash.links(table, limit).collect()} == want
+
+
 def test_substrings_equal_plain_python(spark, odd):
     rng = random.Random(1)
     docs = [(d, " ".join(rng.choice("abc") for _ in range(rng.randrange(80)))) for d in range(60)] + [(99, None), (100, "")]
@@ -137,6 +180,58 @@ def test_packing_plans_hold_all_items():
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
 
 
+def test_packing_uses_few_sequences():
+    """Not more than one in ten above the best that can be, on small inputs where that is found exactly."""
+
+    def best(sizes, bins, capacity):
+        if not sizes:
+            return len(bins)
+        found, tried = len(bins) + len(sizes), set()
+        for k, b in enumerate(bins):
+            if b + sizes[0] <= capacity and b not in tried:
+                tried.add(b)
+                found = min(found, best(sizes[1:], [*bins[:k], b + sizes[0], *bins[k + 1 :]], capacity))
+        return min(found, best(sizes[1:], [*bins, sizes[0]], capacity))
+
+    rng, made, least = random.Random(4), 0, 0
+    for _ in range(60):
+        sizes = sorted((rng.randrange(1, 60) for _ in range(8)), reverse=True)
+        counts = {k: sizes.count(k) for k in sizes}
+        made += sum(n for _, n in packing.plan_bins(counts, 60))
+        least += best(sizes, [], 60)
+    assert made <= 1.05 * least
+
+
+@pytest.mark.parametrize("added_as_text", [False, True])
+def test_packing_ids_equal_the_library(spark, added_as_text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = added_as_text
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["ab", "'s", "dZ", " ", "  ", "é", "1 2", "\n", "\t", "\x85", "　", ".", "!", "<|endoftext|>", " <|endoftext|> x", "<|end", "the", " word"]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    got = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), open(JSON).read(), added_as_text=added_as_text).collect()
+    for r in got:
+        assert bytes(r.ids) == np.array([*library.encode(texts[r.id], add_special_tokens=False).ids, 2], np.uint32).tobytes()
+
+
+def test_packing_with_other_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, text = Tokenizer.from_file(path), "Some Words, and  more <|endoftext|> of them"
+    (row,) = packing.best_fit_packing(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).collect()
+    assert bytes(row.ids) == np.array([*library.encode(text, add_special_tokens=False).ids, 2], np.uint32).tobytes()
+
+
+def test_kept_chunks_are_bounded():
+    kept = chunks.Kept(100_000)
+    for k in range(10_000):
+        kept.put(f"word{k}", b"1234")
+        assert k < 5 or kept.older("word5") in (b"1234", None)
+    assert len(kept.found) + len(kept.before) < 700
+
+
 def test_packing_of_texts(spark, odd):
     got = packing.best_fit_packing(odd, JSON).toPandas()
     assert got.length.sum() == sum(len(b) // 4 for b in got.ids)
@@ -159,6 +254,20 @@ def test_bpe_equals_the_library(spark, odd):
     assert bpe.encode(odd, RANKS).count() == odd.count() and bpe.encode(odd.limit(0), RANKS).collect() == []
 
 
+def test_bpe_merges_long_and_odd_words():
+    ranks = bpe.read_ranks(open(RANKS, "rb").read())
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merges, rng = bpe.Merges(bpe.Merges.table(ranks)), random.Random(9)
+    words = [bytes(rng.choice(b"abcdE \n") for _ in range(rng.randrange(1, 900))) for _ in range(60)] + [b"a" * n for n in range(1, 60)] + [b"", b" the", "日本".encode()]
+    n, ids = merges(words)
+    ends = np.cumsum(n).tolist()
+    for w, a, b in zip(words, [0, *ends], ends):
+        want = enc._core_bpe.encode_single_piece(w) if w else []
+        assert ids[a:b].tolist() == want == merges.alone(w)
+    with pytest.raises(ValueError):
+        bpe.Merges.table({**{bytes([b]): b for b in range(256)}, b"abc": 256})
+
+
 def test_media_round_trip(spark, odd):
     payload = np.random.default_rng(1).integers(0, 256, 5000, dtype=np.uint8).tobytes()
     blob = media.store_bytes(payload)
@@ -180,6 +289,92 @@ def test_media_decodes_ordinary_codes():
     assert (media.decode_jpeg(frame) == 144).all()
 
 
+def _huffman(kind):
+    counts, symbols = map(bytes.fromhex, media.STANDARD[kind])
+    out, code, k = {}, 0, 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            out[symbols[k]] = format(code, f"0{length}b")
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def _encoded(parts, width, height, every=0):
+    """A JPEG frame without Huffman tables of the (h, v, coefficients (blocks, 64)) components."""
+    most = max(p[0] for p in parts), max(p[1] for p in parts)
+    wide, high = -(-width // (8 * most[0])), -(-height // (8 * most[1]))
+    head = b"\xff\xd8" + media._segment(0xDB, b"\0" + b"\1" * 64) + (media._segment(0xDD, bytes([0, every])) if every else b"")
+    head += media._segment(0xC0, bytes([8, 0, height, 0, width, len(parts)]) + b"".join(bytes([k, h << 4 | v, 0]) for k, (h, v, _) in enumerate(parts)))
+    head += media._segment(0xDA, bytes([len(parts)]) + b"".join(bytes([k, 0x11 if k else 0]) for k in range(len(parts))) + bytes([0, 63, 0]))
+    bits, runs, last = "", [], [0] * len(parts)
+
+    def number(v):
+        return "" if not v else format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b")
+
+    for mcu in range(wide * high):
+        if every and mcu and mcu % every == 0:
+            runs, bits, last = [*runs, bits], "", [0] * len(parts)
+        for c, (h, v, coefs) in enumerate(parts):
+            dc, ac = _huffman(int(c > 0)), _huffman(0x10 + (c > 0))
+            for y in range(v):
+                for x in range(h):
+                    own = coefs[(mcu // wide * v + y) * wide * h + mcu % wide * h + x].tolist()
+                    diff, last[c] = own[0] - last[c], own[0]
+                    bits += dc[abs(diff).bit_length()] + number(diff)
+                    zeros = 0
+                    for k, value in enumerate(own[1:], 1):
+                        if value:
+                            while zeros > 15:
+                                bits, zeros = bits + ac[0xF0], zeros - 16
+                            bits, zeros = bits + ac[zeros << 4 | abs(value).bit_length()] + number(value), 0
+                        else:
+                            zeros += 1
+                    bits += ac[0] if zeros else ""
+    out = b""
+    for k, run in enumerate([*runs, bits]):
+        run += "1" * (-len(run) % 8)
+        out += (bytes([0xFF, 0xD0 + (k - 1) % 8]) if k else b"") + int("1" + run, 2).to_bytes(len(run) // 8 + 1, "big")[1:].replace(b"\xff", b"\xff\0")
+    return head + out + b"\xff\xd9"
+
+
+def _avi(frames, broken_index=False):
+    chunks = [media._chunk(b"00dc", f) for f in frames]
+    at = np.cumsum([4, *map(len, chunks)]).tolist()
+    index = b"".join(b"00dc" + np.array([16, a + 7 * broken_index, len(f)], "<u4").tobytes() for a, f in zip(at, frames))
+    hdrl = media._chunk(b"LIST", b"hdrl" + media._chunk(b"avih", np.array([100_000, *[0] * 13], "<u4").tobytes()))
+    return media._chunk(b"RIFF", b"AVI " + hdrl + media._chunk(b"LIST", b"movi" + b"".join(chunks)) + media._chunk(b"idx1", index))
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(1, 1)] * 3, [(2, 1), (1, 1), (1, 1)], [(2, 2), (1, 1), (1, 1)]])
+@pytest.mark.parametrize("every", [0, 2])
+def test_media_decodes_colour_without_tables(sampling, every):
+    rng = np.random.default_rng(3)
+    width, height, most = 50, 37, (max(h for h, _ in sampling), max(v for _, v in sampling))
+    blocks = -(-width // (8 * most[0])) * -(-height // (8 * most[1]))
+    parts = [(h, v, np.where(rng.random((blocks * h * v, 64)) < 0.1, rng.integers(-300, 300, (blocks * h * v, 64)), 0)) for h, v in sampling]
+    frame = _encoded(parts, width, height, every)
+    got, w, h = media.components(frame)
+    assert (w, h) == (width, height) and all((g.coefs == p[2]).all() for g, p in zip(got, parts))
+    assert media.decode_jpeg(frame).shape == ((height, width) if len(sampling) == 1 else (height, width, 3))
+
+
+def test_media_colours():
+    flat = lambda *v: _encoded([(1, 1, np.array([[8 * x] + [0] * 63])) for x in v], 8, 8)
+    assert (media.decode_jpeg(flat(0, 0, 0)) == 128).all()
+    assert (media.decode_jpeg(flat(-52, -43, 127)) == [254, 0, 0]).all()  # red
+
+
+def test_media_reads_what_can_be_read(spark):
+    dark, light = (_encoded([(2, 2, np.array([[8 * v] + [0] * 63] * 4)), *[(1, 1, np.zeros((1, 64), int))] * 2], 16, 16) for v in (-100, 100))
+    good, wrong_index, cut_off = _avi([dark] * 3 + [light] * 3), _avi([dark] * 3 + [light] * 3, True), _avi([dark[:-9]] * 2)
+    bad = [cut_off, good[: len(good) // 2], b"RIFF", b"", b"text", _avi([b"\xff\xd8\xff\xc0"]), _avi([dark[:40] + b"\xff\xd9"])]
+    files = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate([good, wrong_index, *bad])] + [(99, None)], "f long, clip binary")
+    rows = media.clip_rows(files, "f", "clip").collect()
+    assert [(r.clip, r.first_frame, r.end_frame, r.error) for r in rows if r.id == 0] == [(0, 0, 3, None), (1, 3, 6, None)] == [(r.clip, r.first_frame, r.end_frame, r.error) for r in rows if r.id == 1]
+    assert sorted(r.id for r in rows if r.error) == list(range(2, 9)) and all(r.clip is None for r in rows if r.error)
+
+
 def test_media_shots_and_clips(spark):
     hists = np.array([[100, 0]] * 10 + [[0, 100]] * 12)
     assert media.shots(hists) == [(0, 10), (10, 22)] and media.shots(hists[:0]) == []
@@ -232,6 +427,82 @@ def test_licenses_at_every_place_and_in_other_words():
     assert found("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nx") == [("MIT", True), ("Apache-2.0", True), ("GPL-2.0-only", True)]
 
 
+def test_licenses_of_three_notices_and_full_texts():
+    named = dict.fromkeys(k for k, _ in licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES:
+        assert (name, True) in [(h[2], h[6]) for h in licenses.scan(f"begin {template} end")], template
+    three = licenses.scan(" and ".join([licenses.TEMPLATES[3][1]] * 3))
+    assert [(h[2], h[6]) for h in three] == [("MIT", True)] * 3
+    assert "BSD" not in named and [(h[2], h[6]) for h in licenses.scan(dict(licenses.TEMPLATES)["BSD-3-Clause"])][0][0] == "BSD-3-Clause"
+
+
+def test_licenses_equal_a_plain_search():
+    """Texts of noise and exact notices: the same places as by searching each notice's words at every word."""
+    rng = random.Random(8)
+    noise = [w for w in "the of and data license copyright under is a this work general to in for warranty".split()]
+    for _ in range(30):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            words += [rng.choice(noise) for _ in range(rng.randrange(150, 400))]
+            words += licenses.TEMPLATES[rng.randrange(len(licenses.TEMPLATES))][1].split()
+        text = " ".join(words)
+        plain, want = licenses._words(text), {}
+        for (name, _), template in zip(licenses.TEMPLATES, licenses._TEMPLATE_WORDS):
+            for k in range(len(plain) - len(template) + 1):
+                if plain[k : k + len(template)] == template:
+                    want.setdefault(k, []).append((len(template), name))
+        longest, end = [], 0
+        for k in sorted(want):
+            n, name = max(want[k])
+            if k >= end:
+                longest.append(name)
+                end = k + n
+        assert sorted(h[2] for h in licenses.scan(text) if h[6]) == sorted(longest)
+
+
+def test_licenses_are_looked_for_alike_in_the_jvm(spark):
+    texts = ["Licen\u017fe granted", "LICENSE x", "\u00e9license", "license\u00e9", "re_license", "relicensed", "Permissions", "SPDX-License-Identifier: MIT", "", "redistributable"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(licenses.MARKS.pattern).alias("hit")).collect()
+    assert all(r.hit == bool(licenses.MARKS.search(r.t)) for r in rows)
+
+
+def _bijection(kind, values):
+    made = {v: pii.KINDS[kind](v, b"k") for v in values}
+    assert None not in made.values() and set(made.values()) == set(values), kind
+
+
+def test_pseudonyms_permute_whole_domains():
+    """Every kind on all values of a small domain: one-to-one onto it, and an end."""
+    digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    _bijection("secret", [f"{k:04}" for k in range(10_000)])  # digits only
+    _bijection("secret", [a + b for a in letters for b in letters])  # letters only, hexadecimal ones among them
+    pairs = [a + b + c for a in digits + "abcdef" for b in digits + "abcdef" for c in digits + "abcdef"]
+    _bijection("secret", [p for p in pairs if pii._hexadecimal(p)])
+    _bijection("secret", [a + b for a in letters for b in digits if not pii._hexadecimal(a + b)])
+    _bijection("number", [f"7{k:03}" for k in range(1000) if k != 777])
+    _bijection("email", [f"{a}{b}@x.org" for a in letters for b in digits])
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(73049)]
+    for order in ("{y}-{m:02}-{d:02}", "{m}/{d}/{y}"):  # m/d/y with zeros goes as y-m-d
+        spelled = {order.format(y=x.year, m=x.month, d=x.day) for x in days}
+        _bijection("date", [s for s in spelled if order != "{m}/{d}/{y}" or re.fullmatch("./../....", s)])
+    _bijection("date", [f"{x.day:02}.{x.month:02}.{x.year}" for x in days if x.day > 12])
+    cards = {pii._card(pii._checked(f"411111111{k:03}"), b"k") for k in range(1000)}
+    assert len(cards) == 1000 and all(pii.luhn(c) and c[0] == "4" for c in cards)
+
+
+@pytest.mark.parametrize("text", ["password: 12345678", "pwd=20230101", "token=deadbeef", "secret: 00000000", "api_key=aaaaaaaa", "pwd: --------", "card 4444444444444448", "password: " + "7" * 3000, "+10000000000"])
+def test_pseudonyms_end(text):
+    new, spans = pii.pseudonymise(text, b"k")
+    assert len(new) == len(text) and len(spans) <= 1
+    assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", text) or not re.search("[:=+] ?[0-9]", text)
+
+
+def test_pseudonyms_keep_widths_of_dates():
+    for text in ("1/2/2020", "12/2/2020", "1/22/2020", "2020-1-5", "31.12.1999"):
+        new = pii.pseudonymise(text, b"k")[0]
+        assert new != text and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", text)
+
+
 def test_pseudonyms_keep_formats_and_links():
     key = b"k"
     assert sorted(pii.permute(v, 1000, key, "t") for v in range(1000)) == list(range(1000))
@@ -289,8 +560,8 @@ def test_pseudonyms_leave_tables_of_numbers():
 
 
 def test_pseudonyms_of_a_table(spark, odd):
-    out = pii.mask(odd)
-    assert out.columns == odd.columns and out.count() == odd.count() and pii.mask(odd.limit(0)).collect() == []
+    out = pii.mask(odd, b"k")
+    assert out.columns == odd.columns and out.count() == odd.count() and pii.mask(odd.limit(0), b"k").collect() == []
 
 
 def test_language_model_gradients():
@@ -321,6 +592,32 @@ def test_language_model_gradients():
         assert grad[k][i] == pytest.approx((up - down) / (2 * e), rel=1e-2)
 
 
+def test_language_model_trains_on_whole_documents():
+    """One document of 5,000 tokens in which each word follows from the one 700 before its piece of 512: the
+    state goes through, and no window starts anew."""
+    doc = np.arange(5000, dtype=np.int32) % 7
+    streams = lm.Streams([doc, doc[:40]], mixed=1)
+    assert (streams.before == lm.START).sum() == 2 and streams.lengths.max() == 5000
+    trainer = lm.Trainer(lm.fresh(), 0.02)
+    for _ in range(12):
+        trainer.over([doc, doc[:40]])
+    assert all(np.isfinite(v).all() for v in trainer.w.values())
+    before, after = (lm.log_probabilities(w, [doc])[0] for w in (lm.fresh(), trainer.w))
+    assert after > before
+
+
+def test_language_model_warm_start_never_vanishes():
+    assert lm.below(10) == 1 << 64 and lm.below(10**13) == (lm.WARM << 64) // 10**13 and lm.below(10**30) == 1 << 20
+
+
+def test_language_model_of_many_null_ids(spark):
+    rows = [(None, f"word{k % 977} and {k} more") for k in range(20_000)] + [(None, "the same text")] * 5_000
+    got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas()
+    assert len(got) == 25_000 and np.isfinite(got.score).all()
+    same = got[(got.n_tokens == 4) & (got.base_score == got[got.n_tokens == 4].base_score.max())]
+    assert len(same) == 5000 and same.score.max() - same.score.min() < 1e-3
+
+
 def test_language_model_on_tables(spark, odd):
     p = lm.scored(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).toPandas()
     docs = dict(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())

@@ -30,10 +30,9 @@ def test_run_equals_plain_python(spark):
     for d, t in docs:
         parts = re.findall(rf"([{SPACES}]*)([^{SPACES}]+)", t)
         cut.append((d, "".join(a + w for k, (a, w) in enumerate(parts) if k not in gone[d]).lstrip(SPACES) if gone[d] else t))
-    docs = [(d, pii.pseudonymise(t, pii.DEFAULT_KEY)[0]) for d, t in cut]
+    docs = [(d, pii.pseudonymise(t, pii.EXAMPLE_KEY)[0]) for d, t in cut]
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = {d: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], np.uint32).tobytes() for d, t in docs}
     assert set(want) == set(got.doc_id)
     for d, pieces in got.sort_values("start").groupby("doc_id"):
