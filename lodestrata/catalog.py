@@ -11,6 +11,7 @@ from . import catalog_sql as Q
 from .functions import geometry as G
 from .functions import potentials as P
 from .operators import eam, neighbors, trajectory
+from .operators.ranks import rank_by
 from .plans import thermo
 from .sources import generate, setfl, xyz
 from .streaming import dynamics
@@ -92,7 +93,9 @@ def analytic(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, P.Anal
 
 def per_atom(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     atoms, cells, potential, found = analytic(spark, sf)
-    return eam.forces_and_virials(eam.densities(atoms, found, potential), found), cells
+    dense = eam.densities(atoms, found, potential)
+    again = potential.at_pairs(neighbors.cell_list_pairs(dense, cells, RC, carry=("dembedding",)))
+    return eam.forces_and_virials(dense, again), cells
 
 
 PART = (Q.PART_ATOMS, Q.PART_CELLS)
@@ -513,20 +516,18 @@ def density_histogram(spark, sf):
 
 @query(EAM + " select atom_id, (row_number() over (order by rho, atom_id))::int as nth, " + Q.r6("rho", "embedding") + " from per_atom")
 def embedding_trace(spark, sf):
-    from pyspark.sql import Window
-
     atoms, _, potential, found = analytic(spark, sf)
-    dense = eam.densities(atoms, found, potential)
-    return r6(dense.select("atom_id", F.row_number().over(Window.partitionBy("config_id").orderBy("rho", "atom_id")).alias("nth"), "rho", "embedding"), "rho", "embedding")
+    dense = eam.densities(atoms, found, potential).select("config_id", "atom_id", "rho", "embedding")
+    return r6(rank_by(dense, "config_id", "rho", "atom_id", "nth").select("atom_id", F.col("nth").cast("int").alias("nth"), "rho", "embedding"), "rho", "embedding")
 
 
-@query("select count(*) as n, 0.0::double as max_abs, 0.0::double as rms from part")
+@query(EAM + f", other as ({Q.eam(*PART, pair_scales=(1.02, 0.93, 0.9))} select atom_id, energy from per_atom) select count(*) as n, round(max(abs(a.energy - o.energy)), 6) as max_abs, round(sqrt(avg((a.energy - o.energy) * (a.energy - o.energy))), 6) as rms, round(max(abs(a.energy - o.energy) / greatest(abs(o.energy), 1e-12::double)), 6) as max_relative from per_atom a join other o using (atom_id)")
 def error_metrics(spark, sf):
+    """Energies by two potentials that differ in the pair energies."""
     atoms, cells = part_atoms(spark, sf)
-    potential = P.AnalyticPotential(RC)
-    a = eam.densities_and_energies(atoms, potential.at_pairs(neighbors.cell_list_pairs(atoms, cells, RC)), potential)
-    b = eam.densities_and_energies(atoms, potential.at_pairs(neighbors.all_pairs(atoms, cells, RC)), potential)
-    return r6(eam.differences(a, b, ["config_id", "atom_id"], "energy").drop("max_relative"), "max_abs", "rms")
+    found = neighbors.cell_list_pairs(atoms, cells, RC)
+    a, b = (eam.densities_and_energies(atoms, p.at_pairs(found), p) for p in (P.AnalyticPotential(RC), P.AnalyticPotential(RC, pair_scale=(1.02, 0.93, 0.9))))
+    return r6(eam.differences(a, b, ["config_id", "atom_id"], "energy"), "max_abs", "rms", "max_relative")
 
 
 @query()
@@ -722,9 +723,7 @@ def _eos(spark) -> DataFrame:
 @query()
 def bm_fit(spark, sf):
     """No SQL: a fit; tests compare it with the form it comes from."""
-    rows = thermo.birch_murnaghan(_eos(spark).withColumn("config_id", F.lit("fcc")))
-    names = ["config_id", "e0", "v0", "b0", "b0_prime"]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], "config_id string, e0 double, v0 double, b0 double, b0_prime double")
+    return thermo.birch_murnaghan(_eos(spark).withColumn("config_id", F.lit("fcc")))
 
 
 _DELTAS = [-0.015, -0.01, -0.005, 0.005, 0.01, 0.015]
@@ -960,6 +959,35 @@ def qha_grid(spark, sf):
     return r6(thermo.quasi_harmonic(static, t, 343.0, 11.81, 2.0), "volume", "free_energy")
 
 
+_NPT = f"(select c, temperature, volume, row_number() over (partition by c order by o_orderkey) as nth, count(*) over (partition by c) as n from {_SERIES})"
+
+
+@query(f"select 't' || c as config_id, count(*) as n, round(avg(temperature), 6) as temperature, round(avg(volume), 6) as volume, round(cbrt(avg(volume) / 108 * 4), 6) as a, round(stddev_pop(cbrt(volume / 108 * 4)), 6) as a_deviation from {_NPT} where nth > greatest(1, n // 5) group by c")
+def npt_statistics(spark, sf):
+    return r6(thermo.npt_statistics(trajectory.trimmed(_series(spark, sf), "step")), "temperature", "volume", "a", "a_deviation")
+
+
+@query(f"with t as (select t, 3 * 8.617333e-5::double as c_v from {_TS}) select t as temperature, round(c_v / 8.617333e-5::double, 6) as c_v, round((c_v + 9 * pow(16.6e-6::double, 2) * 140.0::double / 160.21766::double * 11.81::double * t) / 8.617333e-5::double, 6) as c_p from t")
+def heat_capacity_at_pressure(spark, sf):
+    t = table(spark, sf, "nation").select((50.0 + 10 * F.col("n_nationkey")).alias("temperature"), F.lit(3 * thermo.K_B).alias("c_v"))
+    c_p = thermo.at_pressure(F.col("c_v"), F.col("temperature"), 16.6e-6, 140.0, 11.81)
+    return r6(t.select("temperature", (F.col("c_v") / thermo.K_B).alias("c_v"), (c_p / thermo.K_B).alias("c_p")), "c_v", "c_p")
+
+
+_QHA = f"""{_EOS}, g as (select volume / 108 as v, energy / 108 as e from totals), nodes as (select unnest([{', '.join(repr(float((a + 1) / 2)) + '::double' for a in __import__('numpy').polynomial.legendre.leggauss(16)[0])}]) as u, unnest([{', '.join(repr(float(b / 2)) + '::double' for b in __import__('numpy').polynomial.legendre.leggauss(16)[1])}]) as w),
+x as (select t, v, e, 343.0::double * pow(11.81::double / v, 2.0) / t as x from g, {_TS}), d as (select t, v, e, x, 3 / pow(x, 3) * sum(w * x * pow(u * x, 3) / (exp(u * x) - 1)) as d3 from x, nodes group by all),
+f as (select t, v, e + 8.617333e-5::double * t * (9 * x / 8 + 3 * ln(1 - exp(-x)) - d3) as f, 8.617333e-5::double * (4 * d3 - 3 * ln(1 - exp(-x))) as s from d),
+b as (select t, arg_min(v, f) as bv, min(f) as bf, arg_min(s, f) as bs from f group by t)"""
+
+
+@query(_QHA + " select t as temperature, round(bv, 6) as volume, round(bf, 6) as free_energy, round(bs, 6) as entropy, round((lead(bv) over w - lag(bv) over w) / (3 * bv * (lead(t) over w - lag(t) over w)) * 1e6, 4) as alpha from b window w as (order by t)")
+def qha_quantum(spark, sf):
+    static = _eos(spark).select((F.col("volume") / 108).alias("volume"), (F.col("energy") / 108).alias("energy"))
+    t = table(spark, sf, "nation").select((50.0 + 10 * F.col("n_nationkey")).alias("temperature"))
+    found = thermo.quasi_harmonic_quantum(static, t, thermo.gauss_legendre(spark), 343.0, 11.81, 2.0)
+    return r6(found, "volume", "free_energy", "entropy").withColumn("alpha", F.round(F.col("alpha") * 1e6, 4))
+
+
 @query("select round(-regr_slope(ln(7.2::double * pow(p_retailprice / 1000, -1.9::double) * (1 + 0.001 * p_size)), ln(p_retailprice / 1000)), 6) as gamma from part")
 def gruneisen(spark, sf):
     v = F.col("p_retailprice") / 1000

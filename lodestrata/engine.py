@@ -24,8 +24,8 @@ class Result:
 
 
 class Engine:
-    def __init__(self, potential: Potential, strategy: str = "auto", skin: float = 0.0, validate: bool = True, persist: bool = False, elements: list[str] | None = None):
-        self.potential, self.strategy, self.skin, self.validate, self.persist = potential, strategy, skin, validate, persist
+    def __init__(self, potential: Potential, strategy: str = "auto", skin: float = 0.0, validate: bool = True, persist: bool = False, elements: list[str] | None = None, cell_size: float | None = None):
+        self.potential, self.strategy, self.skin, self.validate, self.persist, self.cell_size = potential, strategy, skin, validate, persist, cell_size
         meta = getattr(potential, "meta", {})
         self.elements = elements or meta.get("elements") or [str(k) for k in range(len(getattr(potential, "density_scale", (1,))))]
 
@@ -43,15 +43,30 @@ class Engine:
 
     def pairs(self, atoms: DataFrame, cells: DataFrame) -> DataFrame:
         """Evaluated pairs; with persist they are kept between the two passes instead of made twice."""
+        self._check(atoms, cells)
+        found = self._evaluated(atoms, cells, self._strategy(atoms))
+        return found.persist() if self.persist else found
+
+    def _check(self, atoms: DataFrame, cells: DataFrame) -> None:
         if self.validate:
             validation.check_cells(cells, self.cutoff)
             validation.check_atoms(atoms, cells, self.n_elements)
-        found = self.potential.at_pairs(neighbors.pairs(atoms, cells, self.cutoff, self.strategy))
-        return found.persist() if self.persist else found
+
+    def _evaluated(self, atoms: DataFrame, cells: DataFrame, strategy: str, carry: tuple[str, ...] = ()) -> DataFrame:
+        width = {"width": self.cell_size} if strategy == "cell_list" else {}
+        return self.potential.at_pairs(neighbors.pairs(atoms, cells, self.cutoff, strategy, carry=carry, **width))
+
+    def _strategy(self, atoms: DataFrame) -> str:
+        return neighbors.chosen(atoms) if self.strategy == "auto" else self.strategy
 
     def _all(self, atoms: DataFrame, cells: DataFrame) -> DataFrame:
-        found = self.pairs(atoms, cells)
-        return eam.forces_and_virials(eam.densities(atoms, found, self.potential), found)
+        if self.persist:
+            found = self.pairs(atoms, cells)
+            return eam.forces_and_virials(eam.densities(atoms, found, self.potential), found)
+        self._check(atoms, cells)
+        strategy = self._strategy(atoms)
+        dense = eam.densities(atoms, self._evaluated(atoms, cells, strategy), self.potential)
+        return eam.forces_and_virials(dense, self._evaluated(dense, cells, strategy, ("dembedding",)))
 
     def compute(self, atoms: DataFrame, cells: DataFrame) -> Result:
         full = self._all(atoms, cells)

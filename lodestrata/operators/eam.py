@@ -1,12 +1,13 @@
 """Energies, forces, virials and stresses as two grouped sums over pairs.
 
 Pass one sums the partners' densities at each atom; the embedding slope of that density is the only
-thing that pass two needs of both atoms. Partial sums run before each shuffle. Atoms without partners
+thing that pass two needs of both atoms. It is cheaper to make the pairs again, with the slopes carried
+on the atoms, than to shuffle pairs by either atom to fetch them. Partial sums run before each shuffle. Atoms without partners
 have density 0 and stay, by a left join. Columns that nobody selects are pruned by Spark."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -25,10 +26,16 @@ def densities(atoms: DataFrame, evaluated: DataFrame, potential: Potential) -> D
 
 
 def forces_and_virials(dense: DataFrame, evaluated: DataFrame) -> DataFrame:
-    """dense with pair_energy, energy, fx, fy, fz and the atom's virial w_xx..w_xy (half of each pair's)."""
+    """dense with pair_energy, energy, fx, fy, fz and the atom's virial w_xx..w_xy (half of each pair's).
+    Pairs that carry dembedding from both atoms are only summed; others are joined with it first."""
+    if "dembedding_i" in evaluated.columns:
+        return _summed(dense, evaluated.withColumnsRenamed({"dembedding_i": "slope_i", "dembedding_j": "slope_j"}))
     slope = dense.select("config_id", F.col("atom_id").alias("i"), F.col("dembedding").alias("slope_i"))
     other = dense.select("config_id", F.col("atom_id").alias("j"), F.col("dembedding").alias("slope_j"))
-    both = evaluated.join(slope, ["config_id", "i"]).join(other, ["config_id", "j"])
+    return _summed(dense, evaluated.join(slope, ["config_id", "i"]).join(other, ["config_id", "j"]))
+
+
+def _summed(dense: DataFrame, both: DataFrame) -> DataFrame:
     pull = (F.col("slope_i") * F.col("df_j") + F.col("slope_j") * F.col("df_i") + F.col("dphi")) / F.sqrt("r2")
     both = both.withColumns({f"f{a}": pull * F.col(f"d{a}") for a in "xyz"})
     sums = both.groupBy("config_id", F.col("i").alias("atom_id")).agg(
@@ -67,8 +74,8 @@ def totals(per_atom: DataFrame, cells: DataFrame) -> DataFrame:
 def atom_stresses(per_atom: DataFrame, cells: DataFrame) -> DataFrame:
     """per_atom with s_* = -N / V w_*, whose mean over atoms is the configuration's stress."""
     space = cells.select("config_id", F.when(F.col("pbc"), G.volume()).alias("volume"))
-    n = F.count("*").over(Window.partitionBy("config_id"))
-    out = per_atom.join(space, "config_id").withColumn("n", n)
+    n = per_atom.groupBy("config_id").agg(F.count("*").alias("n"))
+    out = per_atom.join(space.join(n, "config_id"), "config_id")
     return out.withColumns({f"s_{v}": F.coalesce(F.when(F.col("volume") > 0, -F.col("n") / F.col("volume") * F.col(f"w_{v}")), F.lit(0.0)) for v, *_ in VOIGT}).drop("n", "volume")
 
 

@@ -9,28 +9,29 @@ bound, which leaves out an atom and its image at the same place."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .ranks import sum_before
 
 LOWEST_R2 = 1e-4
-#: Atoms in a configuration from which the cell list is quicker than all pairs.
-ALL_PAIRS_UP_TO = 7000
+#: Atoms in a configuration up to which all pairs are compared when no strategy is asked for.
+ALL_PAIRS_UP_TO = 700
 _CELL = ["cx", "cy", "cz"]
 
 
-def _positions(atoms: DataFrame, cells: DataFrame) -> DataFrame:
+def _positions(atoms: DataFrame, cells: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """atoms with their cell's geometry, unless they have it."""
     geometry = G.with_geometry(cells).select("config_id", "pbc", *(c for r in (*G.H, *G.INV) for c in r), *(f"height{k}" for k in range(3)))
-    placed = atoms.select("config_id", "atom_id", "type", "x", "y", "z").join(geometry, "config_id")
+    placed = atoms.select("config_id", "atom_id", "type", "x", "y", "z", *carry).join(geometry, "config_id")
     return placed.withColumns({f"s{k}": s for k, s in enumerate(G.fractional("x", "y", "z"))})
 
 
-def assign_cells(atoms: DataFrame, cells: DataFrame, width: float) -> DataFrame:
+def assign_cells(atoms: DataFrame, cells: DataFrame, width: float, carry: tuple[str, ...] = ()) -> DataFrame:
     """atoms with geometry, grid size nx, ny, nz and cell cx, cy, cz. Clusters get the grid of their
     bounding box with half a width around it, clamped at its ends."""
-    placed, parts = _positions(atoms, cells), []
+    placed, parts = _positions(atoms, cells, carry), []
     kinds = {r[0] for r in cells.select("pbc").distinct().collect()}  # two at most
     if True in kinds or not kinds:
         sizes = {f"n{a}": G.grid_size(F.col(f"height{k}"), width) for k, a in enumerate("xyz")}
@@ -60,70 +61,58 @@ def stencil(binned: DataFrame) -> DataFrame:
     return binned
 
 
-def _displaced(both: DataFrame) -> DataFrame:
+def _displaced(both: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """both with dx, dy, dz, r2. The generator keeps the optimizer from writing the displacement out
     again for each use of it in the join's condition."""
     off = [F.col(f"js{k}") - F.col(f"s{k}") for k in range(3)]
     moved = G.cartesian([s - F.rint(s) for s in off])
     plain = [F.col(f"j{a}") - F.col(a) for a in "xyz"]
     d = F.struct(*(F.when(F.col("pbc"), m).otherwise(p).alias(f"d{a}") for m, p, a in zip(moved, plain, "xyz")))
-    found = both.select("config_id", "atom_id", "j_id", "type", "j_type", F.inline(F.array(d)))
+    found = both.select("config_id", "atom_id", "j_id", "type", "j_type", *carry, *(f"j_{c}" for c in carry), F.inline(F.array(d)))
     return found.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
 
 
-def _within(both: DataFrame, cutoff: float, lowest: float | None) -> DataFrame:
-    found = _displaced(both)
+def _within(both: DataFrame, cutoff: float, lowest: float | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    found = _displaced(both, carry)
     found = found.filter(F.col("r2") < cutoff * cutoff)
     if lowest is not None:
         found = found.filter(F.col("r2") > lowest)
-    return found.select("config_id", F.col("atom_id").alias("i"), F.col("j_id").alias("j"), F.col("type").alias("ti"), F.col("j_type").alias("tj"), "dx", "dy", "dz", "r2")
+    return found.select("config_id", F.col("atom_id").alias("i"), F.col("j_id").alias("j"), F.col("type").alias("ti"), F.col("j_type").alias("tj"), "dx", "dy", "dz", "r2", *(F.col(c).alias(f"{c}_i") for c in carry), *(F.col(f"j_{c}").alias(f"{c}_j") for c in carry))
 
 
-def _displaced(both: DataFrame) -> DataFrame:
-    """both with dx, dy, dz, r2. The generator keeps the optimizer from writing the displacement out
-    again for each use of it in the join's condition."""
-    off = [F.col(f"js{k}") - F.col(f"s{k}") for k in range(3)]
-    moved = G.cartesian([s - F.rint(s) for s in off])
-    plain = [F.col(f"j{a}") - F.col(a) for a in "xyz"]
-    d = F.struct(*(F.when(F.col("pbc"), m).otherwise(p).alias(f"d{a}") for m, p, a in zip(moved, plain, "xyz")))
-    found = both.select("config_id", "atom_id", "j_id", "type", "j_type", F.inline(F.array(d)))
-    return found.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+def _partners(atoms: DataFrame, *keys: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return atoms.select("config_id", *keys, F.col("atom_id").alias("j_id"), F.col("type").alias("j_type"), *(F.col(a).alias(f"j{a}") for a in ("x", "y", "z", "s0", "s1", "s2")), *(F.col(c).alias(f"j_{c}") for c in carry))
 
 
-def _within(both: DataFrame, cutoff: float, lowest: float | None) -> DataFrame:
-    found = _displaced(both)
-    found = found.filter(F.col("r2") < cutoff * cutoff)
-    if lowest is not None:
-        found = found.filter(F.col("r2") > lowest)
-    return found.select("config_id", F.col("atom_id").alias("i"), F.col("j_id").alias("j"), F.col("type").alias("ti"), F.col("j_type").alias("tj"), "dx", "dy", "dz", "r2")
-
-
-def _partners(atoms: DataFrame, *keys: str) -> DataFrame:
-    return atoms.select("config_id", *keys, F.col("atom_id").alias("j_id"), F.col("type").alias("j_type"), *(F.col(a).alias(f"j{a}") for a in ("x", "y", "z", "s0", "s1", "s2")))
-
-
-def cell_list_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False) -> DataFrame:
-    """Ordered pairs (config_id, i, j, ti, tj, dx, dy, dz, r2) with r < cutoff + skin; i < j only if half."""
+def cell_list_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
+    """Ordered pairs (config_id, i, j, ti, tj, dx, dy, dz, r2) with r < cutoff + skin; i < j only if half.
+    Columns to carry come along from both atoms, as c_i and c_j. `width`: least size of a grid cell, if it
+    is to be more than the reach."""
     reach = cutoff + skin
-    binned = assign_cells(atoms, cells, reach)
-    both = stencil(binned).join(_partners(binned, *_CELL), ["config_id", *_CELL])
+    binned = assign_cells(atoms, cells, max(reach, width or 0.0), carry)
+    both = stencil(binned).join(_partners(binned, *_CELL, carry=carry), ["config_id", *_CELL])
     both = both.filter(F.col("atom_id") < F.col("j_id") if half else F.col("atom_id") != F.col("j_id"))
-    return _within(both, reach, lowest)
+    return _within(both, reach, lowest, carry)
 
 
-def all_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False) -> DataFrame:
+def all_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """The same pairs by comparing all atoms of a configuration; for small configurations."""
-    placed = _positions(atoms, cells)
-    both = placed.join(_partners(placed), "config_id")
+    placed = _positions(atoms, cells, carry)
+    both = placed.join(_partners(placed, carry=carry), "config_id")
     both = both.filter(F.col("atom_id") < F.col("j_id") if half else F.col("atom_id") != F.col("j_id"))
-    return _within(both, cutoff + skin, lowest)
+    return _within(both, cutoff + skin, lowest, carry)
+
+
+def chosen(atoms: DataFrame) -> str:
+    """The strategy for the size of the largest configuration; one small job."""
+    largest = atoms.groupBy("config_id").count().agg(F.max("count")).first()[0] or 0
+    return "all_pairs" if largest <= ALL_PAIRS_UP_TO else "cell_list"
 
 
 def pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, strategy: str = "auto", **options) -> DataFrame:
     """Pairs by strategy 'cell_list', 'all_pairs', or by the size of the largest configuration."""
     if strategy == "auto":
-        largest = atoms.groupBy("config_id").count().agg(F.max("count")).first()[0] or 0
-        strategy = "all_pairs" if largest <= ALL_PAIRS_UP_TO // 10 else "cell_list"
+        strategy = chosen(atoms)
     return {"cell_list": cell_list_pairs, "all_pairs": all_pairs}[strategy](atoms, cells, cutoff, **options)
 
 
@@ -140,8 +129,8 @@ def neighbor_lists(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: floa
     lists = found.groupBy("config_id", "i").agg(F.sort_array(F.collect_list("j")).alias("list"))
     every = atoms.select("config_id", F.col("atom_id").alias("i")).join(lists, ["config_id", "i"], "left")
     every = every.select("config_id", "i", F.coalesce("list", F.array().cast("array<bigint>")).alias("list")).withColumn("n", F.size("list"))
-    before = Window.partitionBy("config_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return every.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = sum_before(every.select("config_id", "i", "n"), "config_id", "i", F.col("n"), "start").drop("n")  # lists stay out of it
+    return every.join(starts, ["config_id", "i"])
 
 
 def pairs_of_lists(lists: DataFrame, atoms: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
@@ -155,8 +144,7 @@ def pairs_of_lists(lists: DataFrame, atoms: DataFrame, cells: DataFrame, cutoff:
 def occupancy(binned: DataFrame) -> DataFrame:
     """(config_id, code, n, start): atoms in each occupied cell by Morton code, and atoms before it."""
     counts = binned.groupBy("config_id", G.morton(F.col("cx"), F.col("cy"), F.col("cz")).alias("code")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("config_id").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return sum_before(counts, "config_id", "code", F.col("n"), "start")
 
 
 def visit_statistics(atoms: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:

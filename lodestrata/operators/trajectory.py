@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .ranks import sum_before
 
 _ATOM = ["config_id", "atom_id"]
 
@@ -162,7 +163,7 @@ def last_frames(traj: DataFrame, n: int) -> DataFrame:
 
 
 def trimmed(series: DataFrame, order: str) -> DataFrame:
-    """A series without its first fifth (at least one point)."""
-    w = Window.partitionBy("config_id")
-    numbered = series.withColumns({"nth": F.row_number().over(w.orderBy(order)), "n": F.count("*").over(w)})
-    return numbered.filter(F.col("nth") > F.greatest(F.lit(1), F.floor(F.col("n") / 5))).drop("nth", "n")
+    """A series without its first fifth (at least one point), by `order`, whole numbers."""
+    n = series.groupBy("config_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 5)).alias("skipped"))
+    numbered = sum_before(series, "config_id", order, F.lit(1), "before").join(n, "config_id")
+    return numbered.filter(F.col("before") >= F.col("skipped")).drop("before", "skipped")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from math import pi
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 GPA, K_B, HBAR = 160.21766, 8.617333e-5, 6.582119e-16
 MJ_PER_M2 = 16021.766
@@ -22,11 +25,23 @@ def bm3_sums(points: DataFrame) -> DataFrame:
     return scaled.groupBy("config_id").agg(F.first("x0").alias("x0"), F.first("s").alias("s"), *powers, *(F.sum(F.col("energy") * F.pow(u, k)).alias(f"e{k}") for k in range(4)))
 
 
-def birch_murnaghan(points: DataFrame) -> list[dict]:
-    """E0, V0, B0 (GPa) and B0' of each configuration's (volume, energy). The third-order form is a cubic in
-    V^(-2/3), so the fit is linear: moments in Spark, a 4 x 4 system for each configuration here."""
+def birch_murnaghan(points: DataFrame) -> DataFrame:
+    """(config_id, e0, v0, b0 in GPa, b0_prime) of each configuration's (volume, energy). The third-order form
+    is a cubic in V^(-2/3), so the fit is linear: moments in Spark, then a 4 x 4 system in each of their
+    rows. A configuration without a minimum has no row."""
+
+    def fits(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist(_minima(batch.to_pylist()), schema=to_arrow_schema(schema))
+
+    sums = bm3_sums(points)
+    schema = StructType([sums.schema["config_id"], *(StructField(n, DoubleType()) for n in ("e0", "v0", "b0", "b0_prime"))])
+    return sums.mapInArrow(fits, schema)
+
+
+def _minima(rows: list[dict]) -> list[dict]:
     out = []
-    for r in bm3_sums(points).collect():
+    for r in rows:
         a = np.array([[r[f"u{i + j}"] for j in range(4)] for i in range(4)])
         c = np.polynomial.Polynomial(np.linalg.solve(a, [r[f"e{k}"] for k in range(4)]))
         d1, d2, d3 = c.deriv(1), c.deriv(2), c.deriv(3)
@@ -82,6 +97,20 @@ def heat_capacity(series: DataFrame) -> DataFrame:
     return series.groupBy("config_id").agg((F.lit(1.5) * F.max("n_atoms") + F.var_pop("e_pot") / (F.lit(K_B) ** 2 * t * t)).alias("c_v"))
 
 
+def at_pressure(c_v: Column, temperature: Column, alpha: float, bulk: float, volume: float) -> Column:
+    """Heat capacity of an atom at constant pressure: c_v + 9 alpha^2 B V T, with the linear expansion alpha, the
+    bulk modulus in GPa and the atom's volume."""
+    return c_v + F.lit(9 * alpha**2 * bulk / GPA * volume) * temperature
+
+
+def npt_statistics(series: DataFrame, atoms_per_cell: int = 4) -> DataFrame:
+    """(config_id, n, temperature, volume, a, a_deviation) of a series at constant pressure (config_id,
+    temperature, volume, n_atoms): means, the lattice constant of the mean volume and its deviation."""
+    edge = F.cbrt(F.col("volume") / F.col("n_atoms") * atoms_per_cell)
+    of_mean = F.cbrt(F.avg("volume") / F.max("n_atoms") * atoms_per_cell)
+    return series.groupBy("config_id").agg(F.count("*").alias("n"), F.avg("temperature").alias("temperature"), F.avg("volume").alias("volume"), of_mean.alias("a"), F.stddev_pop(edge).alias("a_deviation"))
+
+
 def debye_classical(temperatures: DataFrame, theta: float) -> DataFrame:
     """(temperature, a_vib, s_vib) per atom of the classical Debye model, in eV and eV/K."""
     t = F.col("temperature")
@@ -125,6 +154,22 @@ def quasi_harmonic(static: DataFrame, temperatures: DataFrame, theta0: float, v0
     return best.select("temperature", "p.volume", "p.free_energy")
 
 
+def quasi_harmonic_quantum(static: DataFrame, temperatures: DataFrame, nodes: DataFrame, theta0: float, v0: float, gamma: float) -> DataFrame:
+    """(temperature, volume, free_energy, entropy, alpha): as quasi_harmonic(), with the quantum Debye model;
+    alpha is a third of the central difference of ln volume, null at the first and last temperature."""
+    both = static.crossJoin(temperatures).crossJoin(F.broadcast(nodes))  # two short grids and a fixed number of nodes
+    t, x = F.col("temperature"), F.lit(theta0) * F.pow(F.lit(v0) / F.col("volume"), gamma) / F.col("temperature")
+    term = F.col("w") * F.pow(F.col("u") * F.col("x"), 3) / F.expm1(F.col("u") * F.col("x"))
+    d3 = both.withColumn("x", x).groupBy("temperature", "volume", "energy", "x").agg((F.lit(3.0) / F.pow("x", F.lit(2)) * F.sum(term)).alias("d3"))
+    logs = F.log1p(-F.exp(-F.col("x")))
+    free = F.col("energy") + F.lit(K_B) * t * (F.lit(9 / 8) * F.col("x") + 3 * logs - F.col("d3"))
+    entropy = F.lit(K_B) * (4 * F.col("d3") - 3 * logs)
+    best = d3.groupBy("temperature").agg(F.min(F.struct(free.alias("free_energy"), "volume", entropy.alias("entropy"))).alias("p")).select("temperature", "p.volume", "p.free_energy", "p.entropy")
+    near = Window.orderBy("temperature")  # a short grid
+    rise, step = F.lead("volume").over(near) - F.lag("volume").over(near), F.lead("temperature").over(near) - F.lag("temperature").over(near)
+    return best.withColumn("alpha", rise / (3 * F.col("volume") * step))
+
+
 def compared(values: DataFrame, reference: DataFrame) -> DataFrame:
     """(name, value, expected, deviation, verdict): 'pass' within the reference's tolerance, else 'warn'."""
     both = values.join(reference, "name")

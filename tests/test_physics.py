@@ -87,7 +87,7 @@ def test_equation_of_state_comes_back(spark):
         v = v0 * (0.9 + 0.2 * k / 14)
         x = (v0 / v) ** (2 / 3)
         rows.append(("s", v, e0 + 9 * v0 * b0 / 16 * ((x - 1) ** 3 * b1 + (x - 1) ** 2 * (6 - 4 * x))))
-    fit = thermo.birch_murnaghan(spark.createDataFrame(rows, "config_id string, volume double, energy double"))[0]
+    fit = thermo.birch_murnaghan(spark.createDataFrame(rows, "config_id string, volume double, energy double")).first()
     assert fit["e0"] == pytest.approx(e0) and fit["v0"] == pytest.approx(v0)
     assert fit["b0"] == pytest.approx(b0 * thermo.GPA, rel=1e-6) and fit["b0_prime"] == pytest.approx(b1, rel=1e-5)
 
