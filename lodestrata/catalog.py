@@ -915,7 +915,7 @@ def _dynamical(spark) -> DataFrame:
 
 @query()
 def phonon_dispersion(spark, sf):
-    """No SQL: eigenvalues; tests check the acoustic branches at q = 0."""
+    """No SQL: eigenvalues; tests/test_verification.py checks the acoustic branches at q = 0."""
     return r6(thermo.phonon_frequencies(_dynamical(spark)), "thz", places=4)
 
 
@@ -975,7 +975,7 @@ def heat_capacity_at_pressure(spark, sf):
 
 
 _QHA = f"""{_EOS}, g as (select volume / 108 as v, energy / 108 as e from totals), nodes as (select unnest([{', '.join(repr(float((a + 1) / 2)) + '::double' for a in __import__('numpy').polynomial.legendre.leggauss(16)[0])}]) as u, unnest([{', '.join(repr(float(b / 2)) + '::double' for b in __import__('numpy').polynomial.legendre.leggauss(16)[1])}]) as w),
-x as (select t, v, e, 343.0::double * pow(11.81::double / v, 2.0) / t as x from g, {_TS}), d as (select t, v, e, x, 3 / pow(x, 3) * sum(w * x * pow(u * x, 3) / (exp(u * x) - 1)) as d3 from x, nodes group by all),
+xs as (select t, v, e, 343.0::double * pow(11.81::double / v, 2.0) / t as x from g, {_TS}), d as (select t, v, e, x, 3 / pow(x, 3) * sum(w * x * pow(u * x, 3) / (exp(u * x) - 1)) as d3 from xs, nodes group by t, v, e, x),
 f as (select t, v, e + 8.617333e-5::double * t * (9 * x / 8 + 3 * ln(1 - exp(-x)) - d3) as f, 8.617333e-5::double * (4 * d3 - 3 * ln(1 - exp(-x))) as s from d),
 b as (select t, arg_min(v, f) as bv, min(f) as bf, arg_min(s, f) as bs from f group by t)"""
 

@@ -28,7 +28,7 @@ def run(engine: Engine, atoms: DataFrame, cells: DataFrame, steps: int, dt: floa
     """The state after `steps` steps from rest. Every few steps it is written to the folder of
     spark.checkpoint.dir, so plans stay short and a lost executor costs those steps at most."""
     state = atoms.withColumns({f"v{c}": F.lit(0.0) for c in "xyz"})
-    folder = atoms.sparkSession.conf.get("spark.checkpoint.dir", None)
+    folder = atoms.sparkSession.conf.get("spark.checkpoint.dir", None) or atoms.sparkSession.sparkContext.getCheckpointDir()
     if steps > every and not folder:
         raise InvalidInput("set spark.checkpoint.dir for runs of many steps")
     for n in range(1, steps + 1):

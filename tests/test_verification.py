@@ -169,7 +169,8 @@ def test_acoustic_branches_start_at_zero(spark):
 
 
 def test_leapfrog_keeps_the_energy(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
     places, types, _ = _cases()["dimer"]
     atoms, cells = xyz.from_arrays(spark, places.ravel(), types)
     engine = Engine(AnalyticPotential(RC), "all_pairs", validate=False)
