@@ -13,6 +13,11 @@ that remain: two different bits leave two of them alike. Those lists have at mos
 more than a fixed number of others. Links become components by alternating large-star and small-star
 rounds (Kiveris et al., 2014).
 
+The query links one fingerprint, by its contract. Few near copies come within 2 bits of 64: of pairs with
+a five-word similarity of 0.8 or more about a tenth. So drop_near_duplicates() makes PARTS fingerprints
+from different mixes of the same shingle hashes, puts each through the index as a part of its own, and
+joins documents that are linked in any part.
+
 Only narrow columns are shuffled: equal texts meet as one fingerprint from the start. Joins on a
 fingerprint that many rows share carry no aggregate above them, so adaptive execution splits them.
 
@@ -38,24 +43,52 @@ from .common import buckets_of, free_name, lower_ascii, store, table
 SEED, SHINGLE, BITS = 42, 3, 2
 #: Longest posting list that is paired out; longer ones are split by further positions.
 LIST_LIMIT = 64
+#: Fingerprints of a document in drop_near_duplicates().
+PARTS = 16
+#: Multipliers and step of splitmix64 (fixed values).
+MIX_STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: str | None) -> np.ndarray:
     words = lower_ascii(text).split()
     if not words:
-        return 0
-    line, n = b" ".join(words), len(words)
+        return np.zeros(0, np.uint64)
+    line, n, digest = b" ".join(words), len(words), xxhash.xxh64_intdigest
     if n <= SHINGLE:
-        h = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = [0, *ends[: n - SHINGLE].tolist()]
-        digest = xxhash.xxh64_intdigest
-        h = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())]
-    bits = np.unpackbits(np.array(h, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(0, dtype=np.int64) * 2 > len(h)
-    return int(np.packbits(ones, bitorder="little").view(np.int64)[0])
+        return np.array([digest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = [0, *ends[: n - SHINGLE].tolist()]
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())], np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits set in over half of h, as a signed number; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 255):  # a byte holds the count of 255 rows
+        bits = np.unpackbits(h[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.uint8)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
+def _mixed(h: np.ndarray, part: int) -> np.ndarray:
+    """Another 64-bit hash of h for each part; h itself for part 0."""
+    if part == 0:
+        return h
+    h = h + np.uint64(part * MIX_STEP % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX_A)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(MIX_B)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    return _majority(shingle_hashes(text))
+
+
+def fingerprints(text: str | None) -> list[int]:
+    """PARTS fingerprints, the first that of fingerprint(); all 0 for a text without words."""
+    h = shingle_hashes(text)
+    return [_majority(_mixed(h, part)) for part in range(PARTS)]
 
 
 @F.pandas_udf(T.LongType())
@@ -63,6 +96,11 @@ def simhash(text: pd.Series) -> pd.Series:
     return text.map(fingerprint, na_action=None).astype("int64")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def simhashes(text: pd.Series) -> pd.Series:
+    return text.map(fingerprints, na_action=None)
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -74,33 +112,33 @@ def finer(mask: int, width: int) -> list[int]:
 
 
 def _posted(fps: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
-    """(fp, mask, key): fps(fp, mask) with a posting for each of the masks that follow its own; `count`,
+    """(part, fp, mask, key): fps(part, fp, mask) with a posting for each of the masks that follow its own; `count`,
     the length of its list, 2 at least."""
     follow = F.create_map(*(x for m, ms in masks.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(k)) for k in ms)))))
-    posts = fps.select("fp", F.explode(F.element_at(follow, F.col("mask"))).alias("mask"))
+    posts = fps.select("part", "fp", F.explode(F.element_at(follow, F.col("mask"))).alias("mask"))
     posts = posts.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    return posts.join(posts.groupBy("mask", "key").count().filter("count > 1"), ["mask", "key"])
+    return posts.join(posts.groupBy("part", "mask", "key").count().filter("count > 1"), ["part", "mask", "key"])
 
 
 def _paired(lists: DataFrame, most: int) -> DataFrame:
-    """Verified pairs (a, b) of fingerprints whose list has up to `most`."""
+    """Verified pairs (part, a, b) of fingerprints whose list has up to `most`."""
     x = F.col("a").bitwiseXOR(F.col("b"))
     shared = sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(0xFF) == 0).cast("int") for k in range(8))
-    lists = lists.repartition(buckets_of(lists.sparkSession), "mask", "key").groupBy("mask", "key").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
-    met = lists.select(F.posexplode("fps").alias("n", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("n") + 2, most)).alias("b"))
+    lists = lists.repartition(buckets_of(lists.sparkSession), "part", "mask", "key").groupBy("part", "mask", "key").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
+    met = lists.select("part", F.posexplode("fps").alias("n", "a"), "fps").select("part", "a", F.explode(F.slice("fps", F.col("n") + 2, most)).alias("b"))
     return met.filter(shared >= 8 - BITS).filter(F.bit_count(x) <= BITS)
 
 
 def links(fps: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """(a, b), a < b: all pairs of fingerprints fp of fps within BITS bits of each other."""
-    found, crowded, masks = [], fps.select("fp", F.lit(0).cast("long").alias("mask")), [0]
+    """(part, a, b), a < b: all pairs of fingerprints fp of fps(part, fp) within BITS bits of each other in a part."""
+    found, crowded, masks = [], fps.select("part", "fp", F.lit(0).cast("long").alias("mask")), [0]
     for width in (16, 8, 4):
         steps = {m: finer(m, width) for m in masks}
         sized = _posted(crowded, steps)
         last = width == 4
         found.append(_paired(sized if last else sized.filter(F.col("count") <= limit), 256 if last else limit))
         if not last:
-            crowded = store(sized.filter(F.col("count") > limit).select("fp", "mask").distinct(), "crowded")
+            crowded = store(sized.filter(F.col("count") > limit).select("part", "fp", "mask").distinct(), "crowded")
             masks = sorted({k for ms in steps.values() for k in ms})
     return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
@@ -127,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
 def roots_of(fps: DataFrame) -> DataFrame:
     """(fp, root) for each distinct fingerprint of fps."""
     distinct = store(fps.select("fp").distinct(), "fingerprints")
-    stars = components(links(distinct))
+    stars = components(links(distinct.withColumn("part", F.lit(0))))
     return distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -140,13 +178,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return keys.join(named, "fp").select("id", "fp", "component_id")
 
 
+def linked_nodes(keys: DataFrame) -> DataFrame:
+    """(node, root) for each distinct node of keys(node, fps): nodes linked in any part have one root.
+
+    In a part, nodes of one fingerprint hang on the least of them, which stands for the fingerprint in
+    its links."""
+    nodes = keys.select("node", "fps").distinct()
+    values = store(nodes.select("node", F.posexplode("fps").alias("part", "fp")), "parts")
+    heads = store(values.groupBy("part", "fp").agg(F.min("node").alias("head")), "heads")
+    equal = values.join(heads, ["part", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ends = [heads.select("part", F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab"]
+    near = links(heads.select("part", "fp")).join(ends[0], ["part", "a"]).join(ends[1], ["part", "b"])
+    edges = equal.unionByName(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))).filter("a <> b").distinct()
+    stars = components(edges).withColumnRenamed("node", "linked")
+    found = values.filter("part = 0").select("node").join(stars, F.col("node") == F.col("linked"), "left")
+    return found.select("node", F.coalesce("root", "node").alias("root"))
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component, columns unchanged: the row with the smallest id (nulls
-    last), then the smallest hash of its text; of rows alike in both, one."""
+    """docs with one row of each component of linked_nodes(), columns unchanged: the row with the smallest
+    id (nulls last), then the smallest hash of its text; of rows alike in both, one."""
     mark, whole = F.xxhash64(F.coalesce(text, F.lit(""))), free_name(docs, "row")
-    keys = store(docs.select(F.col(doc_id).alias("id"), mark.alias("mark"), simhash(text).alias("fp")), "simhash")
-    best = keys.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("best"))
-    winners = roots_of(keys).join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.mark")
+    keys = docs.select(F.col(doc_id).alias("id"), mark.alias("mark"), simhashes(text).alias("fps"))
+    keys = store(keys.withColumn("node", F.xxhash64("fps")), "simhash")
+    best = keys.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("best"))
+    winners = linked_nodes(keys).join(best, "node").groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.mark")
     copies = winners.join(keys.groupBy("id", "mark").count(), (winners["id"].eqNullSafe(keys["id"])) & (winners["mark"] == keys["mark"])).select(winners["id"].alias("w_id"), winners["mark"].alias("w_mark"), "count")
     copies = store(copies, "winners")
     rows = docs.select(F.struct(*docs.columns).alias(whole), F.col(doc_id).alias("id"), mark.alias("mark"))

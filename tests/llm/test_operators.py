@@ -122,7 +122,9 @@ def test_simhash_of_texts(spark, odd):
     empty = {r.component_id for r in found if r.fp == 0}
     assert empty == {3}  # null, empty and blank texts, the null id among them
     kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, {r.component_id for r in found}))
+    # rows 1 and 2 share 58 of 60 shingles: more than 2 bits apart in the first fingerprint, linked in another part
+    assert {r.component_id for r in found} == {1, 2, 3, 6, None}
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "6", "None"]
     assert simhash.drop_near_duplicates(odd.limit(0)).collect() == []
 
 
@@ -132,10 +134,31 @@ def test_simhash_splits_long_lists(spark):
     base = rng.getrandbits(64)
     values = {base & ~0xFFFF | rng.getrandbits(16) for _ in range(600)} | {base & ~0xFF | k for k in range(256)} | {base ^ rng.getrandbits(24) << 30 for _ in range(300)}
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    table = spark.createDataFrame([(v,) for v in signed], "fp long")
+    table = spark.createDataFrame([(0, v) for v in signed] + [(1, v) for v in signed[::2]], "part int, fp long")
     want = {(x, y) for k, x in enumerate(signed) for y in signed[k + 1 :] if ((x ^ y) % (1 << 64)).bit_count() <= 2}
+    half = set(signed[::2])
+    want = {(0, x, y) for x, y in want} | {(1, x, y) for x, y in want if x in half and y in half}
     for limit in (simhash.LIST_LIMIT, 3):
-        assert {(r.a, r.b) for r in simhash.links(table, limit).collect()} == want
+        assert {(r.part, r.a, r.b) for r in simhash.links(table, limit).collect()} == want
+
+
+def test_near_duplicates_in_any_part(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice((30, 200)))) for _ in range(60)]
+    for t in texts[:40]:
+        for n in (1, 2, 4):  # copies with a few other words
+            copy = t.split()
+            for _ in range(n):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += texts[:5]
+    assert all([f % (1 << 64) for f in simhash.fingerprints(t)] == brute.simhashes(t) for t in texts[:10])
+    names = brute.components_of_parts(list(range(len(texts))), [[f % (1 << 64) for f in simhash.fingerprints(t)] for t in texts])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(table).collect()} == set(names)
+    alone = brute.components(list(range(len(texts))), [simhash.fingerprint(t) % (1 << 64) for t in texts])
+    assert len(set(names)) < len(set(alone)) and len(set(names)) >= 60
 
 
 def test_substrings_equal_plain_python(spark, odd):

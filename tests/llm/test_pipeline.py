@@ -22,7 +22,7 @@ def test_run_equals_plain_python(spark):
     good = quality.estimate(counts)
     docs = [(d, t) for d, t in docs if found[d][0] >= 50 and 100 * found[d][4] <= 50 * found[d][0] and good[found[d][5]] >= 0.5]
 
-    names = brute.components([d for d, _ in docs], [brute.simhash(t) for _, t in docs])
+    names = brute.components_of_parts([d for d, _ in docs], [brute.simhashes(t) for _, t in docs])
     docs = [(d, t) for (d, t), c in zip(docs, names) if d == c]
 
     gone = brute.removed_words(docs, substrings.WINDOW)
