@@ -10,7 +10,8 @@ postings with two more of the remaining four bytes, so a pair that shares 6 byte
 of the six finer lists. Lists that are still longer are split once more, by two of the four half bytes
 that remain: two different bits leave two of them alike. Those lists have at most 256 fingerprints, as
 8 bits are left. So each list is paired out in the end, no link is lost and a fingerprint never meets
-more than a fixed number of others. Links become components by alternating large-star and small-star
+more than a fixed number of others. Components need no more than a spanning forest of each list, so there
+a list's pairs are tallied within its task and only the forest's links become rows. Links become components by alternating large-star and small-star
 rounds (Kiveris et al., 2014).
 
 The query links one fingerprint, by its contract. Few near copies come within 2 bits of 64: of pairs with
@@ -120,23 +121,64 @@ def _posted(fps: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     return posts.join(posts.groupBy("part", "mask", "key").count().filter("count > 1"), ["part", "mask", "key"])
 
 
-def _paired(lists: DataFrame, most: int) -> DataFrame:
+def _lists(posts: DataFrame) -> DataFrame:
+    """(part, fps) for each posting list, fps in order."""
+    keys = ["part", "mask", "key"]
+    return posts.repartition(buckets_of(posts.sparkSession), *keys).groupBy(*keys).agg(F.sort_array(F.collect_set("fp")).alias("fps"))
+
+
+def _paired(posts: DataFrame, most: int) -> DataFrame:
     """Verified pairs (part, a, b) of fingerprints whose list has up to `most`."""
     x = F.col("a").bitwiseXOR(F.col("b"))
     shared = sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(0xFF) == 0).cast("int") for k in range(8))
-    lists = lists.repartition(buckets_of(lists.sparkSession), "part", "mask", "key").groupBy("part", "mask", "key").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
-    met = lists.select("part", F.posexplode("fps").alias("n", "a"), "fps").select("part", "a", F.explode(F.slice("fps", F.col("n") + 2, most)).alias("b"))
+    met = _lists(posts).select("part", F.posexplode("fps").alias("n", "a"), "fps").select("part", "a", F.explode(F.slice("fps", F.col("n") + 2, most)).alias("b"))
     return met.filter(shared >= 8 - BITS).filter(F.bit_count(x) <= BITS)
 
 
-def links(fps: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """(part, a, b), a < b: all pairs of fingerprints fp of fps(part, fp) within BITS bits of each other in a part."""
+def spanning(fps: np.ndarray) -> list[int]:
+    """Of each fingerprint of a list the place of one that it is linked to, so that the links from a place to
+    another span the list's components; of one fingerprint in each component its own place.
+
+    All pairs of the list are tallied and verified, as a matrix."""
+    x = fps[:, None] ^ fps[None, :]
+    alike = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(2) >= 8 - BITS
+    linked = alike & (np.bitwise_count(x.view(np.uint64)) <= BITS)
+    towards = np.full(len(fps), -1)
+    for first in range(len(fps)):
+        if towards[first] < 0:
+            towards[first], edge = first, [first]
+            while edge:
+                at = edge.pop()
+                new = np.flatnonzero(linked[at] & (towards < 0))
+                towards[new] = at
+                edge += new.tolist()
+    return towards.tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def spanning_places(fps: pd.Series) -> pd.Series:
+    return fps.map(spanning)
+
+
+def _spanned(posts: DataFrame) -> DataFrame:
+    """Verified pairs (part, a, b) that join what is linked in a list: fewer than the list has fingerprints."""
+    tied = _lists(posts).select("part", "fps", spanning_places("fps").alias("towards"))
+    joined = F.filter(F.arrays_zip("fps", F.transform("towards", lambda k: F.element_at("fps", k + 1)).alias("to")), lambda e: e["fps"] != e["to"])
+    return tied.select("part", F.explode(joined).alias("e")).select("part", F.least("e.fps", "e.to").alias("a"), F.greatest("e.fps", "e.to").alias("b"))
+
+
+def links(fps: DataFrame, limit: int = LIST_LIMIT, whole: bool = True) -> DataFrame:
+    """(part, a, b), a < b: all pairs of fingerprints fp of fps(part, fp) within BITS bits of each other in a part.
+
+    Without `whole` only as many of them as join the same fingerprints: of each posting list a spanning
+    forest, so rows grow with the lists' lengths, not with their squares."""
     found, crowded, masks = [], fps.select("part", "fp", F.lit(0).cast("long").alias("mask")), [0]
     for width in (16, 8, 4):
         steps = {m: finer(m, width) for m in masks}
         sized = _posted(crowded, steps)
         last = width == 4
-        found.append(_paired(sized if last else sized.filter(F.col("count") <= limit), 256 if last else limit))
+        short = sized if last else sized.filter(F.col("count") <= limit)
+        found.append(_paired(short, 256 if last else limit) if whole else _spanned(short))
         if not last:
             crowded = store(sized.filter(F.col("count") > limit).select("part", "fp", "mask").distinct(), "crowded")
             masks = sorted({k for ms in steps.values() for k in ms})
@@ -165,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
 def roots_of(fps: DataFrame) -> DataFrame:
     """(fp, root) for each distinct fingerprint of fps."""
     distinct = store(fps.select("fp").distinct(), "fingerprints")
-    stars = components(links(distinct.withColumn("part", F.lit(0))))
+    stars = components(links(distinct.withColumn("part", F.lit(0)), whole=False))
     return distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -188,7 +230,7 @@ def linked_nodes(keys: DataFrame) -> DataFrame:
     heads = store(values.groupBy("part", "fp").agg(F.min("node").alias("head")), "heads")
     equal = values.join(heads, ["part", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     ends = [heads.select("part", F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab"]
-    near = links(heads.select("part", "fp")).join(ends[0], ["part", "a"]).join(ends[1], ["part", "b"])
+    near = links(heads.select("part", "fp"), whole=False).join(ends[0], ["part", "a"]).join(ends[1], ["part", "b"])
     edges = equal.unionByName(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))).filter("a <> b").distinct()
     stars = components(edges).withColumnRenamed("node", "linked")
     found = values.filter("part = 0").select("node").join(stars, F.col("node") == F.col("linked"), "left")

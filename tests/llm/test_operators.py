@@ -140,6 +140,34 @@ def test_simhash_splits_long_lists(spark):
     want = {(0, x, y) for x, y in want} | {(1, x, y) for x, y in want if x in half and y in half}
     for limit in (simhash.LIST_LIMIT, 3):
         assert {(r.part, r.a, r.b) for r in simhash.links(table, limit).collect()} == want
+        forest = [(r.part, r.a, r.b) for r in simhash.links(table, limit, whole=False).collect()]
+        assert set(forest) <= want
+        for part, fps in ((0, signed), (1, signed[::2])):
+            root = {v: v for v in fps}
+            for _, a, b in sorted(e for e in forest if e[0] == part):
+                x, y = a, b
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+            least = []
+            for v in fps:
+                while root[v] != v:
+                    v = root[v]
+                least.append(v)
+            assert least == brute.components(fps, [v % (1 << 64) for v in fps])
+
+
+def test_simhash_spans_a_list():
+    rng = random.Random(7)
+    for n in (1, 2, 64, 256):
+        base = rng.getrandbits(63)
+        fps = np.array(sorted({base ^ rng.getrandbits(6) for _ in range(n // 2)} | {rng.getrandbits(63) for _ in range(n - n // 2)}), np.int64)
+        towards = simhash.spanning(fps)
+        assert all(k == t or (int(fps[k]) ^ int(fps[t])).bit_count() <= 2 for k, t in enumerate(towards))
+        names = brute.components(list(range(len(fps))), fps.tolist())
+        assert sum(k == t for k, t in enumerate(towards)) == len(set(names)) and all(names[k] == names[t] for k, t in enumerate(towards))
 
 
 def test_near_duplicates_in_any_part(spark):
