@@ -84,6 +84,16 @@ def crc_of_id(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
+#: DuckDB's text for crc32: the byte table by its rule (the reflected polynomial 0xEDB88320, eight steps a byte), a CTE of one row.
+CRC_TABLE_SQL = "crc_step(k, i, v) as (select range, 0, range::bigint from range(256) union all select k, i + 1, xor(v >> 1, (v & 1) * 3988292384) from crc_step where i < 8), crc_table as (select list(v order by k) as crc_of from crc_step where i = 8)"
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB's text for the unsigned crc32 of a string's UTF-8, beside crc_table."""
+    octets = f"list_transform(range(1, 2 * strlen({text}), 2), lambda k: ('0x' || substr(hex({text}), k::int, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295::bigint)"
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one zstandard frame; unpack() gives them back with their types."""
     head = [len(arrays)]

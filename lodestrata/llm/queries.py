@@ -7,6 +7,7 @@ from .media import op3_media_columns
 from .packing import op2_best_fit_packing
 from .pii import op6_pii_pseudonyms
 from .quality import op8_quality_rules
+from .resampling import OP13_SQL, op13_importance_resampling
 from .simhash import op9_simhash
 from .substrings import OP1_SQL, op1_substring_dedup
 from .toxicity import op10_toxicity
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op13_importance_resampling": OP13_SQL}
