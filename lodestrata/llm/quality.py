@@ -38,6 +38,8 @@ RULES = (
 )
 #: Prior probabilities that a rule rejects, abstains from, keeps a good document.
 GOOD_VOTES = (0.005, 0.095, 0.9)
+#: Posterior that documents with two rejects don't pass.
+UNSURE = 0.45
 FEATURES = fields("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string")
 
 
@@ -111,7 +113,8 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
 def _rates(counts: np.ndarray) -> np.ndarray:
     """Likeliest vote probabilities from counts [class, rule, vote] (good, bad; reject, abstain, keep) such
     that a rule's reject is no likelier in good documents and its keep no likelier in bad ones. Where the
-    free shares don't hold to that, the votes concerned get the share of both classes."""
+    free shares don't hold to that, the votes concerned get the share of both classes; of equally likely
+    ways to do so the one that ties fewest votes, rejects before keeps."""
     both = np.broadcast_to(counts.sum(0), counts.shape)
     both = both / both.sum(2, keepdims=True)
 
@@ -133,16 +136,20 @@ def estimate(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     Each class keeps, for each rule, the probabilities of the three votes. Rules are written so that
     each sees one kind of bad text: a good document is rarely rejected by any rule (a Dirichlet prior,
     GOOD_VOTES, weighing a fifth of the documents), while a bad one is often kept by most. The start
-    follows from that: no reject is good, two rejects are bad, one is undecided.
+    follows from that: no reject is good, two rejects are bad, one is likelier good.
 
-    Two things keep the classes from trading places when one rule rejects a large source: a reject never
-    speaks for good nor a keep for bad (_rates), and documents that all rules keep count as good."""
+    A rule may be wrong about a whole source, whatever its share of the documents: a script without
+    capitals, tables, lists. So one reject alone doesn't make a document bad. Documents with one reject
+    take no part in what the bad class looks like, and a reject weighs no more than the classes' shares
+    (prior odds of good), so what the other rules say decides. Two rejects stay under UNSURE. A reject
+    never speaks for good nor a keep for bad (_rates), and documents that all rules keep count as good."""
     if not patterns:
         return {}
     names = sorted(patterns)
     votes = np.array([["-0+".index(v) for v in p] for p in names])
     count = np.array([patterns[p] for p in names], float)
-    good = np.array([0.95, 0.4, 0.05])[np.minimum((votes == 0).sum(1), 2)]
+    rejects = (votes == 0).sum(1)
+    good = np.array([0.95, 0.75, 0.05])[np.minimum(rejects, 2)]
     prior_votes = np.stack([0.2 * count.sum() * np.array(GOOD_VOTES), np.full(3, 1 / 3)])
     one_hot = np.eye(3)[votes]
     clean = (votes == 2).all(1)
@@ -150,9 +157,15 @@ def estimate(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     for _ in range(rounds):
         weight = np.stack([count * good, count * (1 - good)])
         prior = (weight.sum(1) + 1) / (count.sum() + 2)
-        table_ = _rates(np.einsum("cp,prv->crv", weight, one_hot) + prior_votes[:, None, :])
-        log = np.log(prior)[:, None] + np.einsum("prv,crv->cp", one_hot, np.log(table_))
-        good = 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
+        weight[1, rejects == 1] = 0
+        log = np.log(_rates(np.einsum("cp,prv->crv", weight, one_hot) + prior_votes[:, None, :]))
+        odds, against = np.log(prior[0] / prior[1]), log[1] - log[0]
+        against = np.einsum("prv,rv->pr", one_hot, against)
+        lone = (votes == 0) & (rejects == 1)[:, None]
+        against = np.where(lone, np.minimum(against, max(0.0, odds)), against)
+        every = against.sum(1)
+        good = 1 / (1 + np.exp(np.clip(every - odds, -700, 700)))
+        good[rejects > 1] = np.minimum(good[rejects > 1], UNSURE)
         good[clean] = 1
     return dict(zip(names, good.tolist()))
 

@@ -63,6 +63,21 @@ def test_quality_keeps_clean_documents_beside_a_hot_source(hot, size):
     assert min(good[v] for v in [*clean, hot]) > 0.9 and max(good[v] for v in junk) < 0.5
 
 
+JUNK = ({"+++-+-++-": 160, "+-+-+++++": 150, "+-+++-++-": 150}, {"-+++++0++": 200, "+--+++0++": 260}, {"++-+++++-": 330, "++-++++-0": 272, "+++---++-": 174})
+
+
+@pytest.mark.parametrize("rule", range(9))
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.33, 0.4, 0.6, 0.8, 0.95])
+def test_quality_keeps_a_source_that_one_rule_rejects(rule, share):
+    """Whatever the source's share and the rule; what two rules reject stays out."""
+    clean = {"+++++++++": 7800, "0++++++++": 600, "++++0++++": 600}
+    hot = "".join("-" if k == rule else "+" for k in range(9))
+    for junk in JUNK:
+        size = int(share / (1 - share) * sum([*clean.values(), *junk.values()]))
+        good = quality.estimate({**clean, **junk, hot: size})
+        assert min(good[v] for v in [*clean, hot]) > 0.5 and max(good[v] for v in junk if v.count("-") > 1) < 0.5
+
+
 def test_quality_votes_speak_for_their_side():
     rates = quality._rates(np.random.default_rng(0).gamma(0.5, 50, (2, 200, 3)) + 0.1)
     assert np.allclose(rates.sum(2), 1) and (rates[1, :, 0] >= rates[0, :, 0] - 1e-9).all() and (rates[1, :, 2] <= rates[0, :, 2] + 1e-9).all()
