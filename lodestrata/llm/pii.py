@@ -36,11 +36,14 @@ get equal results; all columns stay. Values that fail validation stay as they ar
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,26 +191,67 @@ _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
 
-def _in_place(text: str, key: bytes, tweak: str, sets=_SETS, fits=lambda s: True) -> str:
-    """Each character of a set becomes one of the same set; the whole is one number of mixed radix."""
-    alphabet = [next((s for s in sets if c in s), "") for c in text]
-    size = value = 1
-    value = 0
-    for c, s in zip(text, alphabet):
-        if s:
-            value, size = value * len(s) + s.index(c), size * len(s)
+#: Letters up to which a value is one number; longer ones are permuted letter by letter.
+ONE_NUMBER = 128
+
+
+@functools.lru_cache(1 << 16)
+def _set_of(c: str) -> str:
+    """The characters that c may become: ASCII letters of its case, digits of its script, or the letters of
+    its case among the 128 code points around; '' if it stays."""
+    if c < "\x80":
+        return next((s for s in _SETS if c in s), "")
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalpha():
+        return ""
+    case = lambda x: (x.islower(), x.isupper())
+    return "".join(x for x in map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1)) if x.isalpha() and case(x) == case(c))
+
+
+def _by_letters(value: np.ndarray, sizes: np.ndarray, key: bytes, tweak: str) -> np.ndarray:
+    """A keyed permutation of vectors with value[k] < sizes[k]: each half in turn is shifted by what the other
+    half and the key give (a Feistel network of additions), in time linear in the length."""
+    value, half = value.copy(), len(value) // 2
+    for r in range(ROUNDS):
+        left, right = (slice(0, half), slice(half, None))[:: 1 if r % 2 else -1]
+        seed = hmac.digest(key, f"{tweak}|{r}|".encode() + value[left].astype("<u4").tobytes(), "sha256")
+        shift = np.frombuffer(hashlib.shake_256(seed).digest(8 * len(value[right])), "<u8")
+        value[right] = (value[right] + (shift % sizes[right].astype(np.uint64)).astype(np.int64)) % sizes[right]
+    return value
+
+
+def _in_place(text: str, key: bytes, tweak: str, sets=None, fits=lambda s: True) -> str:
+    """Each character of a set becomes one of the same set. Up to ONE_NUMBER letters are one number of mixed
+    radix, more are permuted as a vector; which of the two depends on the shape, which stays."""
+    alphabet = [next((s for s in sets if c in s), "") for c in text] if sets else [*map(_set_of, text)]
+    names = {s: "0aA"[_SETS.index(s)] if s in _SETS else "h" if sets else f"<{s[0]}>" for s in {*alphabet} - {""}}
+    tweak = f"{tweak}|{''.join(names[s] if s else c for c, s in zip(text, alphabet))}"
+    places = [k for k, s in enumerate(alphabet) if s]
+    if len(places) > ONE_NUMBER:
+        at = {s: {c: k for k, c in enumerate(s)} for s in names}
+        value, sizes = np.array([at[alphabet[k]][text[k]] for k in places]), np.array([len(alphabet[k]) for k in places])
+        while True:
+            value, out = _by_letters(value, sizes, key, tweak), list(text)
+            for k, v in zip(places, value.tolist()):
+                out[k] = alphabet[k][v]
+            new = "".join(out)
+            if fits(new):  # the text itself fits, so the walk ends
+                return new
+    size, value = 1, 0
+    for k in places:
+        s = alphabet[k]
+        value, size = value * len(s) + s.index(text[k]), size * len(s)
 
     def spelled(v):
-        out = []
-        for c, s in zip(reversed(text), reversed(alphabet)):
-            if s:
-                v, k = divmod(v, len(s))
-                c = s[k]
-            out.append(c)
-        return "".join(reversed(out))
+        out = list(text)
+        for k in reversed(places):
+            v, at = divmod(v, len(alphabet[k]))
+            out[k] = alphabet[k][at]
+        return "".join(out)
 
-    shape = "".join("0aA"[sets.index(s)] if s in _SETS else "h" if s else c for c, s in zip(text, alphabet))
-    return spelled(_walk(value, size, key, f"{tweak}|{shape}", lambda v: fits(spelled(v))))
+    return spelled(_walk(value, size, key, tweak, lambda v: fits(spelled(v))))
 
 
 def _email(text: str, key: bytes) -> str | None:
@@ -242,13 +286,15 @@ def _iban(text: str, key: bytes) -> str | None:
 
 
 KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card, "number": _number}
-#: In the order in which they are tried at a place.
+#: What follows the @ of an address, and what may stand before it.
+_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+_LOCAL = re.compile(r"[\w.+-]")
+#: In the order in which they are tried at a place, after addresses.
 PATTERN = re.compile(
-    r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s{0,4}[:=]\s{0,4}[\"']?)(?P<secret>[A-Za-z0-9_+/=-]{8,})"
+    r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s{0,4}[:=]\s{0,4}[\"']?)(?P<secret>[A-Za-z0-9_+/=-]{8,})"
     r"|(?<![\w.])(?:"
     r"(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?!\w)"
-    r"|(?P<date>(?:[0-9]{4}([-/.])[0-9]{1,2}\5[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\6[0-9]{4}))(?!(?![Tt][0-9])\w|[-/.][0-9])"
+    r"|(?P<date>(?:[0-9]{4}([-/.])[0-9]{1,2}\4[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\5[0-9]{4}))(?!(?![Tt][0-9])\w|[-/.][0-9])"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
     r"|(?P<phone>\+[0-9](?:[ ().-]{0,2}[0-9]){7,14})(?!\w)"
@@ -311,12 +357,13 @@ def _card_span(text: str, a: int, b: int, first: bool) -> tuple[int, int] | None
         for _x, y in groups[i:]:
             d += text[_x:y]
             sizes.append(y - _x)
-            if len(d) > 19:
+            if len(d) > 19 or (min(sizes) <= 2 and len(sizes) > 1 and set(sizes[:-1]) != {4}):  # neither usual nor of groups over 2
                 break
-            if len(d) < 13 or not luhn(d) or len(set(d)) == 1 or re.match(r"\w|-(?![0-9])", text[y : y + 2]):
+            usual = _usual(sizes)
+            if len(d) < 13 or not (usual or min(sizes) > 2) or not luhn(d) or len(set(d)) == 1 or re.match(r"\w|-(?![0-9])", text[y : y + 2]):
                 continue
             lengths = next((n for p, n in _ISSUERS if p.match(d)), ())
-            known, usual = len(d) in lengths, _usual(sizes)
+            known = len(d) in lengths
             if (known and (usual or min(sizes) > 2)) or (usual and i == 0 and first):
                 rank = (not usual, not known, lengths.index(len(d)) if known else 9, i)
                 if best is None or rank < best[0]:
@@ -360,21 +407,57 @@ def _replaced(text: str, kind: str, a: int, b: int, key: bytes, first: bool) ->
     return new and (a, b, "number", new)
 
 
+def _address(text: str, start: int) -> tuple[int, int] | None:
+    """The first address at or after `start`: read back from each @, so that no run of letters is read twice."""
+    since = start
+    while (at := text.find("@", since)) >= 0:
+        a = at
+        while a > since and _LOCAL.match(text, a - 1):
+            a -= 1
+        if a < at and (m := _DOMAIN.match(text, at + 1)):
+            return a, m.end()
+        since = at + 1
+    return None
+
+
+def _small_groups(text: str, a: int, b: int) -> int | None:
+    """Where the third last digit group of text[a:b] begins, if all have one or two digits: of such groups
+    only the whole span may be a card, and no other value begins before that place."""
+    starts = [m.start() for m in _GROUP.finditer(text, a, b) if m.end() - m.start() < 3]
+    return starts[-3] if len(starts) > 3 and len(starts) == text.count(" ", a, b) + text.count("-", a, b) + 1 else None
+
+
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """The text with its values replaced, and (start, end, kind) of each in the given text."""
+    """The text with its values replaced, and (start, end, kind) of each in the given text. A value that the
+    permutation leaves as it is isn't counted."""
     if not text or not _MAY.search(text):
         return text, []
     found, out, done, at, tried = [], [], 0, 0, 0
-    while m := PATTERN.search(text, at):
-        a, b = m.span(m.lastgroup)
-        hit = _replaced(text, m.lastgroup, a, b, key, a >= tried)
+    address, m = _address(text, 0), PATTERN.search(text)
+    while m or address:
+        if address and (not m or address[0] <= m.start()):
+            a, b = address
+            hit = (a, b, "email", _email(text[a:b], key))
+        else:
+            a, b = m.span(m.lastgroup)
+            jump = _small_groups(text, a, b) if m.lastgroup == "card" else None
+            if jump is None:
+                hit = _replaced(text, m.lastgroup, a, b, key, a >= tried)
+            else:
+                new = _card(text[a:b], key) if a >= tried else None
+                hit = new and (a, b, "card", new)
         if hit:
             a, at, kind, new = hit
-            out += [text[done:a], new]
-            found.append((a, at, kind))
-            done = at
+            if new != text[a:at]:
+                out += [text[done:a], new]
+                found.append((a, at, kind))
+                done = at
+            if address and at > address[0]:
+                address = _address(text, at)
         else:
-            at, tried = a + 1, b if a >= tried else tried
+            at, tried = jump or a + 1, b if a >= tried else tried
+        if m and m.start() < at:
+            m = PATTERN.search(text, at)
     return "".join([*out, text[done:]]), found
 
 
