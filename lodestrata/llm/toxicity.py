@@ -79,39 +79,101 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 #: Letters spaced apart over several tokens or within one, and a token's part of letters and look-alikes.
 SPACED = re.compile(r"(?<![^\s\"'(])[^\W_](?:[ .\-_*]{1,3}[^\W_]){2,}(?!\w)")
-MIXED = re.compile(r"[013457@$!|+*]{0,3}[^\W\d_]+(?:[0-9@$!|+*(€]{1,3}[^\W\d_]+)*[0-9@$!|+(€]{0,2}(?=[.,;:!?#%&*$\"')]|$)")
+#: Letters with up to three signs between; possessive, so a long one is read once.
+MIXED = re.compile(r"[^\W\d_]++(?:[0-9@$!|+*(€]{1,3}+[^\W\d_]++)*+")
+#: What a mixed part may begin with, end with, and must be followed by unless the token ends.
+_LEADING, _TRAILING, _AFTER = frozenset("013457@$!|+*"), frozenset("0123456789@$!|+(€"), frozenset(".,;:!?#%&*$\"')")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _ODD = re.compile(r"[0-9@$!|+*(€]")
 
 
-def viterbi(stretch: str, model: np.ndarray) -> str:
-    """The likeliest reading of a stretch."""
-    lattice: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"([^\W\d_])\1*|[ .\-_]+|.", stretch.lower(), re.S):
-        s = m[0]
-        if s[0].isalpha():
-            c = s[0]
-            lattice.append([(c, 0.0)] if len(s) == 1 else [(c + c, 0.0), (c, -2.0)] if len(s) == 2 else [(c, 0.0), (c + c, -0.5)])
-        elif s.strip(" .-_") == "":
-            lattice.append([("", -0.1), (" ", -2.5)])
-        elif s in LOOKS:
-            lattice.append([(x, -0.3) for x in LOOKS[s]] + ([] if s.isalnum() else [("", -8.0)]))
-        else:
-            lattice.append([("", -3.0)])
-    best = {(0, 0): (0.0, "")}
-    for choices in [*lattice, [(" ", 0.0)]]:
-        after: dict = {}
-        for (a, b), (score, path) in best.items():
-            for emitted, cost in choices:
-                x, y, s = a, b, score + cost
-                for c in emitted:
-                    k = _AT.get(c, 0)
-                    s += model[x, y, k]
-                    x, y = (0, 0) if k == 0 else (y, k)
-                if (x, y) not in after or s > after[x, y][0]:
-                    after[x, y] = (s, path + emitted)
+def mixed_parts(token: str):
+    """(start, end) of the mixed parts: up to three leading signs, the letters, up to two trailing signs, as
+    far as to the last place that the token or a sign of _AFTER ends it. Linear in the token's length."""
+    since, n = 0, len(token)
+    for m in MIXED.finditer(token):
+        a, b = m.span()
+        end = b
+        while end < min(n, b + 2) and token[end] in _TRAILING:
+            end += 1
+        while end > a and not ((end == n or token[end] in _AFTER) and any(token[e - 1].isalpha() for e in range(end, max(a, end - 3), -1) if all(c in _TRAILING for c in token[e:end]))):
+            end -= 1
+        start = max(a, since)
+        if end <= start:
+            continue
+        while start > since and a - start < 3 and token[start - 1] in _LEADING:
+            start -= 1
+        yield start, end
+        since = end
+
+
+#: Pieces of a stretch that are read at once; a longer stretch is read in parts.
+PIECES = 4096
+_PIECE = re.compile(r"([^\W\d_])\1*|[ .\-_]+|.", re.S)
+
+
+def _choices(piece: str) -> list[tuple[str, float]]:
+    """What a piece of a stretch may stand for, and at what cost."""
+    if piece[0].isalpha():
+        c = piece[0]
+        return [(c, 0.0)] if len(piece) == 1 else [(c + c, 0.0), (c, -2.0)] if len(piece) == 2 else [(c, 0.0), (c + c, -0.5)]
+    if piece.strip(" .-_") == "":
+        return [("", -0.1), (" ", -2.5)]
+    if piece in LOOKS:
+        return [(x, -0.3) for x in LOOKS[piece]] + ([] if piece.isalnum() else [("", -8.0)])
+    return [("", -3.0)]
+
+
+def _read_back(link) -> str:
+    out = []
+    while link:
+        link, emitted = link
+        out.append(emitted)
+    return "".join(reversed(out))
+
+
+def _moves(states: tuple, piece: str | None, model: np.ndarray) -> tuple[tuple, list]:
+    """The states (two last letters) after a piece, and the ways to each: (state before, log probability, read)."""
+    ways: dict = {}
+    for k, state in enumerate(states):
+        for emitted, s in _choices(piece) if piece else [(" ", 0.0)]:
+            x, y = state
+            for c in emitted:
+                at = _AT.get(c, 0)
+                s += model[x, y, at]
+                x, y = (0, 0) if at == 0 else (y, at)
+            ways.setdefault((x, y), []).append((k, float(s), emitted))
+    return tuple(ways), list(ways.values())
+
+
+def viterbi(stretch: str, model: np.ndarray, moves: dict | None = None) -> str:
+    """The likeliest reading of a stretch: for each two last letters the best path, as a chain of what was
+    read. moves, if given, keeps the steps from a set of states by a piece, over many calls."""
+    moves, out = {} if moves is None else moves, []
+    pieces = [m[0][:3] for m in _PIECE.finditer(stretch.lower())]
+    states, best = ((0, 0),), [(0.0, None)]
+    for at, piece in enumerate([*pieces, None], 1):
+        found = moves.get((states, piece))
+        if found is None:
+            if len(moves) > 100_000:
+                moves.clear()
+            found = moves[states, piece] = _moves(states, piece, model)
+        states, ways = found
+        after = []
+        for way in ways:
+            k, s, emitted = way[0]
+            score = best[k][0] + s
+            for other, s, e in way[1:]:
+                if best[other][0] + s > score:
+                    k, score, emitted = other, best[other][0] + s, e
+            after.append((score, (best[k][1], emitted)))
         best = after
-    return max(best.values())[1].rstrip(" ")
+        if at % PIECES == 0:
+            k = max(range(len(best)), key=lambda k: best[k][0])
+            out.append(_read_back(best[k][1]))
+            states, best = (states[k],), [(0.0, None)]
+    most = max(s for s, _ in best)
+    return ("".join(out) + max(_read_back(path) for s, path in best if s == most)).rstrip(" ")
 
 
 _SIGNS = {"-", ".", "_", "*"}
@@ -121,16 +183,21 @@ class Restorer:
     """Suspicious stretches become their readings; each distinct token is read once."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.known, self.moves = model, {}, {}
 
     def _spaced(self, m: re.Match) -> str:
-        return viterbi(m[0], self.model)
-
-    def _mixed(self, m: re.Match) -> str:
-        s = m[0].rstrip("!*$|+(") or m[0]
-        if not _ODD.search(s) and not _RUN.search(s) and not ("$" in m[0] and s != m[0] and m.end() == len(m.string)):
-            return m[0]
-        return viterbi(s if _ODD.search(s) or _RUN.search(s) else m[0], self.model)
+        return viterbi(m[0], self.model, self.moves)
+
+    def _mixed(self, token: str) -> str:
+        out, done = [], 0
+        for a, b in mixed_parts(token):
+            part = token[a:b]
+            s = part.rstrip("!*$|+(") or part
+            odd = _ODD.search(s) or _RUN.search(s)
+            if odd or ("$" in part and s != part and b == len(token)):
+                out += [token[done:a], viterbi(s if odd else part, self.model, self.moves)]
+                done = b
+        return "".join([*out, token[done:]]) if out else token
 
     def token(self, token: str) -> str:
         if not _ODD.search(token) and not _RUN.search(token) and not SPACED.match(token):
@@ -139,7 +206,7 @@ class Restorer:
             if len(self.known) > 100_000:
                 self.known.clear()
             at = token.find("@")  # an address isn't obfuscated
-            self.known[token] = token if 0 < at < token.rfind(".") - 1 else MIXED.sub(self._mixed, SPACED.sub(self._spaced, token))
+            self.known[token] = token if 0 < at < token.rfind(".") - 1 else self._mixed(SPACED.sub(self._spaced, token))
         return self.known[token]
 
     def gaps(self, text: str, tokens) -> str:
