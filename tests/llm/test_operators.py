@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import brute
@@ -731,3 +732,82 @@ def test_store_survives_a_reread(spark, odd):
     kept = store(odd, "test")
     assert kept.columns == odd.columns and kept.count() == kept.count() == odd.count()
     assert isinstance(kept.toPandas(), pd.DataFrame)
+
+
+LONG_WORDS = {
+    "letters and digits": "a1" * 500_000,
+    "open end": "a1" * 500_000 + "_",
+    "hexadecimal": hashlib.shake_256(b"x").hexdigest(500_000),
+    "single digits": "1 " * 500_000,
+    "dotted digits": "1.2.3.4.5." * 100_000,
+    "a secret": "token = " + "abC3dE" * 170_000,
+    "an address": "a1" * 500_000 + "@x.com",
+}
+
+
+@pytest.mark.parametrize("name", LONG_WORDS)
+def test_long_words_take_linear_time(name):
+    """A megabyte without a space, or of single digits, in seconds for both operators that look into words."""
+    text = LONG_WORDS[name]
+    model = toxicity.log_model(np.ones((toxicity._N,) * 3))
+    for work in (lambda: pii.pseudonymise(text, b"k"), lambda: toxicity.Restorer(model)(text)):
+        start = time.process_time()
+        work()
+        assert time.process_time() - start < 12  # some ten times what it takes; quadratic work takes hours
+    new, found = pii.pseudonymise(text, b"k")
+    assert len(new) == len(text) and (new != text) == bool(found) == (name in ("a secret", "an address"))
+
+
+@pytest.mark.parametrize("address", ["иван@почта.рф", "λόγος.άλφα@x.gr", "Jürgen.Groß@x.de", "王小明明@x.cn", "user٣٤٥٦@x.com"])
+def test_addresses_of_all_scripts_change(address):
+    new, found = pii.pseudonymise(f"to {address}, now", b"k")
+    local, domain = address.split("@")
+    got = new[3:].split("@")[0]
+    assert [f[2] for f in found] == ["email"] and new.endswith(f"@{domain}, now") and len(got) == len(local)
+    assert sum(a != b for a, b in zip(got, local)) >= len(local) // 2  # letters beyond ASCII too
+    assert all((a.isalpha(), a.islower(), a.isdecimal()) == (b.isalpha(), b.islower(), b.isdecimal()) for a, b in zip(got, local))
+
+
+def test_what_stays_is_not_counted():
+    assert pii.pseudonymise("___@x.com and -.-@y.org", b"k") == ("___@x.com and -.-@y.org", [])
+
+
+def test_long_values_are_permuted_one_to_one():
+    """Letter by letter, by halves: different values of a shape stay different, and come back by no other key."""
+    values = ["ab1" * 60 + f"{k:04}" for k in range(500)]
+    made = {pii._in_place(v, b"k", "t") for v in values}
+    assert len(made) == 500 and not made & set(values) and {len(m) for m in made} == {184}
+    assert pii._in_place(values[0], b"k", "t") in made and pii._in_place(values[0], b"other", "t") not in made
+    sizes = np.array([3, 2, 3, 2])
+    every = [np.array([a, b, c, d]) for a in range(3) for b in range(2) for c in range(3) for d in range(2)]
+    assert len({tuple(pii._by_letters(v, sizes, b"k", "t")) for v in every}) == 36
+
+
+def test_mixed_parts_equal_the_backtracking_pattern():
+    """Against the pattern that says it, where that is quick enough: short tokens of letters, signs and closers."""
+    plain = re.compile(r"[013457@$!|+*]{0,3}[^\W\d_]+(?:[0-9@$!|+*(€]{1,3}[^\W\d_]+)*[0-9@$!|+(€]{0,2}(?=[.,;:!?#%&*$\"')]|$)")
+    draw = random.Random(1)
+    for _ in range(30_000):
+        token = "".join(draw.choice("ab1e0!*$(._@3'-|é9") for _ in range(draw.randint(1, 14)))
+        assert [m.span() for m in plain.finditer(token)] == list(toxicity.mixed_parts(token)), token
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    """Against all readings of short stretches, each scored letter by letter."""
+    import itertools
+
+    draw = np.random.default_rng(3)
+    model = toxicity.log_model(draw.random((toxicity._N,) * 3) * 50)
+    for stretch in ("1d10t", "m.o r0n", "aa4!", "b@dd", "s+u p1d", "9(a"):
+        pieces = [m[0] for m in re.finditer(r"([^\W\d_])\1*|[ .\-_]+|.", stretch)]
+        best = None
+        for reading in itertools.product(*(toxicity._choices(p) for p in pieces)):
+            score, text = sum(c for _, c in reading), "".join(e for e, _ in reading)
+            a = b = 0
+            for c in text + " ":
+                k = toxicity._AT.get(c, 0)
+                score += model[a, b, k]
+                a, b = (0, 0) if k == 0 else (b, k)
+            if best is None or score > best[0] + 1e-9:
+                best = (score, text.rstrip(" "))
+        assert toxicity.viterbi(stretch, model) == best[1]
