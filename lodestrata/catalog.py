@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from math import pi, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from . import catalog_sql as Q
 from .functions import geometry as G
 from .functions import potentials as P
 from .operators import eam, neighbors, trajectory
+from .operators.exact import exact_sum
 from .operators.ranks import rank_by
+from .operators.stored import shared_folder, stored
 from .plans import thermo
-from .sources import generate, setfl, xyz
+from .sources import generate, layout, setfl, xyz
 from .streaming import dynamics
 
 A0, RC = Q.A0, Q.RC
@@ -93,7 +96,7 @@ def analytic(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, P.Anal
 
 def per_atom(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     atoms, cells, potential, found = analytic(spark, sf)
-    dense = eam.densities(atoms, found, potential)
+    dense = stored(eam.densities(atoms, found, potential), "dense")
     again = potential.at_pairs(neighbors.cell_list_pairs(dense, cells, RC, carry=("dembedding",)))
     return eam.forces_and_virials(dense, again), cells
 
@@ -517,7 +520,7 @@ def density_histogram(spark, sf):
 @query(EAM + " select atom_id, (row_number() over (order by rho, atom_id))::int as nth, " + Q.r6("rho", "embedding") + " from per_atom")
 def embedding_trace(spark, sf):
     atoms, _, potential, found = analytic(spark, sf)
-    dense = eam.densities(atoms, found, potential).select("config_id", "atom_id", "rho", "embedding")
+    dense = stored(eam.densities(atoms, found, potential).select("config_id", "atom_id", "rho", "embedding"), "dense")
     return r6(rank_by(dense, "config_id", "rho", "atom_id", "nth").select("atom_id", F.col("nth").cast("int").alias("nth"), "rho", "embedding"), "rho", "embedding")
 
 
@@ -666,6 +669,157 @@ def rdf_first_peak(spark, sf):
     return r6(trajectory.first_peak(_rdf(spark, sf)), "r", "g")
 
 
+_FRAME_PAIRS = f"{_T}, p as (select a.frame, least(floor(sqrt(r2) / 0.35::double), 19)::int as bin from (select a.frame, {' + '.join(f'pow(b.{c} - a.{c} - 40 * round_even((b.{c} - a.{c}) / 40, 0), 2)' for c in 'xyz')} as r2 from t a join t b on a.frame = b.frame and a.atom_id <> b.atom_id) a where r2 > 0 and r2 < 49)"
+
+
+@query(_FRAME_PAIRS + """, n as (select frame, bin, count(*) as n from p group by all), f as (select frame, count(*) as atoms from t group by frame having count(*) > 1),
+g as (select k::int as bin, frame, coalesce(n, 0) / (atoms * (atoms - 1) / 64000.0::double * (4.0::double / 3 * pi() * pow(0.35::double, 3) * (pow(k + 1, 3) - pow(k, 3)))) as g from range(20) q(k) join f on true left join n on n.bin = k and n.frame = f.frame)
+select 'events' as config_id, bin, round((bin + 0.5) * 0.35::double, 6) as r, round(avg(g), 6) as g, round(stddev_pop(g), 6) as deviation, count(*) as n_frames from g group by bin""".replace("from range(20) q(k) join f on true left join n on n.bin = k and n.frame = f.frame", "from range(20) q(k) join f on true left join (select frame as nf, bin as nb, n from n) n on nb = k and nf = frame"))
+def rdf_frames(spark, sf):
+    """All frames of the run in one neighbour join."""
+    return r6(trajectory.rdf_over_frames(*events_trajectory(spark, sf), 7.0, 20), "r", "g", "deviation")
+
+
+_THERMAL = f"{_T}, g as (select *, 't' || (atom_id % 5) as c, 100.0::double + 90 * (atom_id % 5) as temperature from t), u as (select c, temperature, pow(x - avg(x) over (partition by atom_id), 2) as u2 from g), b as (select c, temperature, avg(u2) as u2, 8 * pi() * pi() * avg(u2) as b from u group by all)"
+
+
+@query(_THERMAL + """, q as (select 50.0::double + 20 * n_nationkey as t from nation), two as (select t, max(case when temperature <= t then temperature end) as low, min(case when temperature >= t then temperature end) as high from q, b group by t)
+select 'run' as config_id, t as temperature, round(case when low is null then h.b when high is null or low = high then l.b else l.b + (h.b - l.b) * (t - low) / (high - low) end, 6) as b, round((select regr_slope(b, temperature) from b), 6) as slope from two left join b l on l.temperature = low left join b h on h.temperature = high""")
+def debye_waller_at(spark, sf):
+    """B of the run's parts, each at its temperature, read between them; and the slope of B by temperature."""
+    traj = events_trajectory(spark, sf)[0].withColumn("config_id", F.concat(F.lit("t"), F.col("atom_id") % 5))
+    points = trajectory.debye_waller(traj).select(F.lit("run").alias("config_id"), (100.0 + 90 * F.substring("config_id", 2, 9).cast("int")).alias("temperature"), "b")
+    at = table(spark, sf, "nation").select((50.0 + 20 * F.col("n_nationkey")).alias("temperature"))
+    slope = points.groupBy("config_id").agg(F.regr_slope("b", "temperature").alias("slope"))
+    return r6(trajectory.interpolated(points, at, "temperature", "b").join(slope, "config_id"), "b", "slope")
+
+
+_MELT = "select * replace (x + case when z > (select l / 2 from box) then 0.6::double * (((atom_id * 31) % 100) / 100.0::double - 0.5::double) else 0 end as x, y + case when z > (select l / 2 from box) then 0.6::double * (((atom_id * 57) % 100) / 100.0::double - 0.5::double) else 0 end as y)"
+
+
+def half_melted(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The lattice of part, its upper half shaken."""
+    atoms, cells = part_atoms(spark, sf)
+    upper = F.col("z") > F.col("h22") / 2
+    shaken = {c: F.col(c) + F.when(upper, 0.6 * (F.pmod(F.col("atom_id") * m, F.lit(100)) / 100.0 - 0.5)).otherwise(0.0) for c, m in (("x", 31), ("y", 57))}
+    return atoms.join(cells.select("config_id", "h22"), "config_id").withColumns(shaken).drop("h22"), cells
+
+
+_MELTED = f"with box as (select h22 as l from ({Q.PART_CELLS})) {_MELT} from ({Q.PART_ATOMS})"
+
+
+@query(Q.pairs(f"select * from ({_MELTED})", Q.PART_CELLS, 3.0) + f""", s as (select a.atom_id, z, count(p.i) = 12 as solid from atoms a left join pairs p on p.i = a.atom_id group by all), l as (select floor(z / {A0 / 2!r}::double) as layer, count(*) as n, count(case when solid then 1 end) as n_solid from s group by 1),
+r as (select *, n_solid * 2 >= n as is_solid, layer - row_number() over (partition by n_solid * 2 >= n order by layer) as run from l), g as (select is_solid, run, count(*) as length, sum(n) as n, sum(n_solid) as n_solid from r group by all)
+select 'part' as config_id, sum(length)::bigint as n_layers, round(sum(n_solid) / sum(n)::double, 6) as share, sum(case when is_solid then length else 0 end)::bigint as solid_layers, max(case when is_solid then length else 0 end)::bigint as longest from g""")
+def two_phase(spark, sf):
+    states = trajectory.phases(*half_melted(spark, sf), 3.0)
+    return r6(trajectory.two_phase(states, A0 / 2), "share")
+
+
+@query("with s as (select o_custkey % 5 as c, o_totalprice / 1000 as t, row_number() over (partition by o_custkey % 5 order by o_orderkey) - 1 as before, count(*) over (partition by o_custkey % 5) as n from orders) select 't' || c as config_id, count(*) as n, round(avg(t), 6) as mean, round(stddev_pop(t), 6) as deviation from s where before >= n // 2 group by c")
+def second_half(spark, sf):
+    """Mean and deviation of the second half of each series, as of the temperature of a run with two phases."""
+    series = table(spark, sf, "orders").select(F.concat(F.lit("t"), F.col("o_custkey") % 5).alias("config_id"), F.col("o_orderkey").alias("step"), (F.col("o_totalprice") / 1000).alias("t"))
+    return r6(trajectory.second_half(series, "step", "t"), "mean", "deviation")
+
+
+_IMAGES = 9
+_PATH_X = "case e when 0 then 0 when 1 then 0.3 + (s_suppkey % 7) / 20.0::double else -1.6 + k * (2.7 + (s_suppkey % 7) / 20.0::double) / 8 end::double"
+
+
+def hop_images(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A path for each supplier: an atom passes over two others in nine images."""
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("h"), F.col("s_suppkey")).alias("path"), (F.pmod("s_suppkey", F.lit(7)) / 20.0).alias("w"))
+    rows = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(_IMAGES - 1))).alias("image")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("e"))
+    x = F.when(F.col("e") == 0, 0.0).when(F.col("e") == 1, 0.3 + F.col("w")).otherwise(-1.6 + F.col("image") * (2.7 + F.col("w")) / 8)
+    atoms = rows.select(F.col("path").alias("config_id"), "image", F.col("e").cast("long").alias("atom_id"), F.lit(0).alias("type"), x.alias("x"), F.when(F.col("e") == 2, F.sin(F.col("image") * (pi / 8)) * 0.1 + 2.0).when(F.col("e") == 1, -1.5).otherwise(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return atoms, s.select(F.col("path").alias("config_id"), F.lit(False).alias("pbc"), *(F.lit(None).cast("double").alias(c) for r in G.H for c in r))
+
+
+_HOP_ATOMS = f"select 'h' || s_suppkey || '/' || k as config_id, e::bigint as atom_id, 0::int as type, {_PATH_X} as x, case e when 2 then sin(k * {pi / 8!r}::double) * 0.1::double + 2 when 1 then -1.5 else 0 end::double as y, 0.0::double as z from supplier, range({_IMAGES}) i(k), range(3) t(e)"
+_HOP_CELLS = f"select 'h' || s_suppkey || '/' || k as config_id, false as pbc, " + ", ".join(f"null::double as h{k}" for k in Q.NINE) + f" from supplier, range({_IMAGES}) i(k)"
+
+
+@query(Q.eam(_HOP_ATOMS, _HOP_CELLS) + """, e as (select split_part(config_id, '/', 1) as path, split_part(config_id, '/', 2)::int as image, energy from totals),
+m as (select split_part(config_id, '/', 1) as path, split_part(config_id, '/', 2)::int as image, atom_id, x, y from atoms), d as (select path, image, sqrt(sum(coalesce(pow(sx, 2) + pow(sy, 2), 0))) as step from (select *, x - lag(x) over w as sx, y - lag(y) over w as sy from m window w as (partition by path, atom_id order by image)) group by all),
+c as (select path, image, energy, sum(step) over (partition by path order by image) as s from d join e using (path, image)),
+g as (select *, lead(energy) over w as e1, lag(energy) over w as e0, lead(s) over w as s1, lag(s) over w as s0 from c window w as (partition by path order by image)),
+h as (select *, case when e0 is null then (e1 - energy) / (s1 - s) when e1 is null then (energy - e0) / (s - s0) else ((energy - e0) / (s - s0) * (s1 - s) + (e1 - energy) / (s1 - s) * (s - s0)) / (s1 - s0) end as slope from g),
+i as (select *, (s1 - s) as l, slope * (s1 - s) as b, lead(slope) over (partition by path order by image) * (s1 - s) as b1, e1 - energy as rise from h), q as (select *, 3 * rise - 2 * b - b1 as cc, b + b1 - 2 * rise as dd from i),
+u as (select path, s, energy as e from q union all select path, s + v * l, energy + v * (b + v * (cc + v * dd)) from (select *, unnest([(-cc + sqrt(greatest(0, cc * cc - 3 * dd * b))) / (3 * dd), (-cc - sqrt(greatest(0, cc * cc - 3 * dd * b))) / (3 * dd)]) as v from q where e1 is not null and dd <> 0) where v > 0 and v < 1),
+top as (select path, max(e) as e, arg_max(s, e) as s from u group by path)
+select c.path as config_id, count(*) as n_images, round(max(c.s), 5) as length, round(any_value(top.s), 4) as saddle, round(any_value(top.e) - arg_min(energy, image), 6) + 0.0 as barrier, round(any_value(top.e) - arg_max(energy, image), 6) + 0.0 as backward, arg_max(image, (energy, -image))::int as image from c join top using (path) group by c.path""")
+def path_profile(spark, sf):
+    """Energies of all images of all paths in one job, then each path's length, saddle and barriers."""
+    images, cells = hop_images(spark, sf)
+    name = F.concat_ws("/", "config_id", "image").alias("config_id")
+    each = images.select(name, "atom_id", "type", "x", "y", "z")
+    boxes = cells.crossJoin(spark.range(_IMAGES).select(F.col("id").alias("image")))  # nine images
+    e = _energies(each, boxes.select(name, "pbc", *(c for r in G.H for c in r)))
+    e = e.select(F.split_part("config_id", F.lit("/"), F.lit(1)).alias("config_id"), F.split_part("config_id", F.lit("/"), F.lit(2)).cast("int").alias("image"), "energy")
+    found = trajectory.path_profile(images, e, cells)
+    return r6(r6(r6(found, "barrier", "backward"), "length", places=5), "saddle", places=4)
+
+
+# ---- layout and reuse
+
+
+_UP = "(pow(2, ceil(log2({v} + 1)))::bigint - 1)"
+
+
+@query(f"select o_orderkey, ({' + '.join(f'{1 << k} * ' + _BITS.format(v=_UP.format(v=c)) for k, c in enumerate('uvw'))} + 1)::bigint as space from (select o_orderkey, (o_orderkey % 37)::bigint as u, (o_custkey % 21)::bigint as v, ((o_orderkey * 7) % 90)::bigint as w from orders)")
+def morton_space(spark, sf):
+    """Sizes of the code space of grids a + 1, b + 1, c + 1."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", (k % 37 + 1).alias("a"), (F.col("o_custkey") % 21 + 1).alias("b"), (k * 7 % 90 + 1).alias("c"))
+    return o.select("o_orderkey", G.morton_space(F.col("a"), F.col("b"), F.col("c")).alias("space"))
+
+
+_BOX_LOW, _BOX_HIGH = (0.2, 0.35, 0.1), (0.55, 0.7, 0.4)
+
+
+@query(_BINNED + f" select atom_id, ({_BITS.format(v='cx')} + 2 * {_BITS.format(v='cy')} + 4 * {_BITS.format(v='cz')})::bigint as code, {Q.r6('x', 'y', 'z')} from binned where " + " and ".join(f"s{k} >= {a} and s{k} < {b}" for k, (a, b) in enumerate(zip(_BOX_LOW, _BOX_HIGH))))
+def z_order_box(spark, sf):
+    """The lattice written in Z-order, and a box of it read back by intervals of codes."""
+    atoms, cells = part_atoms(spark, sf)
+    path = f"{shared_folder(spark).rstrip('/')}/lodestrata/z-order-{uuid.uuid4().hex}"
+    layout.write_z_ordered(layout.coded(atoms, cells, RC), path, int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 20)
+    return r6(layout.read_box(spark, path, cells, "part", RC, _BOX_LOW, _BOX_HIGH).select("atom_id", "code", "x", "y", "z"), "x", "y", "z")
+
+
+_MOVES = {"a": 0.05, "b": 0.12, "c": 0.4}
+_MOVE_ATOMS = " union all ".join(f"select '{n}' as config_id, atom_id, type, x + {s}::double * (((atom_id * 31) % 100) / 100.0::double - 0.5::double) as x, y + {s}::double * (((atom_id * 57) % 100) / 100.0::double - 0.5::double) as y, z from ({Q.PART_ATOMS})" for n, s in _MOVES.items())
+_MOVE_CELLS = " union all ".join(f"select '{n}' as config_id, * exclude (config_id) from ({Q.PART_CELLS})" for n in _MOVES)
+
+
+def moved_frames(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(atoms before, atoms now, cells) of three copies of part's lattice that moved by different amounts."""
+    atoms, cells = part_atoms(spark, sf)
+    sizes = generate.literal(spark, [(n, float(s)) for n, s in _MOVES.items()], "name string, size double")
+    before = atoms.drop("config_id").crossJoin(sizes)  # three copies
+    shift = {c: F.col(c) + F.col("size") * (F.pmod(F.col("atom_id") * m, F.lit(100)) / 100.0 - 0.5) for c, m in (("x", 31), ("y", 57))}
+    named = lambda df: df.withColumnRenamed("name", "config_id").drop("size")
+    return named(before), named(before.withColumns(shift)), named(cells.drop("config_id").crossJoin(sizes))
+
+
+@query(Q.pairs(_MOVE_ATOMS, _MOVE_CELLS, 4.5) + f", m as (select config_id, max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) * 2 > 0.15 as stale from atoms a join ({Q.PART_ATOMS}) b using (atom_id) group by a.config_id) select p.config_id, i, j, {Q.r6('r2')}, stale from pairs p join m on m.config_id = p.config_id".replace("select config_id, max(sqrt", "select a.config_id, max(sqrt"))
+def list_reuse(spark, sf):
+    """Pairs by lists made before the atoms moved, where they still hold, and by new lists elsewhere."""
+    before, atoms, cells = moved_frames(spark, sf)
+    lists = neighbors.neighbor_lists(before, cells, 4.5, 0.15)
+    lists, state = neighbors.current_lists(lists, before, atoms, cells, 4.5, 0.15)
+    found = neighbors.pairs_of_lists(lists, atoms, cells, 4.5)
+    return r6(found.join(state.select("config_id", "stale"), "config_id").select("config_id", "i", "j", "r2", "stale"), "r2")
+
+
+@query(EAM + " select config_id, n_atoms, " + Q.r6("energy") + " from totals")
+def total_energy_exact(spark, sf):
+    """The energy by sums that don't depend on the partitioning."""
+    atoms, _, potential, found = analytic(spark, sf)
+    per = eam.densities_and_energies(atoms, found, potential, total=exact_sum)
+    return r6(per.groupBy("config_id").agg(F.count("*").alias("n_atoms"), exact_sum("energy").alias("energy")), "energy")
+
+
 # ---- ensembles
 
 POTENTIAL = P.AnalyticPotential(RC)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from .functions.potentials import Potential
 from .operators import eam, neighbors, validation
+from .operators.stored import stored
 
 
 @dataclass
@@ -52,9 +53,9 @@ class Engine:
             validation.check_cells(cells, self.cutoff)
             validation.check_atoms(atoms, cells, self.n_elements)
 
-    def _evaluated(self, atoms: DataFrame, cells: DataFrame, strategy: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    def _evaluated(self, atoms: DataFrame, cells: DataFrame, strategy: str, carry: tuple[str, ...] = (), kinds: frozenset | None = None) -> DataFrame:
         width = {"width": self.cell_size} if strategy == "cell_list" else {}
-        return self.potential.at_pairs(neighbors.pairs(atoms, cells, self.cutoff, strategy, carry=carry, **width))
+        return self.potential.at_pairs(neighbors.pairs(atoms, cells, self.cutoff, strategy, carry=carry, kinds=kinds, **width))
 
     def _strategy(self, atoms: DataFrame) -> str:
         return neighbors.chosen(atoms) if self.strategy == "auto" else self.strategy
@@ -64,9 +65,9 @@ class Engine:
             found = self.pairs(atoms, cells)
             return eam.forces_and_virials(eam.densities(atoms, found, self.potential), found)
         self._check(atoms, cells)
-        strategy = self._strategy(atoms)
-        dense = eam.densities(atoms, self._evaluated(atoms, cells, strategy), self.potential)
-        return eam.forces_and_virials(dense, self._evaluated(dense, cells, strategy, ("dembedding",)))
+        strategy, kinds = self._strategy(atoms), neighbors.kinds_of(cells)
+        dense = stored(eam.densities(atoms, self._evaluated(atoms, cells, strategy, kinds=kinds), self.potential), "dense")
+        return eam.forces_and_virials(dense, self._evaluated(dense, cells, strategy, ("dembedding",), kinds))
 
     def compute(self, atoms: DataFrame, cells: DataFrame) -> Result:
         full = self._all(atoms, cells)

@@ -104,29 +104,40 @@ def power_of_two(n: Column, up: bool = False) -> Column:
     return F.pow(F.lit(2.0), F.ceil(exponent - 1e-12) if up else F.floor(exponent + 1e-12)).cast("int")
 
 
+#: Masks that leave two zero bits after each bit of a number of 21 bits.
+_SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+_LOW = 0x1FFFFF
+
+
 def _spread(v: Column) -> Column:
-    """The ten low bits of v, two zero bits after each."""
-    v = v.bitwiseAND(0x3FF)
-    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
+    """The 21 low bits of v, two zero bits after each."""
+    v = v.cast("long").bitwiseAND(_LOW)
+    for shift, mask in _SPREAD:
         v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(mask)
     return v
 
 
 def morton(x: Column, y: Column, z: Column) -> Column:
-    """Z-order code of three numbers below 1024."""
+    """Z-order code of three numbers below 2^21."""
     return _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1)).bitwiseOR(F.shiftleft(_spread(z), 2))
 
 
 def unmorton(code: Column) -> list[Column]:
     out = []
     for k in range(3):
-        v = F.shiftright(code, k).bitwiseAND(0x09249249)
-        for shift, mask in ((2, 0x030C30C3), (4, 0x0300F00F), (8, 0x030000FF), (16, 0x3FF)):
+        v = F.shiftright(code, k).bitwiseAND(_SPREAD[-1][1])
+        for (shift, _), mask in zip(reversed(_SPREAD), [m for _, m in reversed(_SPREAD[:-1])] + [_LOW]):
             v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(mask)
         out.append(v)
     return out
 
 
+def morton_space(nx: Column, ny: Column, nz: Column) -> Column:
+    """One more than the largest code of a grid whose sizes go up to powers of two. It exceeds the number of
+    cells where the grid isn't a cube."""
+    return morton(*(power_of_two(n, True) - 1 for n in (nx, ny, nz))) + 1
+
+
 def rattle(key: Column, prime: int, size: float) -> Column:
     """A shift in [-size/2, size/2) that depends on the key alone."""
     return F.lit(size) * (F.pmod(key * prime, F.lit(1000)) / F.lit(1000.0) - F.lit(0.5))

@@ -1,7 +1,7 @@
 """Energies, forces, virials and stresses as two grouped sums over pairs.
 
-Pass one sums the partners' densities at each atom; the embedding slope of that density is the only
-thing that pass two needs of both atoms. It is cheaper to make the pairs again, with the slopes carried
+Pass one sums the partners' densities at each atom; its result is written, as pass two reads it three times. The
+embedding slope of that density is the only thing that pass two needs of both atoms. It is cheaper to make the pairs again, with the slopes carried
 on the atoms, than to shuffle pairs by either atom to fetch them. Partial sums run before each shuffle. Atoms without partners
 have density 0 and stay, by a left join. Columns that nobody selects are pruned by Spark."""
 
@@ -55,9 +55,10 @@ def energies(dense: DataFrame, evaluated: DataFrame) -> DataFrame:
     return joined.withColumn("energy", F.col("embedding") + F.col("pair_energy"))
 
 
-def densities_and_energies(atoms: DataFrame, evaluated: DataFrame, potential: Potential) -> DataFrame:
-    """Densities and energies from one sum over pairs; for when no forces are wanted."""
-    sums = evaluated.groupBy("config_id", F.col("i").alias("atom_id")).agg(F.sum("f_j").alias("rho"), F.sum(F.col("phi") / 2).alias("pair_energy"), F.count("*").alias("n_partners"))
+def densities_and_energies(atoms: DataFrame, evaluated: DataFrame, potential: Potential, total=F.sum) -> DataFrame:
+    """Densities and energies from one sum over pairs; for when no forces are wanted. total=exact_sum gives
+    the same to the bit however the pairs are dealt."""
+    sums = evaluated.groupBy("config_id", F.col("i").alias("atom_id")).agg(total(F.col("f_j")).alias("rho"), total(F.col("phi") / 2).alias("pair_energy"), F.count("*").alias("n_partners"))
     joined = atoms.join(sums, ["config_id", "atom_id"], "left").fillna(0.0, ["rho", "pair_energy"]).fillna(0, ["n_partners"])
     return potential.at_atoms(joined).withColumn("energy", F.col("embedding") + F.col("pair_energy"))
 

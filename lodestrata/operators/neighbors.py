@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .ranks import sum_before
+from .stored import stored
 
 LOWEST_R2 = 1e-4
 #: Atoms in a configuration up to which all pairs are compared when no strategy is asked for.
@@ -21,27 +22,34 @@ ALL_PAIRS_UP_TO = 700
 _CELL = ["cx", "cy", "cz"]
 
 
-def _positions(atoms: DataFrame, cells: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def _positions(atoms: DataFrame, cells: DataFrame, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """atoms with their cell's geometry, unless they have it."""
-    geometry = G.with_geometry(cells).select("config_id", "pbc", *(c for r in (*G.H, *G.INV) for c in r), *(f"height{k}" for k in range(3)))
-    placed = atoms.select("config_id", "atom_id", "type", "x", "y", "z", *carry).join(geometry, "config_id")
+    keys = ["config_id", *(b for b in by if b in cells.columns)]
+    geometry = G.with_geometry(cells).select(*keys, "pbc", *(c for r in (*G.H, *G.INV) for c in r), *(f"height{k}" for k in range(3)))
+    placed = atoms.select("config_id", *by, "atom_id", "type", "x", "y", "z", *carry).join(geometry, keys)
     return placed.withColumns({f"s{k}": s for k, s in enumerate(G.fractional("x", "y", "z"))})
 
 
-def assign_cells(atoms: DataFrame, cells: DataFrame, width: float, carry: tuple[str, ...] = ()) -> DataFrame:
+def kinds_of(cells: DataFrame) -> frozenset:
+    """Whether there are periodic cells and clusters: two values at most, by one job."""
+    return frozenset(r[0] for r in cells.select("pbc").distinct().collect())
+
+
+def assign_cells(atoms: DataFrame, cells: DataFrame, width: float, carry: tuple[str, ...] = (), by: tuple[str, ...] = (), kinds: frozenset | None = None) -> DataFrame:
     """atoms with geometry, grid size nx, ny, nz and cell cx, cy, cz. Clusters get the grid of their
-    bounding box with half a width around it, clamped at its ends."""
-    placed, parts = _positions(atoms, cells, carry), []
-    kinds = {r[0] for r in cells.select("pbc").distinct().collect()}  # two at most
+    bounding box with half a width around it, clamped at its ends. Further keys `by`, a frame for one, part
+    the atoms of a configuration. kinds_of() the cells, if known, saves its job."""
+    placed, parts = _positions(atoms, cells, carry, by), []
+    kinds = kinds_of(cells) if kinds is None else kinds
     if True in kinds or not kinds:
         sizes = {f"n{a}": G.grid_size(F.col(f"height{k}"), width) for k, a in enumerate("xyz")}
         periodic = placed.filter("pbc").withColumns({**sizes, **{f"s{a}": G.wrapped(F.col(f"s{k}")) for k, a in enumerate("xyz")}})
         parts.append(periodic.withColumns({f"c{a}": G.grid_index(F.col(f"s{a}"), F.col(f"n{a}")) for a in "xyz"}).drop("sx", "sy", "sz"))
     if False in kinds:
         open_ = placed.filter("not pbc")
-        box = open_.groupBy("config_id").agg(*(f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("low", F.min), ("high", F.max))))
+        box = open_.groupBy("config_id", *by).agg(*(f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("low", F.min), ("high", F.max))))
         size = {f"n{a}": F.greatest(F.lit(1), F.floor((F.col(f"high_{a}") - F.col(f"low_{a}") + width) / width)).cast("int") for a in "xyz"}
-        boxed = open_.join(box, "config_id").withColumns(size)
+        boxed = open_.join(box, ["config_id", *by]).withColumns(size)
         at = {f"c{a}": F.greatest(F.lit(0), F.least(F.col(f"n{a}") - 1, F.floor((F.col(a) - F.col(f"low_{a}") + width / 2) / width).cast("int"))) for a in "xyz"}
         parts.append(boxed.withColumns(at).drop(*(f"{n}_{a}" for a in "xyz" for n in ("low", "high"))))
     return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
@@ -61,41 +69,41 @@ def stencil(binned: DataFrame) -> DataFrame:
     return binned
 
 
-def _displaced(both: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def _displaced(both: DataFrame, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """both with dx, dy, dz, r2. The generator keeps the optimizer from writing the displacement out
     again for each use of it in the join's condition."""
     off = [F.col(f"js{k}") - F.col(f"s{k}") for k in range(3)]
     moved = G.cartesian([s - F.rint(s) for s in off])
     plain = [F.col(f"j{a}") - F.col(a) for a in "xyz"]
     d = F.struct(*(F.when(F.col("pbc"), m).otherwise(p).alias(f"d{a}") for m, p, a in zip(moved, plain, "xyz")))
-    found = both.select("config_id", "atom_id", "j_id", "type", "j_type", *carry, *(f"j_{c}" for c in carry), F.inline(F.array(d)))
+    found = both.select("config_id", *by, "atom_id", "j_id", "type", "j_type", *carry, *(f"j_{c}" for c in carry), F.inline(F.array(d)))
     return found.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
 
 
-def _within(both: DataFrame, cutoff: float, lowest: float | None, carry: tuple[str, ...] = ()) -> DataFrame:
-    found = _displaced(both, carry)
+def _within(both: DataFrame, cutoff: float, lowest: float | None, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    found = _displaced(both, carry, by)
     found = found.filter(F.col("r2") < cutoff * cutoff)
     if lowest is not None:
         found = found.filter(F.col("r2") > lowest)
-    return found.select("config_id", F.col("atom_id").alias("i"), F.col("j_id").alias("j"), F.col("type").alias("ti"), F.col("j_type").alias("tj"), "dx", "dy", "dz", "r2", *(F.col(c).alias(f"{c}_i") for c in carry), *(F.col(f"j_{c}").alias(f"{c}_j") for c in carry))
+    return found.select("config_id", *by, F.col("atom_id").alias("i"), F.col("j_id").alias("j"), F.col("type").alias("ti"), F.col("j_type").alias("tj"), "dx", "dy", "dz", "r2", *(F.col(c).alias(f"{c}_i") for c in carry), *(F.col(f"j_{c}").alias(f"{c}_j") for c in carry))
 
 
 def _partners(atoms: DataFrame, *keys: str, carry: tuple[str, ...] = ()) -> DataFrame:
     return atoms.select("config_id", *keys, F.col("atom_id").alias("j_id"), F.col("type").alias("j_type"), *(F.col(a).alias(f"j{a}") for a in ("x", "y", "z", "s0", "s1", "s2")), *(F.col(c).alias(f"j_{c}") for c in carry))
 
 
-def cell_list_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
-    """Ordered pairs (config_id, i, j, ti, tj, dx, dy, dz, r2) with r < cutoff + skin; i < j only if half.
+def cell_list_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = (), width: float | None = None, by: tuple[str, ...] = (), kinds: frozenset | None = None) -> DataFrame:
+    """Ordered pairs (config_id, *by, i, j, ti, tj, dx, dy, dz, r2) with r < cutoff + skin; i < j only if half.
     Columns to carry come along from both atoms, as c_i and c_j. `width`: least size of a grid cell, if it
-    is to be more than the reach."""
+    is to be more than the reach. `by`: keys besides config_id that both atoms of a pair share."""
     reach = cutoff + skin
-    binned = assign_cells(atoms, cells, max(reach, width or 0.0), carry)
-    both = stencil(binned).join(_partners(binned, *_CELL, carry=carry), ["config_id", *_CELL])
+    binned = assign_cells(atoms, cells, max(reach, width or 0.0), carry, by, kinds)
+    both = stencil(binned).join(_partners(binned, *by, *_CELL, carry=carry), ["config_id", *by, *_CELL])
     both = both.filter(F.col("atom_id") < F.col("j_id") if half else F.col("atom_id") != F.col("j_id"))
-    return _within(both, reach, lowest, carry)
+    return _within(both, reach, lowest, carry, by)
 
 
-def all_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def all_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = (), kinds: frozenset | None = None) -> DataFrame:
     """The same pairs by comparing all atoms of a configuration; for small configurations."""
     placed = _positions(atoms, cells, carry)
     both = placed.join(_partners(placed, carry=carry), "config_id")
@@ -129,6 +137,7 @@ def neighbor_lists(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: floa
     lists = found.groupBy("config_id", "i").agg(F.sort_array(F.collect_list("j")).alias("list"))
     every = atoms.select("config_id", F.col("atom_id").alias("i")).join(lists, ["config_id", "i"], "left")
     every = every.select("config_id", "i", F.coalesce("list", F.array().cast("array<bigint>")).alias("list")).withColumn("n", F.size("list"))
+    every = stored(every, "lists")  # used for the sums and for the result
     starts = sum_before(every.select("config_id", "i", "n"), "config_id", "i", F.col("n"), "start").drop("n")  # lists stay out of it
     return every.join(starts, ["config_id", "i"])
 
@@ -141,6 +150,28 @@ def pairs_of_lists(lists: DataFrame, atoms: DataFrame, cells: DataFrame, cutoff:
     return _within(both, cutoff, LOWEST_R2)
 
 
+def largest_moves(before: DataFrame, atoms: DataFrame, cells: DataFrame) -> DataFrame:
+    """(config_id, moved): the largest minimum-image displacement of a configuration's atoms; null if an atom
+    is new or gone."""
+    ids = ["config_id", "atom_id"]
+    was = before.select(*ids, *(F.col(c).alias(f"was_{c}") for c in "xyz"))
+    both = atoms.select(*ids, "x", "y", "z").join(was, ids, "full").join(G.with_geometry(cells), "config_id")
+    d = G.minimum_image(*(F.col(c) - F.col(f"was_{c}") for c in "xyz"), F.col("pbc"))
+    far = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    return both.groupBy("config_id").agg(F.when(F.count(far) == F.count("*"), F.max(far)).alias("moved"))
+
+
+def current_lists(lists: DataFrame, before: DataFrame, atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float) -> tuple[DataFrame, DataFrame]:
+    """(lists good for the atoms as they are, (config_id, moved, stale)). Lists made with a skin from the atoms
+    before hold all pairs while no atom has gone further than half of it; only configurations over that get
+    new ones. One aggregate over atoms decides; a handful of bytes for each configuration is joined."""
+    state = stored(largest_moves(before, atoms, cells).withColumn("stale", F.coalesce(F.col("moved") * 2 > skin, F.lit(True))), "moves")
+    stale = state.filter("stale").select("config_id")
+    kept = lists.join(state.filter("not stale").select("config_id"), "config_id", "left_semi")
+    new = neighbor_lists(atoms.join(stale, "config_id", "left_semi"), cells.join(stale, "config_id", "left_semi"), cutoff, skin)
+    return kept.unionByName(new), state
+
+
 def occupancy(binned: DataFrame) -> DataFrame:
     """(config_id, code, n, start): atoms in each occupied cell by Morton code, and atoms before it."""
     counts = binned.groupBy("config_id", G.morton(F.col("cx"), F.col("cy"), F.col("cz")).alias("code")).agg(F.count("*").alias("n"))

@@ -7,10 +7,15 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import geometry as G
+from . import neighbors
 from .ranks import sum_before
 
 _ATOM = ["config_id", "atom_id"]
@@ -32,6 +37,28 @@ def rdf(pairs: DataFrame, totals: DataFrame, r_max: float, bins: int) -> DataFra
     return every.join(counts, ["config_id", "bin"], "left").select("config_id", "bin", ((k + 0.5) * dr).alias("r"), (F.coalesce("n", F.lit(0)) / ideal).alias("g"))
 
 
+def rdf_over_frames(traj: DataFrame, cells: DataFrame, r_max: float, bins: int) -> DataFrame:
+    """(config_id, bin, r, g, deviation, n_frames): mean and deviation over all frames with two atoms or more.
+
+    All frames are one neighbour join on (config_id, frame, cell); counts are summed before the shuffle, and a
+    frame without a pair in a bin counts as 0 there. Cells may have a frame column of their own."""
+    dr = r_max / bins
+    atoms = traj.select("config_id", "frame", "atom_id", F.lit(0).alias("type"), "x", "y", "z")
+    found = neighbors.cell_list_pairs(atoms, cells, r_max, lowest=0.0, by=("frame",))
+    k = F.least(F.floor(F.sqrt("r2") / dr), F.lit(bins - 1)).cast("int")
+    counts = found.groupBy("config_id", "frame", k.alias("bin")).agg(F.count("*").alias("n"))
+    keys = ["config_id", "frame"] if "frame" in cells.columns else ["config_id"]
+    sizes = traj.groupBy("config_id", "frame").agg(F.count("*").alias("n_atoms")).filter("n_atoms > 1")
+    sizes = sizes.join(G.with_geometry(cells).select(*keys, "volume"), keys)
+    shell = F.lit(4 / 3 * pi * dr**3) * (F.pow(F.col("bin") + 1.0, 3) - F.pow(F.col("bin") + 0.0, 3))
+    g = F.col("n") / (F.col("n_atoms") * (F.col("n_atoms") - 1) / F.col("volume") * shell)
+    sums = counts.join(sizes, ["config_id", "frame"]).withColumn("g", g).groupBy("config_id", "bin").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("g2"))
+    frames = sizes.groupBy("config_id").agg(F.count("*").alias("n_frames"))
+    every = frames.select("config_id", "n_frames", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    mean, square = F.coalesce("g", F.lit(0.0)) / F.col("n_frames"), F.coalesce("g2", F.lit(0.0)) / F.col("n_frames")
+    return every.join(sums, ["config_id", "bin"], "left").select("config_id", "bin", ((F.col("bin") + 0.5) * dr).alias("r"), mean.alias("g"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("deviation"), "n_frames")
+
+
 def first_peak(curve: DataFrame, skip: float = 0.1) -> DataFrame:
     """(config_id, r, g) of the highest bin, without the first tenth of them."""
     n = F.max("bin").over(Window.partitionBy("config_id")) + 1
@@ -83,13 +110,91 @@ def arrhenius(points: DataFrame, k_boltzmann: float = 8.617333e-5) -> DataFrame:
     return points.agg((-F.regr_slope(y, x) * k_boltzmann).alias("activation"), F.exp(F.regr_intercept(y, x)).alias("prefactor"))
 
 
+#: Frames of a block of the transform, at least.
+BLOCK = 1024
+#: Numbers that a worker transforms at once.
+AT_ONCE = 1 << 21
+
+
+def _correlated(offsets: np.ndarray, values: np.ndarray, row: np.ndarray, rows: int, block: int, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of products, numbers of them) for each of `rows` blocks and lag, by zero-padded transforms: values
+    [:, column] stand at offsets of their row; those from `block` on only end products."""
+    n = 1 << int(offsets.max() + lags).bit_length()
+    dense = np.zeros((rows, values.shape[1] + 1, n))
+    np.add.at(dense, (row, slice(None), offsets), np.column_stack([values, np.ones(len(row))]))
+    ends = np.fft.rfft(dense)
+    dense[:, :, block:] = 0
+    products = np.fft.irfft(np.conj(np.fft.rfft(dense)) * ends, n)[:, :, :lags]
+    return products[:, :-1].sum(1), np.rint(products[:, -1]).astype(np.int64)
+
+
 def autocorrelation(series: DataFrame, columns: list[str], lags: int, keys: list[str], unbiased: bool = True) -> DataFrame:
+    """As autocorrelation_by_join(), by Fourier transforms (Wiener and Khinchin): frames of a key are cut into
+    blocks, each with the first lags - 1 frames of the next, so that a row is shuffled twice at most, whatever
+    the number of lags, and no group is longer than a block. A task adds up its blocks' sums by configuration.
+    Rows with a null in one of the columns are left out; frames that occur twice count twice."""
+    block = max(BLOCK, 1 << (lags - 1).bit_length())
+    frame = F.col("frame").cast("long")
+    own = F.floor(frame / block)
+    into = F.when(F.pmod(frame, F.lit(block)) < lags - 1, F.array(own, own - 1)).otherwise(F.array(own))
+    rows = series.dropna(subset=[*keys, "frame", *columns]).withColumn("block_", F.explode(into))
+    each = F.struct((frame - F.col("block_") * block).cast("int").alias("at"), *(F.col(c).cast("double").alias(c) for c in columns))
+    grouped = rows.groupBy(*dict.fromkeys(["config_id", *keys, "block_"])).agg(F.collect_list(each).alias("rows_")).select("config_id", "rows_")
+    config = series.schema["config_id"]
+
+    def sums(batches):
+        total: dict = {}
+        schema = None
+        for batch in batches:
+            names, lists = batch.column(0), batch.column(1)
+            kind = names.type
+            schema = schema or pa.schema([("config_id", kind), ("lag", pa.int32()), ("total", pa.float64()), ("n", pa.int64())])
+            names = names.to_pylist()
+            at = 0
+            while at < len(names):  # as many blocks as fit
+                some = 1
+                width = 2 * block * (len(columns) + 1)
+                while at + some < len(names) and (some + 1) * width <= AT_ONCE * 8:
+                    some += 1
+                part = lists.slice(at, some)
+                flat = part.flatten()
+                row = np.repeat(np.arange(some), np.asarray(pa.compute.list_value_length(part)))
+                values = np.column_stack([np.asarray(flat.field(c + 1)) for c in range(len(columns))])
+                products, n = _correlated(np.asarray(flat.field(0)), values, row, some, block, lags)
+                for k, name in enumerate(names[at : at + some]):
+                    if name in total:
+                        total[name][0] += products[k]
+                        total[name][1] += n[k]
+                    else:
+                        total[name] = [products[k].copy(), n[k].copy()]
+                at += some
+                if len(total) * lags > AT_ONCE:
+                    yield from out(total, schema)
+                    total = {}
+        if total:
+            yield from out(total, schema)
+
+    def out(total, schema):
+        for name, (products, n) in total.items():
+            has = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(has), schema.types[0]), pa.array(has, pa.int32()), pa.array(products[has]), pa.array(n[has])], schema=schema)
+
+    both = grouped.mapInArrow(sums, StructType([config, StructField("lag", IntegerType()), StructField("total", DoubleType()), StructField("n", LongType())]))
+    return _divided(series, both.groupBy("config_id", "lag").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), unbiased)
+
+
+def autocorrelation_by_join(series: DataFrame, columns: list[str], lags: int, keys: list[str], unbiased: bool = True) -> DataFrame:
     """(config_id, lag, c): products of a row's columns with those `lag` frames on, over all origins and
-    all `keys`; divided by the number of products, or by that of frames if not unbiased."""
+    all `keys`; divided by the number of products, or by that of frames if not unbiased. Rows times lags are
+    shuffled; for a few lags."""
     later = series.select(*keys, F.col("frame").alias("later"), *(F.col(c).alias(f"{c}_later") for c in columns))
     spread = series.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags - 1)))).withColumn("later", F.col("frame") + F.col("lag"))
     dot = sum((F.col(c) * F.col(f"{c}_later") for c in columns), F.lit(0.0))
     both = spread.join(later, [*keys, "later"]).groupBy("config_id", "lag").agg(F.sum(dot).alias("total"), F.count("*").alias("n"))
+    return _divided(series, both, unbiased)
+
+
+def _divided(series: DataFrame, both: DataFrame, unbiased: bool) -> DataFrame:
     if unbiased:
         return both.select("config_id", "lag", (F.col("total") / F.col("n")).alias("c"))
     frames = series.groupBy("config_id").agg(F.count("*").alias("frames"))
@@ -155,6 +260,68 @@ def debye_waller(traj: DataFrame) -> DataFrame:
     return traj.select("config_id", (u * u).alias("u2")).groupBy("config_id").agg(F.avg("u2").alias("u2")).withColumn("b", F.col("u2") * (8 * pi**2))
 
 
+def interpolated(points: DataFrame, at: DataFrame, x: str, y: str) -> DataFrame:
+    """(config_id, x, y) for each x of `at` and each configuration of points(config_id, x, y): between the points
+    before and after on a straight line, beyond the ends the end's value. An as-of join: points and questions
+    in one order by x, each question takes the last point before and the first after."""
+    asked = points.select("config_id").distinct().crossJoin(at.select(x).distinct()).select("config_id", x, F.lit(None).cast("double").alias("y_"), F.lit(True).alias("asked_"))
+    mixed = points.select("config_id", x, F.col(y).alias("y_"), F.lit(False).alias("asked_")).unionByName(asked)
+    known = F.when(F.col("y_").isNotNull(), F.struct(F.col(x).alias("x"), F.col("y_").alias("y")))
+    w = Window.partitionBy("config_id").orderBy(x, "asked_")  # a point at the same place comes first
+    mixed = mixed.withColumns({"a": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    a, b = F.col("a"), F.col("b")
+    line = a["y"] + (b["y"] - a["y"]) * (F.col(x) - a["x"]) / (b["x"] - a["x"])
+    return mixed.filter("asked_").select("config_id", x, F.when(b.isNull() | (a["x"] == F.col(x)), a["y"]).when(a.isNull(), b["y"]).otherwise(line).alias(y))
+
+
+def path_profile(images: DataFrame, energies: DataFrame, cells: DataFrame) -> DataFrame:
+    """(config_id, n_images, length, saddle, barrier, backward, image) of paths through images(config_id, image,
+    atom_id, x, y, z) with energies(config_id, image, energy): arc length from minimum images of the atoms'
+    steps, cubics with the slopes of the neighbouring images between, and their highest point."""
+    step = Window.partitionBy(*_ATOM).orderBy("image")
+    placed = images.join(G.with_geometry(cells), "config_id").withColumns({f"s{c}": F.col(c) - F.lag(c).over(step) for c in "xyz"})
+    d = G.minimum_image(*(F.col(f"s{c}") for c in "xyz"), F.col("pbc"))
+    steps = placed.groupBy("config_id", "image").agg(F.sqrt(F.sum(F.coalesce(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], F.lit(0.0)))).alias("step"))
+    w = Window.partitionBy("config_id").orderBy("image")  # images of one path
+    curve = steps.join(energies, ["config_id", "image"]).withColumn("s", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    curve = gradient(curve, "s", "energy").withColumns({"next": F.lead("energy").over(w), "next_slope": F.lead("slope").over(w), "h": F.lead("s").over(w) - F.col("s")})
+    # E(u) = a + b u + c u^2 + d u^3 on u in [0, 1]
+    rise, b, b1 = F.col("next") - F.col("energy"), F.col("slope") * F.col("h"), F.col("next_slope") * F.col("h")
+    parts = curve.withColumns({"b": b, "c": 3 * rise - 2 * b - b1, "d": b + b1 - 2 * rise})
+    root = F.sqrt(F.greatest(F.lit(0.0), F.col("c") * F.col("c") - 3 * F.col("d") * F.col("b")))
+    tops = [F.when(F.col("d") != 0, (-F.col("c") + sign * root) / (3 * F.col("d"))) for sign in (1, -1)] + [F.when((F.col("d") == 0) & (F.col("c") != 0), -F.col("b") / (2 * F.col("c")))]
+    at = F.array(F.lit(0.0), *(F.when((t > 0) & (t < 1), t) for t in tops))
+    highest = F.array_max(F.transform(F.filter(at, lambda u: u.isNotNull()), lambda u: F.struct((F.col("energy") + F.when(u == 0, 0.0).otherwise(u * (F.col("b") + u * (F.col("c") + u * F.col("d"))))).alias("e"), (F.col("s") + F.when(u == 0, 0.0).otherwise(u * F.col("h"))).alias("s"))))
+    best = parts.withColumn("top", F.when(F.col("h") > 0, highest).otherwise(F.struct(F.col("energy").alias("e"), F.col("s").alias("s"))))
+    out = best.groupBy("config_id").agg(F.count("*").alias("n_images"), F.max("s").alias("length"), F.max("top").alias("top"), F.min_by("energy", "image").alias("first"), F.max_by("energy", "image").alias("last"), F.max(F.struct("energy", (-F.col("image")).alias("k"))).alias("high"))
+    return out.select("config_id", "n_images", "length", F.col("top.s").alias("saddle"), (F.col("top.e") - F.col("first")).alias("barrier"), (F.col("top.e") - F.col("last")).alias("backward"), (-F.col("high.k")).cast("int").alias("image"))
+
+
+def phases(atoms: DataFrame, cells: DataFrame, cutoff: float, partners: int = 12) -> DataFrame:
+    """(config_id, atom_id, z, n, solid): atoms with as many neighbours within the cutoff as the crystal has."""
+    near = neighbors.cell_list_pairs(atoms, cells, cutoff).groupBy("config_id", F.col("i").alias("atom_id")).agg(F.count("*").alias("n"))
+    joined = atoms.select("config_id", "atom_id", "z").join(near, ["config_id", "atom_id"], "left").fillna(0, ["n"])
+    return joined.withColumn("solid", F.col("n") == partners)
+
+
+def two_phase(states: DataFrame, layer: float) -> DataFrame:
+    """(config_id, n_layers, share, solid_layers, longest): layers along z of phases(), a layer being solid if
+    half of its atoms are; the share of solid atoms, the solid layers and the longest run of them."""
+    layers = states.groupBy("config_id", F.floor(F.col("z") / layer).alias("layer")).agg(F.count("*").alias("n"), F.count_if("solid").alias("n_solid"))
+    layers = layers.withColumn("is_solid", F.col("n_solid") * 2 >= F.col("n"))
+    w = Window.partitionBy("config_id", "is_solid").orderBy("layer")  # layers, not atoms
+    runs = layers.withColumn("run", F.col("layer") - F.row_number().over(w)).groupBy("config_id", "is_solid", "run").agg(F.count("*").alias("length"), F.sum("n").alias("n"), F.sum("n_solid").alias("n_solid"))
+    longest = F.max(F.when(F.col("is_solid"), F.col("length")).otherwise(0))
+    return runs.groupBy("config_id").agg(F.sum("length").alias("n_layers"), (F.sum("n_solid") / F.sum("n")).alias("share"), F.sum(F.when(F.col("is_solid"), F.col("length")).otherwise(0)).alias("solid_layers"), longest.alias("longest"))
+
+
+def second_half(series: DataFrame, order: str, value: str) -> DataFrame:
+    """(config_id, n, mean, deviation) of a series' second half, by `order`; of an odd number the larger half."""
+    n = series.groupBy("config_id").agg(F.floor(F.count("*") / 2).alias("skipped"))
+    numbered = sum_before(series, "config_id", order, F.lit(1), "before").join(n, "config_id").filter(F.col("before") >= F.col("skipped"))
+    return numbered.groupBy("config_id").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+
+
 def last_frames(traj: DataFrame, n: int) -> DataFrame:
     """The last n frames of each configuration; ranks are taken over frames, not over atoms."""
     frames = traj.select("config_id", "frame").distinct()

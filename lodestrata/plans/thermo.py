@@ -180,7 +180,7 @@ def compared(values: DataFrame, reference: DataFrame) -> DataFrame:
 def dynamical_matrices(force_constants: DataFrame, wave_vectors: DataFrame, mass: float) -> DataFrame:
     """(q_id, a, b, re, im): sum over atoms of Phi_ab exp(i q R) / m, from force constants (a, b, phi, rx, ry,
     rz), minus the force's change by the displacement, and wave vectors (q_id, qx, qy, qz)."""
-    both = force_constants.crossJoin(F.broadcast(wave_vectors))  # a path of wave vectors
+    both = force_constants.crossJoin(wave_vectors)  # every atom has a phase at every wave vector
     phase = sum((F.col(f"q{c}") * F.col(f"r{c}") for c in "xyz"), F.lit(0.0))
     return both.groupBy("q_id", "a", "b").agg((F.sum(F.col("phi") * F.cos(phase)) / mass).alias("re"), (F.sum(F.col("phi") * F.sin(phase)) / mass).alias("im"))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from math import ceil, sqrt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as G
 
@@ -29,9 +31,16 @@ PRIMES = (7919, 104729, 1299709)
 NINE = [f"{i}{j}" for i in range(3) for j in range(3)]
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of given rows as a local relation, whose size Spark knows: it is broadcast where it is small."""
+    kinds = spark.createDataFrame([], schema).schema
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(to_arrow_schema(kinds).types)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=kinds.names), kinds)
+
+
 def basis(spark: SparkSession, name: str) -> DataFrame:
     rows = [(k, *map(float, b[:3]), int(b[3])) for k, b in enumerate(BASES[name])]
-    return spark.createDataFrame(rows, "basis int, bx double, by double, bz double, type int")
+    return literal(spark, rows, "basis int, bx double, by double, bz double, type int")
 
 
 def lattice(spark: SparkSession, kind: str, a: float, reps: tuple[int, int, int], config_id: str = "lattice") -> DataFrame:
@@ -41,7 +50,7 @@ def lattice(spark: SparkSession, kind: str, a: float, reps: tuple[int, int, int]
     u = F.col("id")
     at = {"ux": u % nx, "uy": F.floor(u / nx) % ny, "uz": F.floor(u / (nx * ny))}
     units = spark.range(nx * ny * nz).withColumns(at)
-    every = units.crossJoin(F.broadcast(basis(spark, kind)))  # the basis has at most four atoms
+    every = units.crossJoin(basis(spark, kind))  # the basis has at most four atoms
     return every.select(F.lit(config_id).alias("config_id"), (u * n + F.col("basis")).alias("atom_id"), "type", *((F.lit(a) * (F.col(f"u{c}") + F.col(f"b{c}"))).alias(c) for c in "xyz"))
 
 
@@ -53,22 +62,23 @@ def orthorhombic(spark: SparkSession, rows: list[tuple[str, float, float, float]
 def matrices(spark: SparkSession, rows: list[tuple[str, tuple | None]]) -> DataFrame:
     """Cells from nine numbers by rows; None is a cluster."""
     values = [(c, m is not None, *(map(float, m) if m is not None else [None] * 9)) for c, m in rows]
-    return spark.createDataFrame(values, "config_id string, pbc boolean, " + ", ".join(f"h{k} double" for k in NINE))
+    return literal(spark, values, "config_id string, pbc boolean, " + ", ".join(f"h{k} double" for k in NINE))
 
 
 def deform(atoms: DataFrame, cells: DataFrame, strains: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every configuration under every deformation (name, m00..m22): cells H M, atoms moved with them.
-    Configurations are named config/name; strains is a short literal table."""
+    Configurations are named config/name. The product is what is asked for; Spark broadcasts the strains where
+    it knows them to be small."""
     m = [[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)]
     name = F.concat_ws("/", "config_id", "name").alias("config_id")
     moved = [sum((F.col(c) * m[k][j] for k, c in enumerate("xyz")), F.lit(0.0)) for j in range(3)]
-    new_atoms = atoms.crossJoin(F.broadcast(strains)).select(name, "atom_id", "type", *(v.alias(c) for v, c in zip(moved, "xyz")))
-    new_cells = cells.crossJoin(F.broadcast(strains)).select(name, "pbc", *(v.alias(k) for k, v in G.strained().items()))
+    new_atoms = atoms.crossJoin(strains).select(name, "atom_id", "type", *(v.alias(c) for v, c in zip(moved, "xyz")))
+    new_cells = cells.crossJoin(strains).select(name, "pbc", *(v.alias(k) for k, v in G.strained().items()))
     return new_atoms, new_cells
 
 
 def deformations(spark: SparkSession, rows: list[tuple[str, tuple]]) -> DataFrame:
-    return spark.createDataFrame([(n, *map(float, m)) for n, m in rows], "name string, " + ", ".join(f"m{k} double" for k in NINE))
+    return literal(spark, [(n, *map(float, m)) for n, m in rows], "name string, " + ", ".join(f"m{k} double" for k in NINE))
 
 
 def rattled(atoms: DataFrame, size: float) -> DataFrame:
@@ -84,10 +94,10 @@ def fcc_slab(spark: SparkSession, face: str, a: float, reps: tuple[int, int, int
         box = (a / sqrt(2), a * sqrt(1.5), a * sqrt(3))
         rows = [(x, y, layer / 3, 0) for layer in range(3) for x, y in ((0, (layer / 3) % 1), (0.5, (0.5 + layer / 3) % 1))]
     nx, ny, nz = reps
-    table = spark.createDataFrame([(k, *map(float, r[:3])) for k, r in enumerate(rows)], "basis int, bx double, by double, bz double")
+    table = literal(spark, [(k, *map(float, r[:3])) for k, r in enumerate(rows)], "basis int, bx double, by double, bz double")
     u = F.col("id")
     units = spark.range(nx * ny * nz).withColumns({"ux": u % nx, "uy": F.floor(u / nx) % ny, "uz": F.floor(u / (nx * ny))})
-    atoms = units.crossJoin(F.broadcast(table)).select(F.lit(config_id).alias("config_id"), (u * len(rows) + F.col("basis")).alias("atom_id"), F.lit(0).alias("type"), *((F.lit(b) * (F.col(f"u{c}") + F.col(f"b{c}"))).alias(c) for b, c in zip(box, "xyz")))
+    atoms = units.crossJoin(table).select(F.lit(config_id).alias("config_id"), (u * len(rows) + F.col("basis")).alias("atom_id"), F.lit(0).alias("type"), *((F.lit(b) * (F.col(f"u{c}") + F.col(f"b{c}"))).alias(c) for b, c in zip(box, "xyz")))
     return atoms, orthorhombic(spark, [(config_id, box[0] * nx, box[1] * ny, box[2] * nz + vacuum)])
 
 
