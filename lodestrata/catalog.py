@@ -1021,6 +1021,65 @@ def ideal_strength(spark, sf):
     return r6(out, "strain", "pull", "slope")
 
 
+#: Shears of nation's keys, and crystals of as many lattice constants.
+_NATION_SHEARS = "(select 's' || n_nationkey as name, 0.012::double * n_nationkey as d from nation)"
+_SHEAR_ATOMS = f"select 'fcc/' || name as config_id, atom_id, type, x, y + z * d / 2 as y, y * d / 2 + z as z from ({Q.fcc(chr(39) + 'x' + chr(39), f'{A0}::double', REP)}) a, {_NATION_SHEARS} s"
+_SHEAR_CELLS = f"select 'fcc/' || name as config_id, true as pbc, {BOX!r}::double as h00, 0.0::double as h01, 0.0::double as h02, 0.0::double as h10, {BOX!r}::double as h11, {BOX!r}::double * d / 2 as h12, 0.0::double as h20, {BOX!r}::double * d / 2 as h21, {BOX!r}::double as h22 from {_NATION_SHEARS}"
+
+
+@query(Q.eam(_SHEAR_ATOMS, _SHEAR_CELLS) + f", s as (select config_id, substr(config_id, 6)::int * 0.012::double as strain, s_yz {_G} as pull from totals) select config_id, round(strain, 6) as strain, round(pull, 4) + 0.0 as pull, strain = (select arg_max(strain, (round(pull, 6), -strain)) from s) as peak from s")
+def shear_strength(spark, sf):
+    """Stress of a crystal under shears by nation's keys, and the largest of them."""
+    from pyspark.sql import Window
+
+    key = F.col("n_nationkey")
+    half, one, zero = 0.012 * key / 2, F.lit(1.0), F.lit(0.0)
+    m = {"m00": one, "m01": zero, "m02": zero, "m10": zero, "m11": one, "m12": half, "m20": zero, "m21": half, "m22": one}
+    shears = table(spark, sf, "nation").select(F.concat(F.lit("s"), key).alias("name"), *(v.alias(n) for n, v in m.items()))
+    s = _stresses(*generate.deform(*_bulk(spark), shears)).withColumn("all", F.lit(1))
+    s = s.select("all", "config_id", (0.012 * F.substring("config_id", 6, 9).cast("int")).alias("strain"), (F.col("s_yz") * eam.GPA).alias("pull"))
+    best = F.max(F.struct(F.round("pull", 6), -F.col("strain"))).over(Window.partitionBy("all"))  # a row for each shear
+    out = s.withColumn("peak", F.struct(F.round("pull", 6), -F.col("strain")) == best).select("config_id", "strain", F.round("pull", 4).alias("pull"), "peak")
+    return r6(out, "strain", "pull")
+
+
+_NATION_SCALES = "(select n_nationkey as k, 0.97::double + 0.003::double * n_nationkey as f from nation)"
+_GAP111 = 14.0
+_FACES = (("bulk", 0.0), ("slab", _GAP111))
+_FACE_ATOMS = f"select face || k as config_id, u * 6 + b as atom_id, 0 as type, f * {_B111[0]!r}::double * (u % {_RX} + bx) as x, f * {_B111[1]!r}::double * ((u // {_RX}) % {_RY} + by_) as y, f * {_B111[2]!r}::double * (u // {_RX * _RY} + bz) as z from range({_RX * _RY * _RZ}) q(u), (values {_BASIS111}) t(b, bx, by_, bz), {_NATION_SCALES}, (values ('bulk'), ('slab')) w(face)"
+_FACE_CELLS = f"select face || k as config_id, true as pbc, f * {_L111[0]!r}::double as h00, 0.0::double as h01, 0.0::double as h02, 0.0::double as h10, f * {_L111[1]!r}::double as h11, 0.0::double as h12, 0.0::double as h20, 0.0::double as h21, f * ({_L111[2]!r}::double + gap) as h22 from {_NATION_SCALES}, (values ('bulk', 0.0::double), ('slab', {_GAP111!r}::double)) w(face, gap)"
+
+
+@query(Q.eam(_FACE_ATOMS, _FACE_CELLS) + f", e as (select substr(config_id, 5)::int as k, max(case when config_id like 'slab%' then energy end) as slab, max(case when config_id like 'bulk%' then energy end) as bulk from totals group by 1) select k::int as nation, round((slab - bulk) / (2 * f * f * {_AREA!r}::double) * 16.021766::double, 6) + 0.0 as surface from e join {_NATION_SCALES} s using (k)")
+def surface_energy_111(spark, sf):
+    """(111) faces of crystals of nation's lattice constants: slabs and their bulk in one job."""
+    key, one = F.col("n_nationkey"), F.lit(1.0)
+    f = 0.97 + 0.003 * key
+    m = {f"m{i}{j}": (f if i == j else F.lit(0.0)) for i in range(3) for j in range(3)}
+    scales = table(spark, sf, "nation").select(key.cast("string").alias("name"), *(v.alias(n) for n, v in m.items()))
+    slab, cell = generate.fcc_slab(spark, "111", A0, (_RX, _RY, _RZ), _GAP111, "slab")
+    bulk, box = generate.fcc_slab(spark, "111", A0, (_RX, _RY, _RZ), 0.0, "bulk")
+    e = _energies(*generate.deform(slab.unionByName(bulk), cell.unionByName(box), scales))
+    e = e.select(F.split_part("config_id", F.lit("/"), F.lit(1)).alias("face"), F.split_part("config_id", F.lit("/"), F.lit(2)).cast("int").alias("nation"), "energy", "n_atoms")
+    pick = lambda c, v: F.max(F.when(F.col("face") == c, F.col(v)))
+    n, per = pick("slab", "n_atoms"), pick("bulk", "energy") / pick("bulk", "n_atoms")
+    scale = F.lit(0.97) + 0.003 * F.col("nation")
+    return r6(e.groupBy("nation").agg(thermo.surface_energy(pick("slab", "energy"), n, per, scale * scale * _AREA).alias("surface")), "surface")
+
+
+_TILTED = "select o_orderkey as k, 8.0::double + o_custkey % 5 as a, 9.0::double + o_orderkey % 4 as b, 10.0::double + o_orderkey % 3 as c, (o_custkey % 7) / 2.0::double as t, (o_orderkey % 9) / 3.0::double as u, (o_custkey % 4) / 4.0::double as w from orders"
+
+
+@query(f"select k as o_orderkey, {', '.join(f'round(degrees({v}), 6) as {n}' for n, v in (('alpha', 'acos((u * t + w * b) / (sqrt(t * t + b * b) * sqrt(u * u + w * w + c * c)))'), ('beta', 'acos(u / sqrt(u * u + w * w + c * c))'), ('gamma', 'acos(t / sqrt(t * t + b * b))')))}, t = 0 and u = 0 and w = 0 as orthorhombic from ({_TILTED})")
+def cell_angles(spark, sf):
+    """Angles of tilted cells, and whether a cell is orthorhombic."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    h = {"h00": 8.0 + c % 5, "h01": F.lit(0.0), "h02": F.lit(0.0), "h10": (c % 7) / 2.0, "h11": 9.0 + k % 4, "h12": F.lit(0.0), "h20": (k % 9) / 3.0, "h21": (c % 4) / 4.0, "h22": 10.0 + k % 3}
+    cells = table(spark, sf, "orders").select("o_orderkey", *(v.alias(n) for n, v in h.items()))
+    angles = dict(zip(("alpha", "beta", "gamma"), G.angles()))
+    return r6(cells.select("o_orderkey", *(v.alias(n) for n, v in angles.items()), G.is_orthorhombic().alias("orthorhombic")), *angles)
+
+
 @query(EAM + f" select atom_id, {', '.join(f'round(fx_.f{c} * 0.01::double * im, 6) + 0.0 as v{c}, round({c} + fx_.f{c} * 0.0001::double * im, 6) + 0.0 as {c}' for c in 'xyz')} from (select *, case type when 1 then 89.45::double else 151.83::double end as im from per_atom) fx_")
 def leapfrog_step(spark, sf):
     full, _ = per_atom(spark, sf)

@@ -44,14 +44,14 @@ class Engine:
 
     def pairs(self, atoms: DataFrame, cells: DataFrame) -> DataFrame:
         """Evaluated pairs; with persist they are kept between the two passes instead of made twice."""
-        self._check(atoms, cells)
-        found = self._evaluated(atoms, cells, self._strategy(atoms))
+        found = self._evaluated(atoms, cells, self._strategy(atoms), kinds=self._check(atoms, cells))
         return found.persist() if self.persist else found
 
-    def _check(self, atoms: DataFrame, cells: DataFrame) -> None:
+    def _check(self, atoms: DataFrame, cells: DataFrame) -> frozenset:
+        """The kinds of cells, periodic or not; with validation all rules are checked in the same job."""
         if self.validate:
-            validation.check_cells(cells, self.cutoff)
-            validation.check_atoms(atoms, cells, self.n_elements)
+            return validation.check(atoms, cells, self.cutoff, self.n_elements)
+        return neighbors.kinds_of(cells)
 
     def _evaluated(self, atoms: DataFrame, cells: DataFrame, strategy: str, carry: tuple[str, ...] = (), kinds: frozenset | None = None) -> DataFrame:
         width = {"width": self.cell_size} if strategy == "cell_list" else {}
@@ -64,8 +64,7 @@ class Engine:
         if self.persist:
             found = self.pairs(atoms, cells)
             return eam.forces_and_virials(eam.densities(atoms, found, self.potential), found)
-        self._check(atoms, cells)
-        strategy, kinds = self._strategy(atoms), neighbors.kinds_of(cells)
+        strategy, kinds = self._strategy(atoms), self._check(atoms, cells)
         dense = stored(eam.densities(atoms, self._evaluated(atoms, cells, strategy, kinds=kinds), self.potential), "dense")
         return eam.forces_and_virials(dense, self._evaluated(dense, cells, strategy, ("dembedding",), kinds))
 

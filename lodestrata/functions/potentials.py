@@ -132,12 +132,14 @@ def linear_coefficients(grid: DataFrame) -> DataFrame:
 class TabulatedPotential:
     """A potential from interval coefficients (pot_id, kind, key, k, x, a..d) of one pot_id. For pairs
     one row for each (ti, tj, k) has all three functions, so a pair needs one lookup for both passes.
-    Beyond the table values and slopes are those at its end."""
+    Beyond the table values and slopes are those at its end; with `extrapolate` the embedding energy goes on
+    from there on a straight line, as the form for Hermite tables has it."""
 
     #: Rows of coefficients up to which the lookup is broadcast; larger ones are joined by shuffle.
     BROADCAST_ROWS = 2_000_000
 
-    def __init__(self, meta: dict, splines: DataFrame):
+    def __init__(self, meta: dict, splines: DataFrame, extrapolate: bool = False):
+        self.extrapolate = extrapolate
         self.meta, self.cutoff, n = meta, meta["cutoff"], meta["n_elem"]
         self.splines = splines
         f = splines.filter("kind = 'rho'").select("key", "k", F.col("x").alias("x0"), *"abcd")
@@ -167,6 +169,8 @@ class TabulatedPotential:
         found = self._looked_up(atoms.withColumn("k", interval(F.col("rho"), F.lit(m["drho"]), F.lit(m["nrho"]))), self._embed, ["type", "k"])
         t = F.greatest(F.lit(0.0), F.least("rho", F.lit(m["drho"] * (m["nrho"] - 1)))) - F.col("x0")
         value, slope = polynomial(t, {c: F.col(c) for c in "abcd"})
+        if self.extrapolate:
+            value = value + slope * F.greatest(F.lit(0.0), F.col("rho") - m["drho"] * (m["nrho"] - 1))
         return found.select(*(F.col(c) for c in atoms.columns), value.alias("embedding"), slope.alias("dembedding"))
 
 

@@ -73,7 +73,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load(files: DataFrame, interpolation: str = "spline", pair_order: str = "upper") -> TabulatedPotential:
-    """The potential of one file. interpolation: 'spline' (natural), 'hermite' or 'linear'."""
+    """The potential of one file. interpolation: 'spline' (natural), 'hermite' (beyond the last density the
+    embedding energy goes on straight) or 'linear'."""
     head, body = tokens(files)
     meta = [r.asDict() for r in head.collect()]
     if len(meta) != 1:
@@ -87,7 +88,7 @@ def load(files: DataFrame, interpolation: str = "spline", pair_order: str = "upp
     if have != want or bad:
         raise ParseError(f"{want} numbers are needed after line 5; {have - bad} are there")
     fit = {"spline": natural_spline, "hermite": hermite_spline, "linear": linear_coefficients}[interpolation]
-    return TabulatedPotential(m, fit(grid))
+    return TabulatedPotential(m, fit(grid), extrapolate=interpolation == "hermite")
 
 
 def write_text(grid_rows: DataFrame, elements: list[str], nrho: int, drho: float, nr: int, dr: float, cutoff: float) -> str:
