@@ -48,9 +48,9 @@ def inverse() -> dict[str, Column]:
 
 
 def heights() -> list[Column]:
-    """Distances of the cell's opposite faces."""
+    """Distances of the cell's opposite faces; null for a face without an area."""
     a, b, c = vectors()
-    return [volume() / norm(n) for n in (_cross(b, c), _cross(c, a), _cross(a, b))]
+    return [F.try_divide(volume(), norm(n)) for n in (_cross(b, c), _cross(c, a), _cross(a, b))]
 
 
 def angles() -> list[Column]:
