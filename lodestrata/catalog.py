@@ -1201,6 +1201,39 @@ def qha_quantum(spark, sf):
     return r6(found, "volume", "free_energy", "entropy").withColumn("alpha", F.round(F.col("alpha") * 1e6, 4))
 
 
+#: A potential whose pair energy and embedding balance near the lattice constant, crystals of nation's scales, and part's
+#: frequencies at volumes of their own.
+_SOFT = (0.0218, 0.0218, 0.0218)
+_GROWN = "(select n_nationkey as k, 0.97::double + 0.006::double * n_nationkey as f from nation)"
+_GROWN_ATOMS = f"select 'fcc/' || k as config_id, atom_id, type, f * x as x, f * y as y, f * z as z from ({Q.fcc(chr(39) + 'x' + chr(39), f'{A0}::double', REP)}) a, {_GROWN} g"
+_GROWN_CELLS = f"select 'fcc/' || k as config_id, true as pbc, " + ", ".join(f"f * {BOX!r}::double as h{k}" if k[0] == k[1] else f"0.0::double as h{k}" for k in Q.NINE) + f" from {_GROWN} g"
+_NODES = ", ".join(f"({float((a + 1) / 2)!r}::double, {float(b / 2)!r}::double)" for a, b in zip(*__import__("numpy").polynomial.legendre.leggauss(16)))
+_KB = "8.617333e-5::double"
+
+
+@query(Q.eam(_GROWN_ATOMS, _GROWN_CELLS, pair_scales=_SOFT) + f""", vs as (select volume / 108 as v, energy / 108 as e from totals), spectra as (select 11.81::double * p_retailprice / 1000 as v, 7.2::double * pow(p_retailprice / 1000, -1.9::double) * (1 + 0.001 * p_size) * 4.135667696e-3::double / {_KB} as theta from part),
+fit as (select regr_slope(ln(theta), ln(v)) as slope, regr_intercept(ln(theta), ln(v)) as cut from spectra), ts as (select 50.0::double + 10 * n_nationkey as t from nation), nodes as (select * from (values {_NODES}) q(u, w)),
+xs as (select t, v, e, slope, cut, exp(cut + slope * ln(v)) / t as x from vs, fit, ts), ds as (select t, v, e, slope, cut, x, 3 / pow(x, 2) * sum(w * pow(u * x, 3) / (exp(u * x) - 1)) as d3 from xs, nodes group by t, v, e, slope, cut, x),
+fs as (select *, e + {_KB} * t * (9.0::double / 8 * x + 3 * ln(1 - exp(-x)) - d3) as f from ds), near as (select *, lag(v) over o as v0, lag(f) over o as f0, lead(v) over o as v2, lead(f) over o as f2, row_number() over (partition by t order by f, v) as nth from fs window o as (partition by t order by v)),
+ps as (select *, (f - f0) / (v - v0) as d1, ((f2 - f) / (v2 - v) - (f - f0) / (v - v0)) / (v2 - v0) as bend from near where nth = 1), bs as (select t, slope, cut, coalesce((v0 + v) / 2 - d1 / (2 * bend), v) as bv, coalesce(f0 + d1 * ((v0 + v) / 2 - d1 / (2 * bend) - v0) + bend * ((v0 + v) / 2 - d1 / (2 * bend) - v0) * ((v0 + v) / 2 - d1 / (2 * bend) - v), f) as bf from ps)
+select 'fcc' as config_id, t as temperature, round(bv, 5) as volume, round(bf, 6) as free_energy, round(-slope, 4) as gamma, round(exp(cut + slope * ln(bv)), 4) as theta, round((lead(bv) over o - lag(bv) over o) / (3 * bv * (lead(t) over o - lag(t) over o)) * 1e6, 1) as alpha from bs window o as (order by t)""")
+def qha_consistent(spark, sf):
+    """Static energies of crystals of nation's sizes, frequencies of part, and the quasi-harmonic model on both."""
+    key, zero = F.col("n_nationkey"), F.lit(0.0)
+    grown = table(spark, sf, "nation").select(key.cast("string").alias("name"), *((0.97 + 0.006 * key if i == j else zero).alias(f"m{i}{j}") for i in range(3) for j in range(3)))
+    atoms, cells = generate.deform(*_bulk(spark), grown)
+    potential = P.AnalyticPotential(RC, pair_scale=_SOFT)
+    per = eam.densities_and_energies(atoms, potential.at_pairs(neighbors.cell_list_pairs(atoms, cells, RC)), potential)
+    e = per.groupBy("config_id").agg((F.sum("energy") / 108).alias("energy")).join(G.with_geometry(cells).select("config_id", (F.col("volume") / 108).alias("volume")), "config_id")
+    v = F.col("p_retailprice") / 1000
+    theta = 7.2 * F.pow(v, -1.9) * (1 + 0.001 * F.col("p_size")) * 4.135667696e-3 / thermo.K_B
+    spectra = table(spark, sf, "part").select(F.lit("fcc").alias("config_id"), (11.81 * v).alias("volume"), theta.alias("theta"))
+    t = table(spark, sf, "nation").select((50.0 + 10 * key).alias("temperature"))
+    found = thermo.quasi_harmonic_consistent(stored(e.withColumn("config_id", F.lit("fcc")), "volumes"), spectra, t, thermo.gauss_legendre(spark))
+    found = found.withColumns({"alpha": F.round(F.col("alpha") * 1e6, 1), "volume": F.round("volume", 5), "gamma": F.round("gamma", 4), "theta": F.round("theta", 4)})
+    return r6(found, "free_energy").select("config_id", "temperature", "volume", "free_energy", "gamma", "theta", "alpha")
+
+
 @query("select round(-regr_slope(ln(7.2::double * pow(p_retailprice / 1000, -1.9::double) * (1 + 0.001 * p_size)), ln(p_retailprice / 1000)), 6) as gamma from part")
 def gruneisen(spark, sf):
     v = F.col("p_retailprice") / 1000

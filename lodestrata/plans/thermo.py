@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..sources.generate import literal
+
 GPA, K_B, HBAR = 160.21766, 8.617333e-5, 6.582119e-16
 MJ_PER_M2 = 16021.766
 
@@ -121,7 +123,7 @@ def debye_classical(temperatures: DataFrame, theta: float) -> DataFrame:
 def gauss_legendre(spark: SparkSession, n: int = 16) -> DataFrame:
     """Nodes and weights on [0, 1]."""
     x, w = np.polynomial.legendre.leggauss(n)
-    return spark.createDataFrame([(float((a + 1) / 2), float(b / 2)) for a, b in zip(x, w)], "u double, w double")
+    return literal(spark, [(float((a + 1) / 2), float(b / 2)) for a, b in zip(x, w)], "u double, w double")
 
 
 def debye_quantum(temperatures: DataFrame, theta: float, nodes: DataFrame) -> DataFrame:
@@ -170,6 +172,33 @@ def quasi_harmonic_quantum(static: DataFrame, temperatures: DataFrame, nodes: Da
     return best.withColumn("alpha", rise / (3 * F.col("volume") * step))
 
 
+def quasi_harmonic_consistent(volumes: DataFrame, spectra: DataFrame, temperatures: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(config_id, temperature, volume, free_energy, gamma, theta, alpha) from static energies (config_id, volume,
+    energy) and spectra (config_id, volume, theta), at volumes of their own: gamma and theta(V) are the spectra's
+    regression, not given. The least free energy lies between volumes, on the parabola through the lowest point and
+    its neighbours (the point itself at the ends); alpha is a third of the central difference of ln volume."""
+    v = F.col("volume")
+    fit = spectra.groupBy("config_id").agg(F.regr_slope(F.log("theta"), F.log("volume")).alias("slope"), F.regr_intercept(F.log("theta"), F.log("volume")).alias("cut"))
+    smooth = volumes.join(fit, "config_id").withColumn("theta", F.exp(F.col("cut") + F.col("slope") * F.log(v)))
+    both = smooth.crossJoin(temperatures).withColumn("x", F.col("theta") / F.col("temperature"))  # each volume at each temperature
+    term = F.col("w") * F.pow(F.col("u") * F.col("x"), 3) / F.expm1(F.col("u") * F.col("x"))
+    keys = ["config_id", "temperature", "volume", "energy", "slope", "cut", "x"]
+    d3 = both.crossJoin(nodes).groupBy(*keys).agg((F.lit(3.0) / F.pow("x", F.lit(2)) * F.sum(term)).alias("d3"))
+    free = F.col("energy") + F.lit(K_B) * F.col("temperature") * (F.lit(9 / 8) * F.col("x") + 3 * F.log1p(-F.exp(-F.col("x"))) - F.col("d3"))
+    w = Window.partitionBy("config_id", "temperature").orderBy("volume")  # the volumes of one curve
+    curve = d3.withColumn("f", free).withColumns({"v0": F.lag("volume").over(w), "f0": F.lag(F.col("f")).over(w), "v2": F.lead("volume").over(w), "f2": F.lead(F.col("f")).over(w)})
+    low = curve.groupBy("config_id", "temperature").agg(F.min(F.struct("f", "volume", "v0", "f0", "v2", "f2", "slope", "cut")).alias("p")).select("config_id", "temperature", "p.*")
+    d1, d2 = (F.col("f") - F.col("f0")) / (v - F.col("v0")), (F.col("f2") - F.col("f")) / (F.col("v2") - v)
+    bend = (d2 - d1) / (F.col("v2") - F.col("v0"))
+    at = (F.col("v0") + v) / 2 - d1 / (2 * bend)
+    least = F.col("f0") + d1 * (at - F.col("v0")) + bend * (at - F.col("v0")) * (at - v)
+    found = low.select("config_id", "temperature", F.coalesce(at, v).alias("volume"), F.coalesce(least, F.col("f")).alias("free_energy"), (-F.col("slope")).alias("gamma"), "slope", "cut")
+    near = Window.partitionBy("config_id").orderBy("temperature")  # the temperatures of one material
+    rise, step = F.lead("volume").over(near) - F.lag("volume").over(near), F.lead("temperature").over(near) - F.lag("temperature").over(near)
+    theta = F.exp(F.col("cut") + F.col("slope") * F.log(v))
+    return found.withColumns({"theta": theta, "alpha": rise / (3 * v * step)}).drop("slope", "cut")
+
+
 def compared(values: DataFrame, reference: DataFrame) -> DataFrame:
     """(name, value, expected, deviation, verdict): 'pass' within the reference's tolerance, else 'warn'."""
     both = values.join(reference, "name")
