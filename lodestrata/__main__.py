@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .errors import InvalidInput
 from .operators import validation
+from .plans.quickcheck import quick_check
 from .sources import setfl, xyz
 
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lodestrata")
-    calc = parser.add_subparsers(dest="command", required=True).add_parser("calc", help="energy and forces of XYZ frames")
+    commands = parser.add_subparsers(dest="command", required=True)
+    quick = commands.add_parser("check", help="five quick checks of a potential")
+    quick.add_argument("--pot", required=True, dest="pot_path")
+    quick.add_argument("--lattice", type=float, required=True, help="lattice constant of the FCC crystal")
+    quick.add_argument("--cohesive", type=float, help="energy of an atom to compare with")
+    quick.add_argument("--elem", help="element symbol; the potential's first if left out")
+    quick.add_argument("--interpolation", choices=("spline", "hermite", "linear"), default="spline")
+    calc = commands.add_parser("calc", help="energy and forces of XYZ frames")
     calc.add_argument("--pot", required=True, dest="pot_path")
     calc.add_argument("--in", required=True, dest="in_path", help="a file, a pattern of files, or - for standard input")
     calc.add_argument("--out", dest="out_path", help="a new folder; standard output if left out")
@@ -32,6 +40,16 @@ def main(arguments: list[str] | None = None) -> None:
     a = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("lodestrata").getOrCreate()
     potential = setfl.load(setfl.read_files(spark, a.pot_path), a.interpolation)
+    if a.command == "check":
+        known = potential.meta["elements"]
+        if a.elem and a.elem not in known:
+            raise InvalidInput(f"the potential ({', '.join(known)}) doesn't have {a.elem}")
+        rows = quick_check(spark, potential, a.lattice, a.cohesive, known.index(a.elem) if a.elem else 0).orderBy("step").collect()
+        for r in rows:
+            print(f"{r.step} {r.name}: {'skipped' if r.ok is None else 'ok' if r.ok else 'FAILED'} ({r.value!r})")
+        if any(r.ok is False for r in rows):
+            raise SystemExit(1)
+        return
     if a.in_path == "-":
         files = spark.createDataFrame([("stdin", sys.stdin.read())], "config_id string, value string")
     else:
