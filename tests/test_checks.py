@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 from test_verification import RC, _cases, _relations
 
+from lodestrata import __main__ as cli
 from lodestrata.engine import Engine
 from lodestrata.errors import InvalidInput
 from lodestrata.functions.potentials import AnalyticPotential
 from lodestrata.operators import eam, neighbors, validation
+from lodestrata.plans.quickcheck import quick_check
 from lodestrata.sources import generate, setfl, xyz
 
 ATOMS = "config_id string, atom_id long, type int, x double, y double, z double"
@@ -166,3 +168,19 @@ def test_flat_and_open_arrays(spark):
     nested, flat = (Engine(AnalyticPotential(), "all_pairs").compute(*xyz.from_arrays(spark, p, [0, 1])) for p in (places, [v for p in places for v in p]))
     assert nested.totals.first()["energy"] == flat.totals.first()["energy"]
     assert eam.differences(nested.per_atom, flat.per_atom, ["config_id", "atom_id"], "fx").first()["max_abs"] == 0
+
+
+def test_quick_check(spark, tmp_path, capsys):
+    """Five steps from the shell, and those that fail."""
+    text = setfl.write_text(generate.synthetic_grids(spark, 2, 601, 0.01, 100, 0.05, 4.5), ["Cu", "Ag"], 601, 0.01, 100, 0.05, 4.5)
+    (tmp_path / "p.eam").write_text(text)
+    cli.main(["check", "--pot", str(tmp_path / "p.eam"), "--lattice", "3.615"])
+    said = capsys.readouterr().out.splitlines()
+    assert len(said) == 5 and "skipped" in said[3] and all("ok" in said[k] for k in (0, 1, 2, 4))
+    energy = float(said[3].split("(")[1].rstrip(")"))
+    ok = {r.name: r.ok for r in quick_check(spark, setfl.load(setfl.read_text(spark, text)), 3.615, energy * 1.04).collect()}
+    assert all(ok.values())
+    with pytest.raises(SystemExit):
+        cli.main(["check", "--pot", str(tmp_path / "p.eam"), "--lattice", "3.615", "--cohesive", str(energy * 1.2), "--elem", "Ag"])
+    with pytest.raises(InvalidInput):
+        cli.main(["check", "--pot", str(tmp_path / "p.eam"), "--lattice", "3.615", "--elem", "Xx"])
