@@ -30,7 +30,7 @@ def bm3_sums(points: DataFrame) -> DataFrame:
 def birch_murnaghan(points: DataFrame) -> DataFrame:
     """(config_id, e0, v0, b0 in GPa, b0_prime) of each configuration's (volume, energy). The third-order form
     is a cubic in V^(-2/3), so the fit is linear: moments in Spark, then a 4 x 4 system in each of their
-    rows. A configuration without a minimum has no row."""
+    rows. A configuration without a minimum at a positive volume has no row."""
 
     def fits(batches):
         for batch in batches:
@@ -47,7 +47,7 @@ def _minima(rows: list[dict]) -> list[dict]:
         a = np.array([[r[f"u{i + j}"] for j in range(4)] for i in range(4)])
         c = np.polynomial.Polynomial(np.linalg.solve(a, [r[f"e{k}"] for k in range(4)]))
         d1, d2, d3 = c.deriv(1), c.deriv(2), c.deriv(3)
-        low = [u.real for u in d1.roots() if abs(u.imag) < 1e-9 and d2(u.real) > 0]
+        low = [u.real for u in d1.roots() if abs(u.imag) < 1e-9 and d2(u.real) > 0 and r["x0"] + r["s"] * u.real > 0]
         if not low:
             continue
         u = min(low, key=abs)
@@ -57,11 +57,11 @@ def _minima(rows: list[dict]) -> list[dict]:
     return out
 
 
-def elastic_constants(slopes: DataFrame) -> DataFrame:
-    """C11, C12, C44, bulk, shear modulus and anisotropy (GPa) of a cubic crystal from stresses under
-    strains (mode, delta, s_xx, s_yy, s_yz): mode 'axial' strains x, mode 'shear' yz by delta / 2 each."""
+def elastic_constants(slopes: DataFrame, *keys: str) -> DataFrame:
+    """C11, C12, C44, bulk, shear modulus and anisotropy (GPa) of a cubic crystal, one row for each value of keys, from
+    stresses under strains (mode, delta, s_xx, s_yy, s_yz): mode 'axial' strains x, mode 'shear' yz by delta / 2 each."""
     axial, shear = F.col("mode") == "axial", F.col("mode") == "shear"
-    c = slopes.agg(
+    c = slopes.groupBy(*keys).agg(
         (F.regr_slope(F.when(axial, F.col("s_xx")), F.col("delta")) * GPA).alias("c11"),
         (F.regr_slope(F.when(axial, F.col("s_yy")), F.col("delta")) * GPA).alias("c12"),
         (F.regr_slope(F.when(shear, F.col("s_yz")), F.col("delta")) * GPA).alias("c44"),

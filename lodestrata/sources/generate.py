@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import ceil, sqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -54,6 +54,24 @@ def lattice(spark: SparkSession, kind: str, a: float, reps: tuple[int, int, int]
     return every.select(F.lit(config_id).alias("config_id"), (u * n + F.col("basis")).alias("atom_id"), "type", *((F.lit(a) * (F.col(f"u{c}") + F.col(f"b{c}"))).alias(c) for c in "xyz"))
 
 
+def lattices(crystals: DataFrame, kind: str, reps: tuple[int, int, int]) -> DataFrame:
+    """A cubic crystal for each row of crystals (config_id, a): the product with the sites of one, which are `reps`
+    unit cells whatever the number of crystals."""
+    sites = lattice(crystals.sparkSession, kind, 1.0, reps).drop("config_id")
+    return crystals.crossJoin(sites).select("config_id", "atom_id", "type", *((F.col("a") * F.col(c)).alias(c) for c in "xyz"))
+
+
+def boxes(crystals: DataFrame, lx: Column, ly: Column, lz: Column) -> DataFrame:
+    """A periodic rectangular cell for each row of crystals (config_id), sides by its columns."""
+    sides = {"h00": lx, "h11": ly, "h22": lz}
+    return crystals.select("config_id", F.lit(True).alias("pbc"), *(sides.get(f"h{k}", F.lit(0.0)).cast("double").alias(f"h{k}") for k in NINE))
+
+
+def strains(rows: DataFrame, name: Column, **given: Column) -> DataFrame:
+    """Deformations (name, m00..m22), one for each row: the unit matrix but for the entries given by columns."""
+    return rows.select(name.cast("string").alias("name"), *(given.get(f"m{i}{j}", F.lit(float(i == j))).cast("double").alias(f"m{i}{j}") for i in range(3) for j in range(3)))
+
+
 def orthorhombic(spark: SparkSession, rows: list[tuple[str, float, float, float]]) -> DataFrame:
     """Periodic cells (config_id, lx, ly, lz)."""
     return matrices(spark, [(c, (lx, 0, 0, 0, ly, 0, 0, 0, lz)) for c, lx, ly, lz in rows])

@@ -91,6 +91,17 @@ def load(files: DataFrame, interpolation: str = "spline", pair_order: str = "upp
     return TabulatedPotential(m, fit(grid), extrapolate=interpolation == "hermite")
 
 
+def format_files(grid: DataFrame, elements: list[str], nrho: int, drho: float, nr: int, dr: float, cutoff: float) -> DataFrame:
+    """(pot_id, value): a file's text for each potential of grid (pot_id, kind, key, k, value) with kinds embed, rho and
+    rphi, all on the given grids. A potential is a row here, as its file is; potentials are spread over tasks."""
+    start = "\n".join(["made by lodestrata", "", "", " ".join([str(len(elements)), *elements]), f"{nrho} {drho!r} {nr} {dr!r} {cutoff!r}"])
+    number_text = F.col("value").cast("string")
+    line = F.when((F.col("kind") == "embed") & (F.col("k") == 0), F.concat(F.lit("29 63.546 3.615 fcc\n"), number_text)).otherwise(number_text)
+    block = F.when(F.col("kind") == "rphi", 2 * len(elements) + F.col("key")).otherwise(2 * F.col("key") + (F.col("kind") == "rho").cast("int"))
+    lines = F.sort_array(F.collect_list(F.struct(block.alias("block"), "k", line.alias("line"))))
+    return grid.groupBy("pot_id").agg(F.concat_ws("\n", F.lit(start), F.transform(lines, lambda e: e["line"])).alias("value"))
+
+
 def write_text(grid_rows: DataFrame, elements: list[str], nrho: int, drho: float, nr: int, dr: float, cutoff: float) -> str:
     """A file's text of a small potential's grids; for tests and export."""
     rows = sorted(map(tuple, grid_rows.select("kind", "key", "k", "value").collect()))
