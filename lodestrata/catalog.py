@@ -16,7 +16,7 @@ from .operators.exact import exact_sum
 from .operators.ranks import rank_by
 from .operators.stored import shared_folder, stored
 from .plans import thermo
-from .sources import generate, layout, setfl, xyz
+from .sources import generate, layout, setfl, tables, xyz
 from .streaming import dynamics
 
 A0, RC = Q.A0, Q.RC
@@ -298,6 +298,11 @@ def xyz_format(spark, sf):
     return xyz.frame_lines(atoms, F.when(F.col("type") == 0, "Cu").otherwise("Ag"))
 
 
+@query(f"select config_id, atom_id as line_no, printf('%.6f %.6f %.6f', x, y, z) as line from ({PART[0]})")
+def array_text(spark, sf):
+    return tables.array_lines(part_atoms(spark, sf)[0].drop("type"), "atom_id", *"xyz")
+
+
 _DIMER_EAM = Q.eam(DIMER_ATOMS, DIMER_CELLS)
 
 
@@ -445,6 +450,16 @@ def sample_count(spark, sf):
     return n.select("o_orderkey", "n", P.sample_count(F.col("n"), F.col("n") * 0.05, 0.0005, 2000, 150000, 15).cast("int").alias("samples"))
 
 
+_DENSE = 251
+
+
+@query(_spline_sql(_PHIS) + f", r as (select i, 99 * {_DX} / {_DENSE - 1} * i as x, least((i * 99) // {_DENSE - 1}, 98) as k from range({_DENSE}) q(i)) select pot_id, kind, key, i, round(x, 6) as x, round(a + t * (b + t * (c + t * d)), 6) + 0.0 as value, round(b + t * (2 * c + 3 * t * d), 5) + 0.0 as slope from (select c.*, r.i, r.x, r.x - r.k * {_DX} as t from c join r using (k) where kind = 'rho')")
+def table_resample(spark, sf):
+    """Each supplier's density tables on a denser grid."""
+    dense = P.resampled(P.natural_spline(_phis(spark, sf).filter("kind = 'rho'")), 100, 0.05, _DENSE)
+    return r6(r6(dense, "x", "value"), "slope", places=5)
+
+
 # ---- neighbours
 
 _PAIRS = Q.pairs(*PART)
@@ -1289,6 +1304,12 @@ def heat_capacity(spark, sf):
     return r6(thermo.heat_capacity(trajectory.trimmed(_series(spark, sf), "step")), "c_v", places=2)
 
 
+@query(" union all ".join(f"select '{a}' as analysis, {k} as config_id, '{c}' as name, {c}::double as value from ({ORACLE_SQL[a]}) t" for a, k, names in (("thermal_expansion", "'all'", ("slope", "a0", "alpha")), ("heat_capacity", "config_id", ("c_v",))) for c in names))
+def summary_table(spark, sf):
+    """Numbers of two analyses as one table."""
+    return tables.summary({n: QUERIES[n](spark, sf) for n in ("thermal_expansion", "heat_capacity")})
+
+
 _TS = "(select 50.0::double + 10 * n_nationkey as t from nation)"
 
 

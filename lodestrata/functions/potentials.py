@@ -129,6 +129,18 @@ def linear_coefficients(grid: DataFrame) -> DataFrame:
     return grid.select("pot_id", "kind", "key", "k", "x", F.col("value").alias("a"), ((F.lead("value").over(w) - F.col("value")) / step).alias("b"), F.lit(0.0).alias("c"), F.lit(0.0).alias("d")).filter("b is not null")
 
 
+def resampled(splines: DataFrame, n: int, dx: float, samples: int) -> DataFrame:
+    """(pot_id, kind, key, i, x, value, slope): tables of n points at distance dx on a uniform grid of `samples` points over
+    the same range, read from their interval coefficients. An interval makes its own points, so nothing is joined."""
+    m, k = samples - 1, F.col("k").cast("long")
+    first = F.ceil(k * m / (n - 1) - 1e-12)
+    last = F.when(k == n - 2, m).otherwise(F.ceil((k + 1) * m / (n - 1) - 1e-12) - 1)
+    points = splines.filter(first <= last).select("pot_id", "kind", "key", F.col("x").alias("x0"), *"abcd", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("i"))
+    x = F.col("i") * ((n - 1) * dx / m)
+    value, slope = polynomial(x - F.col("x0"), {c: F.col(c) for c in "abcd"})
+    return points.select("pot_id", "kind", "key", "i", x.alias("x"), value.alias("value"), slope.alias("slope"))
+
+
 class TabulatedPotential:
     """A potential from interval coefficients (pot_id, kind, key, k, x, a..d) of one pot_id. For pairs
     one row for each (ti, tj, k) has all three functions, so a pair needs one lookup for both passes.

@@ -181,3 +181,28 @@ def test_quick_check(spark, tmp_path, capsys):
         cli.main(["check", "--pot", str(tmp_path / "p.eam"), "--lattice", "3.615", "--cohesive", str(energy * 1.2), "--elem", "Ag"])
     with pytest.raises(InvalidInput):
         cli.main(["check", "--pot", str(tmp_path / "p.eam"), "--lattice", "3.615", "--elem", "Xx"])
+
+
+def test_text_arrays_and_summaries(spark):
+    from lodestrata.sources import tables
+
+    rows = spark.createDataFrame([("a", 1, 0.5, None), ("a", 2, -1.23456789, 3.0)], "config_id string, n long, x double, y double")
+    assert sorted(map(tuple, tables.array_lines(rows, "n", "x", "y").collect())) == [("a", 1, "0.500000 nan"), ("a", 2, "-1.234568 3.000000")]
+    assert tables.array_lines(rows.limit(0), "n", "x").collect() == []
+    named = rows.withColumn("label", F.lit("z"))
+    found = tables.summary({"one": named, "two": rows.agg(F.sum("x").alias("total"))})
+    assert {(r.analysis, r.config_id, r.name) for r in found.collect()} == {("one", "a", "n"), ("one", "a", "x"), ("one", "a", "y"), ("two", "all", "total")}
+    assert found.count() == 7
+
+
+@pytest.mark.parametrize("samples", [2, 5, 12, 100, 23])
+def test_a_resampled_table_has_each_point_once(spark, samples):
+    from lodestrata.functions import potentials
+
+    n, dx = 12, 0.25
+    table = spark.createDataFrame([("p", "rho", 0, k, k * dx, 3.0 * k * dx - 1) for k in range(n)], "pot_id string, kind string, key int, k int, x double, value double")
+    for fit in (potentials.natural_spline, potentials.linear_coefficients, potentials.hermite_spline):
+        got = sorted((r.i, r.x, r.value, r.slope) for r in potentials.resampled(fit(table), n, dx, samples).collect())
+        assert [g[0] for g in got] == list(range(samples))
+        assert abs(got[-1][1] - (n - 1) * dx) < 1e-12
+        assert all(abs(v - (3 * x - 1)) < 1e-9 and abs(s - 3) < 1e-9 for _, x, v, s in got)
