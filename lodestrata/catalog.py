@@ -179,14 +179,16 @@ def morton_encode(spark, sf):
     return coded.select("o_orderkey", F.col("code").cast("long").alias("code"), *(v.cast("long").alias(c) for v, c in zip(G.unmorton(F.col("code")), "xyz")))
 
 
+#: Most cells of an axis for the third kind of grid.
+_MOST = 5
 _DIMS = "greatest(1, floor(height{k} / 4.95::double))::int"
 
 
-@query(f"with cells as ({order_cells_sql(24.0)}) select config_id, {', '.join(f'{_DIMS.format(k=k)} as n{k}, pow(2, floor(log2({_DIMS.format(k=k)})))::int as down{k}, pow(2, ceil(log2({_DIMS.format(k=k)})))::int as up{k}' for k in range(3))} from ({Q.geometry()})")
+@query(f"with cells as ({order_cells_sql(24.0)}) select config_id, {', '.join(f'{_DIMS.format(k=k)} as n{k}, pow(2, floor(log2({_DIMS.format(k=k)})))::int as down{k}, pow(2, ceil(log2({_DIMS.format(k=k)})))::int as up{k}, case when height{k} / pow(2, ceil(log2(least({_DIMS.format(k=k)}, {_MOST})))) >= {RC}::double then pow(2, ceil(log2(least({_DIMS.format(k=k)}, {_MOST})))) else pow(2, floor(log2(least({_DIMS.format(k=k)}, {_MOST})))) end::int as within{k}' for k in range(3))} from ({Q.geometry()})")
 def grid_dims(spark, sf):
     g = G.with_geometry(order_cells(spark, sf, 24.0))
     n = {f"n{k}": G.grid_size(F.col(f"height{k}"), RC) for k in range(3)}
-    return g.select("config_id", *(v.alias(c) for c, v in n.items()), *(G.power_of_two(n[f"n{k}"], up).alias(f"{'up' if up else 'down'}{k}") for k in range(3) for up in (False, True)))
+    return g.select("config_id", *(v.alias(c) for c, v in n.items()), *(G.power_of_two(n[f"n{k}"], up).alias(f"{'up' if up else 'down'}{k}") for k in range(3) for up in (False, True)), *(G.power_of_two_within(F.least(n[f"n{k}"], F.lit(_MOST)), F.col(f"height{k}"), RC).alias(f"within{k}") for k in range(3)))
 
 
 _BINNED = f"""with atoms as ({PART[0]}), cells as ({PART[1]}), geo as ({Q.geometry()}), placed as (

@@ -104,6 +104,12 @@ def power_of_two(n: Column, up: bool = False) -> Column:
     return F.pow(F.lit(2.0), F.ceil(exponent - 1e-12) if up else F.floor(exponent + 1e-12)).cast("int")
 
 
+def power_of_two_within(n: Column, height: Column, width: float) -> Column:
+    """The next power of two where grid cells of this height stay at least `width` wide, else the one below."""
+    up = power_of_two(n, True)
+    return F.when(height / up >= width, up).otherwise(power_of_two(n))
+
+
 #: Masks that leave two zero bits after each bit of a number of 21 bits.
 _SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 _LOW = 0x1FFFFF

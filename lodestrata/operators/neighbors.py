@@ -130,10 +130,11 @@ def mirrored(half: DataFrame) -> DataFrame:
     return half.unionByName(back)
 
 
-def neighbor_lists(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float | None = None) -> DataFrame:
+def neighbor_lists(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float | None = None, find=cell_list_pairs) -> DataFrame:
     """(config_id, i, start, n, list): sorted neighbours within cutoff + skin (1 % unless given), without
-    a lower bound; start counts those of the atoms before. An atom's list is bounded by its density."""
-    found = cell_list_pairs(atoms, cells, cutoff, 0.01 * cutoff if skin is None else skin, lowest=None)
+    a lower bound; start counts those of the atoms before. An atom's list is bounded by its density.
+    `find` gives the pairs; all_pairs does for small configurations."""
+    found = find(atoms, cells, cutoff, 0.01 * cutoff if skin is None else skin, lowest=None)
     lists = found.groupBy("config_id", "i").agg(F.sort_array(F.collect_list("j")).alias("list"))
     every = atoms.select("config_id", F.col("atom_id").alias("i")).join(lists, ["config_id", "i"], "left")
     every = every.select("config_id", "i", F.coalesce("list", F.array().cast("array<bigint>")).alias("list")).withColumn("n", F.size("list"))

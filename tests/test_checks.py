@@ -206,3 +206,18 @@ def test_a_resampled_table_has_each_point_once(spark, samples):
         assert [g[0] for g in got] == list(range(samples))
         assert abs(got[-1][1] - (n - 1) * dx) < 1e-12
         assert all(abs(v - (3 * x - 1)) < 1e-9 and abs(s - 3) < 1e-9 for _, x, v, s in got)
+
+
+def test_lists_of_all_pairs_equal_those_of_cells(spark):
+    atoms = generate.rattled(generate.lattice(spark, "fcc", 3.615, (3, 3, 3), "c"), 0.1)
+    cells = generate.orthorhombic(spark, [("c", *[3 * 3.615] * 3)])
+    near, plain = ({r.i: (r.start, r.list) for r in neighbors.neighbor_lists(atoms, cells, 4.5, 0.2, find).collect()} for find in (neighbors.cell_list_pairs, neighbors.all_pairs))
+    assert len(near) == 108 and near == plain
+
+
+def test_powers_of_two_keep_the_width(spark):
+    from lodestrata.functions import geometry
+
+    rows = [(1, 10.0), (3, 16.0), (3, 19.9), (5, 40.0), (5, 39.0), (8, 40.0), (8, 30.0)]
+    found = spark.createDataFrame(rows, "n int, height double").select("n", "height", geometry.power_of_two_within(F.col("n"), F.col("height"), 5.0).alias("p"))
+    assert {(r.n, r.height): r.p for r in found.collect()} == {(1, 10.0): 1, (3, 16.0): 2, (3, 19.9): 2, (5, 40.0): 8, (5, 39.0): 4, (8, 40.0): 8, (8, 30.0): 8}
