@@ -17,10 +17,10 @@ P(word) = P(class | state) P(word | class, state).
 Training. A bounded sample of documents (WARM tokens) gives a start; then each task goes over all
 training documents of its blocks by truncated backpropagation in numpy: many documents abreast,
 gradients cut after STEPS tokens, the state carried through each whole document and cleared at its
-start. Where only few documents are left abreast, steps are as much smaller. The tasks' weights are
-averaged by tokens: partial sums in Spark, then one row for each shuffle partition. So the model, and
-with it the score, depends a little on how the table is cut into tasks. Scoring carries the state in
-the same way.
+start. Where only few documents are left abreast, windows are longer (the gradients' cuts stay), and
+steps on few tokens as much smaller. The tasks' weights are averaged by tokens: partial sums in Spark,
+then one row for each shuffle partition. So the model, and with it the score, depends a little on how
+the table is cut into tasks. Scoring carries the state in the same way.
 
 Defined results: a null text counts as empty, its only token is the end. A null id has the fold of
 crc32(''). Repeated rows get equal results. Without training documents all counts are 0 and the
@@ -30,7 +30,9 @@ network is untrained. Other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import buckets_of, crc_of_id, fields, lower_ascii, pack, pack_words, store, table, unpack, unpack_words
+from .common import buckets_of, crc_of_id, fields, pack, pack_words, store, table, unpack, unpack_words
 
 FOLDS, HELD_OUT = 5, 1
 TOP, IN_CLASS, TAILS, HIDDEN = 512, 32, 32, 16
@@ -96,15 +98,17 @@ def _blocks(docs: DataFrame, buckets: int, id_type) -> DataFrame:
             rows.append((WORDS, int(bucket[a]), block, None, pack(*pack_words(raw[a:b]), train[a:b])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
+    def numbered():
+        return defaultdict(itertools.count().__next__)  # a new word gets the next number
+
     def over(batches):
         task, nth = TaskContext.get().partitionId(), 0
-        ids, marks, held, counts, numbers, words, size = [], [], [], [], [], {}, 0
+        ids, marks, held, counts, numbers, words, size = [], [], [], [], [], numbered(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for i, mark, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    tokens = [*lower_ascii(t).split(), END]
-                    new = [w for w in dict.fromkeys(tokens) if w not in words]
-                    words.update(zip(new, range(len(words), len(words) + len(new))))
+                own_ids, own_marks, texts = batch.slice(at, 256).columns
+                for i, mark, t in zip(own_ids.to_pylist(), own_marks.to_pylist(), texts.cast(pa.binary()).to_pylist()):
+                    tokens = [*(t or b"").lower().split(), END]  # A-Z alone, and the six spaces
                     numbers.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
                     ids.append(i)
                     marks.append(mark)
@@ -113,7 +117,7 @@ def _blocks(docs: DataFrame, buckets: int, id_type) -> DataFrame:
                     size += len(tokens)
                     if size >= most:
                         yield flush(task << 32 | nth, ids, marks, held, counts, numbers, words)
-                        nth, ids, marks, held, counts, numbers, words, size = nth + 1, [], [], [], [], [], {}, 0
+                        nth, ids, marks, held, counts, numbers, words, size = nth + 1, [], [], [], [], [], numbered(), 0
         if ids:
             yield flush(task << 32 | nth, ids, marks, held, counts, numbers, words)
 
@@ -246,10 +250,11 @@ def flat(weights: dict) -> np.ndarray:
 
 
 def shaped(a: np.ndarray) -> dict[str, np.ndarray]:
+    """Views into a, if that is of single precision."""
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = a[at : at + n].reshape(s).astype(np.float32)
+        out[k] = a[at : at + n].reshape(s).astype(np.float32, copy=False)
         at += n
     return out
 
@@ -279,40 +284,65 @@ class Streams:
         before[self.starts] = START
         self.before = before
 
-    def windows(self):
-        """(place of each step and lane, whether it is one) for each window; lanes that ended are left out."""
-        for t in range(0, int(self.lengths[0]) if len(self.lengths) else 0, STEPS):
+    def windows(self, tokens: int = LANES * STEPS):
+        """(place of each step and lane, whether it is one) for each window; lanes that ended are left out. Where
+        lanes are few, a window is some times STEPS long, up to about so many tokens, with a quarter of its lanes
+        ending in it at most."""
+        t, longest = 0, int(self.lengths[0]) if len(self.lengths) else 0
+        while t < longest:
             n = int(np.searchsorted(-self.lengths, -t))
-            steps = t + np.arange(min(STEPS, int(self.lengths[0]) - t))[:, None]
+            most = min(tokens // n, int(self.lengths[3 * n // 4]) - t)
+            size = min(STEPS, longest - t) if most <= STEPS else -(-most // STEPS) * STEPS
+            steps = t + np.arange(size)[:, None]
             live = steps < self.lengths[:n]
             yield self.offsets[:n] + np.minimum(steps, self.lengths[:n] - 1), live
+            t += size
 
 
-def _sigmoid(x):
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def forward(w: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step of x (steps, lanes), from h; a document's start clears the state."""
-    n = HIDDEN
-    out, of_x, going = np.empty((*x.shape, n), np.float32), w["E"][x], x != START
-    cleared = (~going.all(1)).tolist()
-    for t, a in enumerate(of_x):
+    """States after each step of x (steps, lanes), from h (lanes, units); a document's start clears the state.
+
+    Here and below a unit's values of all steps and lanes lie side by side, so that each operation runs over
+    long rows; arrays that go in and come out are views with the units last."""
+    n, h = HIDDEN, h.T
+    out, of_x, going = np.empty((n, *x.shape), w["U"].dtype), np.take(w["E"].T, x, axis=1), x != START
+    cleared, of_h, kept = (~going.all(1)).tolist(), np.ascontiguousarray(w["U"].T), None
+    if keep is not None:  # states before, the state's part of the candidate, gates, candidates
+        kept = [np.empty((k * n, *x.shape), out.dtype) for k in (1, 1, 2, 1)]
+        keep.extend(kept)
+    for t in range(len(x)):
         if cleared[t]:
-            h = h * going[t][:, None]
-        u = h @ w["U"]
-        rz = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
-        g = np.tanh(a[:, 2 * n :] + rz[:, :n] * u[:, 2 * n :])
-        if keep is not None:
-            keep.append((h, u[:, 2 * n :], rz, g))
-        h = g + rz[:, n:] * (h - g)
-        out[t] = h
-    return out
-
-
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+            h = h * going[t]
+        a, u = of_x[:, t], of_h @ h
+        rz = _sigmoid(a[: 2 * n] + u[: 2 * n])
+        g = rz[:n] * u[2 * n :]
+        g += a[2 * n :]
+        np.tanh(g, out=g)
+        if kept:
+            for to, k in zip(kept, (h, u[2 * n :], rz, g)):
+                to[:, t] = k
+        after = out[:, t]
+        np.subtract(h, g, out=after)
+        after *= rz[n:]
+        after += g
+        h = after
+    return out.transpose(1, 2, 0)
+
+
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sum) of each column, its largest taken off the logits in place first."""
+    logits -= logits.max(0)
+    e = np.exp(logits)
+    return e, e.sum(0)
 
 
 def classes_of(codes: np.ndarray) -> np.ndarray:
@@ -322,67 +352,83 @@ def classes_of(codes: np.ndarray) -> np.ndarray:
 def output(w: dict, h: np.ndarray, codes: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural-log probability of each code's class and, for top words, of the word in it; and, if
     grad is given, the loss's gradient by h, adding those by the weights to grad."""
-    n, k = HIDDEN, classes_of(codes)
-    rows = np.arange(len(codes))
-    log = _log_softmax(h @ w["C"][:n] + w["C"][n])
-    p = log[rows, k]
-    dh = None
-    if grad is not None:
-        d = np.exp(log)
-        d[rows, k] -= 1
-        grad["C"][:n] += h.T @ d
-        grad["C"][n] += d.sum(0)
-        dh = d @ w["C"][:n].T
-    order = np.argsort(k, kind="stable")
+    n, k, h = HIDDEN, classes_of(codes), h.T
+
+    def part(weights: np.ndarray, of_weights: np.ndarray | None, h: np.ndarray, picked: np.ndarray):
+        rows, logits = np.arange(len(picked)), weights[:n].T @ h
+        logits += weights[n][:, None]
+        e, total = _softmax(logits)
+        p = logits[picked, rows] - np.log(total)
+        if of_weights is None:
+            return p, None
+        e /= total
+        e[picked, rows] -= 1
+        of_weights[:n] += h @ e.T
+        of_weights[n] += e.sum(1)
+        return p, weights[:n] @ e
+
+    p, dh = part(w["C"], grad and grad["C"], h, k)
+    order = np.argsort(k.astype(np.uint8 if CLASSES < 256 else np.int64), kind="stable")
     ends = np.searchsorted(k[order], np.arange(TOP // IN_CLASS + 1))
+    order = order[: ends[-1]]
+    own, at = h[:, order], codes[order] % IN_CLASS
+    more, dh_own = np.empty(len(order), p.dtype), np.empty_like(own)
     for c, (a, b) in enumerate(zip(ends, ends[1:])):
         if b > a:
-            own = order[a:b]
-            hc, at, mine = h[own], codes[own] % IN_CLASS, np.arange(b - a)
-            log = _log_softmax(hc @ w["W"][c, :n] + w["W"][c, n])
-            p[own] += log[mine, at]
-            if grad is not None:
-                d = np.exp(log)
-                d[mine, at] -= 1
-                grad["W"][c, :n] += hc.T @ d
-                grad["W"][c, n] += d.sum(0)
-                dh[own] += d @ w["W"][c, :n].T
-    return p, dh
+            more[a:b], d = part(w["W"][c], grad and grad["W"][c], own[:, a:b], at[a:b])
+            if grad:
+                dh_own[:, a:b] = d
+    p[order] += more
+    if not grad:
+        return p, None
+    dh[:, order] += dh_own
+    return p, dh.T
+
+
+def _abreast(a: np.ndarray) -> np.ndarray:
+    """(..., steps, lanes) with each STEPS steps of a longer window as lanes of their own."""
+    *rest, steps, lanes = a.shape
+    if steps <= STEPS:
+        return a
+    return a.reshape(*rest, steps // STEPS, STEPS, lanes).swapaxes(-3, -2).reshape(*rest, STEPS, -1)
 
 
 def backward(w: dict, x: np.ndarray, kept: list, dh_out: np.ndarray, grad: dict) -> None:
-    """Backpropagation through the window's steps."""
-    n = HIDDEN
-    da_all, du_all, going = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32), x != START
-    cleared, back = (~going.all(1)).tolist(), w["U"].T
-    dh = np.zeros_like(dh_out[0])
+    """Backpropagation through the window's steps, cut after each STEPS."""
+    n, x = HIDDEN, _abreast(x)
+    h, ug, rz, g, dh_out = map(_abreast, (*kept, dh_out.transpose(2, 0, 1)))
+    r, z, going = rz[:n], rz[n:], x != START
+    # what the gradient by a state or a candidate's sum is multiplied by
+    to_candidate, to_r, to_z = (1 - z) * (1 - g * g), ug * (r * (1 - r)), (h - g) * (z * (1 - z))
+    d = np.empty((4 * n, *x.shape), np.float32)  # by the sums of both gates, by the state's part of the candidate, by its sum
+    cleared, u = (~going.all(1)).tolist(), np.ascontiguousarray(w["U"])
+    dh = np.zeros_like(dh_out[:, 0])
     for t in range(len(x) - 1, -1, -1):
-        h, ug, rz, g = kept[t]
-        r, z = rz[:, :n], rz[:, n:]
-        dh = dh + dh_out[t]
-        dg = dh * (1 - z) * (1 - g * g)
-        da, du = da_all[t], du_all[t]
-        da[:, :n] = dg * ug * r * (1 - r)
-        da[:, n : 2 * n] = dh * (h - g) * z * (1 - z)
-        da[:, 2 * n :] = dg
-        du[:, : 2 * n] = da[:, : 2 * n]
-        du[:, 2 * n :] = dg * r
-        dh = dh * z + du @ back
+        dh = dh + dh_out[:, t]
+        dt = d[:, t]
+        dg = np.multiply(dh, to_candidate[:, t], out=dt[3 * n :])
+        np.multiply(dg, to_r[:, t], out=dt[:n])
+        np.multiply(dh, to_z[:, t], out=dt[n : 2 * n])
+        np.multiply(dg, r[:, t], out=dt[2 * n : 3 * n])
+        dh *= z[:, t]
+        dh += u @ dt[: 3 * n]
         if cleared[t]:
-            dh *= going[t][:, None]
-    grad["U"] += np.concatenate([k[0] for k in kept]).T @ du_all.reshape(-1, 3 * n)
-    ids, rows = x.ravel(), da_all.reshape(-1, 3 * n)
-    order = np.argsort(ids, kind="stable")
+            dh *= going[t]
+    d = d.reshape(4 * n, -1)
+    grad["U"] += h.reshape(n, -1) @ d[: 3 * n].T
+    ids = x.ravel()
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    grad["E"][ids[order[first]]] += np.add.reduceat(rows[order], first)
+    d[2 * n : 3 * n] = d[3 * n :]
+    grad["E"][ids[order[first]]] += np.add.reduceat(np.take(d[: 3 * n], order, axis=1), first, axis=1).T
 
 
 class Trainer:
     """Adam over windows of documents, each whole."""
 
     def __init__(self, weights: dict, rate: float):
-        self.w, self.rate, self.steps = {k: v.copy() for k, v in weights.items()}, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+        self.all, self.rate, self.steps = flat(weights), rate, 0
+        self.m, self.v, self.w = np.zeros_like(self.all), np.zeros_like(self.all), shaped(self.all)
 
     def over(self, docs: list[np.ndarray]) -> None:
         streams = Streams(docs, mixed=len(docs))
@@ -391,23 +437,34 @@ class Trainer:
             x, keep = streams.before[at], []
             states = forward(self.w, x, h[: at.shape[1]], keep)
             h = states[-1]
-            grad = {k: np.zeros_like(v) for k, v in self.w.items()}
-            on = live.ravel()
-            _, d = output(self.w, states.reshape(-1, HIDDEN)[on], streams.codes[at].ravel()[on], grad)
-            dh = np.zeros((len(on), HIDDEN), np.float32)
-            dh[on] = d
-            backward(self.w, x, keep, dh.reshape(states.shape), grad)
-            self._step(grad, max(1, int(on.sum())))
-
-    def _step(self, grad: dict, n: int) -> None:
+            total = np.zeros_like(self.all)
+            grad = shaped(total)
+            on = np.flatnonzero(live)
+            _, d = output(self.w, _chosen(states, on), streams.codes[at.ravel()[on]], grad)
+            dh = d.T
+            if len(on) < live.size:
+                dh = np.zeros((HIDDEN, live.size), np.float32)
+                dh[:, on] = d.T
+            backward(self.w, x, keep, dh.reshape(HIDDEN, *x.shape).transpose(1, 2, 0), grad)
+            self._step(total, max(1, len(on)))
+
+    def _step(self, grad: np.ndarray, n: int) -> None:
         """n: tokens of the window; below an eighth of a full one the step is shorter in proportion."""
         self.steps += 1
         a, b, rate = 1 - 0.9**self.steps, 1 - 0.99**self.steps, self.rate * min(1.0, 8 * n / (LANES * STEPS))
-        for k, g in grad.items():
-            g /= n
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.w[k] -= rate * (self.m[k] / a) / (np.sqrt(self.v[k] / b) + 1e-6)
+        grad *= np.float32(1 / n)
+        self.m += 0.1 * (grad - self.m)
+        grad *= grad
+        self.v += 0.01 * (grad - self.v)
+        size = np.sqrt(self.v * np.float32(1 / b))
+        size += 1e-6
+        self.all -= rate / a * self.m / size
+
+
+def _chosen(states: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """The rows of states (steps, lanes, units) at the places `on` of steps and lanes."""
+    flat_states = states.transpose(2, 0, 1).reshape(HIDDEN, -1)
+    return (flat_states if len(on) == flat_states.shape[1] else flat_states[:, on]).T
 
 
 def log_probabilities(w: dict, docs: list[np.ndarray]) -> np.ndarray:
@@ -420,8 +477,9 @@ def log_probabilities(w: dict, docs: list[np.ndarray]) -> np.ndarray:
     for at, live in streams.windows():
         states = forward(w, streams.before[at], h[: at.shape[1]])
         h = states[-1]
-        on = live.ravel()
-        p[at.ravel()[on]] = output(w, states.reshape(-1, HIDDEN)[on], streams.codes[at].ravel()[on])[0]
+        on = np.flatnonzero(live)
+        places = at.ravel()[on]
+        p[places] = output(w, _chosen(states, on), streams.codes[places])[0]
     out = np.empty(len(docs))
     out[streams.order] = np.add.reduceat(p, streams.starts) / np.log(10)
     return out

@@ -673,6 +673,50 @@ def test_language_model_trains_on_whole_documents():
     assert after > before
 
 
+def test_language_model_long_documents_share_no_windows_of_their_own():
+    """A document of 9,000 tokens beside 300 short ones: every token is in one window, and the windows are about as
+    many as the tokens fill, not one for each 16 of the long document; its cuts stay where they were."""
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, lm.TOP + lm.TAILS, n).astype(np.int32) for n in (9000, *rng.integers(1, 40, 300))]
+    streams = lm.Streams(docs)
+    windows = list(streams.windows())
+    assert sorted(p for at, live in windows for p in at[live]) == list(range(len(streams.codes)))
+    assert len(windows) < 20 and all(len(at) <= lm.STEPS or len(at) % lm.STEPS == 0 for at, _ in windows)
+    w = {k: v.astype(float) * 3 for k, v in lm.fresh().items()}
+    x = rng.integers(0, lm.START, (3 * lm.STEPS, 2))
+    x[[0, 20], [0, 1]] = lm.START
+    to_states = rng.standard_normal((*x.shape, lm.HIDDEN))
+    h = np.zeros((2, lm.HIDDEN))
+    whole, parts = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    keep = []
+    states = lm.forward(w, x, h, keep)
+    lm.backward(w, x, keep, to_states, whole)
+    for k in range(0, len(x), lm.STEPS):
+        keep = []
+        own = lm.forward(w, x[k : k + lm.STEPS], h, keep)
+        lm.backward(w, x[k : k + lm.STEPS], keep, to_states[k : k + lm.STEPS], parts)
+        assert np.allclose(own, states[k : k + lm.STEPS])
+        h = own[-1]
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-4, atol=1e-5) for k in w)
+
+
+def test_language_model_states_equal_a_plain_recurrence():
+    w, rng = lm.fresh(), np.random.default_rng(6)
+    doc = rng.integers(0, lm.TOP + lm.TAILS, 70)
+    n, h, total = lm.HIDDEN, np.zeros(lm.HIDDEN), 0.0
+    for before, code in zip([lm.START, *doc[:-1]], doc):
+        a, u = w["E"][before], h @ w["U"]
+        r, z = (1 / (1 + np.exp(-(a[k * n : k * n + n] + u[k * n : k * n + n]))) for k in (0, 1))
+        h = (1 - z) * np.tanh(a[2 * n :] + r * u[2 * n :]) + z * h
+        c = int(lm.classes_of(code))
+        weights = [(w["C"], c)] + ([(w["W"][c], code % lm.IN_CLASS)] if code < lm.TOP else [])
+        for m, k in weights:
+            logits = h @ m[:n] + m[n]
+            total += logits[k] - np.log(np.exp(logits).sum())
+    short = [doc[:5].astype(np.int32)] * 3
+    assert lm.log_probabilities(w, [*short, doc.astype(np.int32)])[3] == pytest.approx(total / np.log(10), rel=1e-5)
+
+
 def test_language_model_warm_start_never_vanishes():
     assert lm.below(10) == 1 << 64 and lm.below(10**13) == (lm.WARM << 64) // 10**13 and lm.below(10**30) == 1 << 20
 
