@@ -200,7 +200,7 @@ class Restorer:
         return "".join([*out, token[done:]]) if out else token
 
     def token(self, token: str) -> str:
-        if not _ODD.search(token) and not _RUN.search(token) and not SPACED.match(token):
+        if not _ODD.search(token) and not _RUN.search(token) and not (token[1:2] in _SIGNS and SPACED.match(token)):
             return token
         if token not in self.known:
             if len(self.known) > 100_000:
@@ -209,24 +209,79 @@ class Restorer:
             self.known[token] = token if 0 < at < token.rfind(".") - 1 else self._mixed(SPACED.sub(self._spaced, token))
         return self.known[token]
 
-    def gaps(self, text: str, tokens) -> str:
-        """The text with its spaced letters drawn together, if three tokens of one letter follow each other."""
-        single = {t for t in tokens if len(t) < 3 and sum(map(str.isalnum, t)) == 1}
-        if len(single) and sum(map(tokens.__getitem__, single)) > 2 and b"\1\1\1" in bytes(map((single | _SIGNS).__contains__, text.split())):
+    def words(self, token: str) -> list[str]:
+        """The words of the restored token, lower case."""
+        return _WORD.findall(self.token(token).lower())
+
+    def gaps(self, text: str, kinds: bytes) -> str:
+        """The text with its spaced letters drawn together, if three tokens of one letter follow each other.
+        kinds: of each token of the text."""
+        if b"\1\1\1" in kinds.translate(_LETTER_OR_SIGN) and kinds.translate(_ONE_LETTER).count(1) > 2:
             return SPACED.sub(self._spaced, text)
         return text
 
     def __call__(self, text: str) -> str:
-        return re.sub(r"\S+", lambda m: self.token(m[0]), self.gaps(text, Counter(text.split())))
+        return re.sub(r"\S+", lambda m: self.token(m[0]), self.gaps(text, bytes(map(kind_of, text.split()))))
 
 
-_WORD = re.compile(r"[^\W\d_]+")
-BEGINNINGS = range(4, 10)
+#: What a byte says of a token: its number of words, MANY for that or more, and the flags.
+MANY, LETTER, SIGN, HIT = 7, 8, 16, 32
+_LETTER_OR_SIGN, _ONE_LETTER = (bytes(bool(k & flags) for k in range(256)) for flags in (LETTER | SIGN, LETTER))
+
+
+def kind_of(token: str) -> int:
+    """The flags that a token has by itself: a single letter or digit, or a sign that may stand between such."""
+    return (LETTER if len(token) < 3 and sum(map(str.isalnum, token)) == 1 else 0) | (SIGN if token in _SIGNS else 0)
+
+
+class Kinds(dict):
+    """The byte of each token met, worked out once: kinds[token]. What doesn't fit in it: `many` has the number of
+    words of tokens with MANY, `hits` the units of tokens with a HIT."""
+
+    def __init__(self, restore: Restorer, units, most: int = 500_000):
+        """units: the units of a word that count."""
+        super().__init__()
+        self.restore, self.units, self.most, self.many, self.hits, self.plain = restore, units, most, {}, {}, {}
+
+    def __missing__(self, token: str) -> int:
+        n, plain = 1, token.lower().rstrip(".,;:?\"'")
+        own = self.plain.get(plain)
+        if own is None:
+            if plain.isalpha() and not _RUN.search(plain):  # a word and the signs after it: nothing to restore
+                own = self.plain[plain] = self.units(plain)
+            else:
+                words = self.restore.words(token)
+                n, own = len(words), [u for w in words for u in self.units(w)]
+        kind = kind_of(token) | min(n, MANY)
+        if n >= MANY:
+            self.many[token] = n
+        if own:
+            self.hits[token] = own
+            kind |= HIT
+        self[token] = kind
+        return kind
+
+    def of(self, text: str | None) -> tuple[list[str], np.ndarray]:
+        """The tokens of the text, spaced letters drawn together, and their bytes."""
+        if len(self) > self.most:
+            for found in (self, self.many, self.hits, self.plain):
+                found.clear()
+        tokens = (text or "").split()
+        kinds = bytes(map(self.__getitem__, tokens))
+        drawn = self.restore.gaps(text or "", kinds)
+        if drawn != (text or ""):
+            tokens = drawn.split()
+            kinds = bytes(map(self.__getitem__, tokens))
+        return tokens, np.frombuffer(kinds, np.uint8)
+
+    def total(self, tokens: list[str], kinds: np.ndarray) -> int:
+        """The number of words."""
+        n = kinds & MANY
+        return int(n.sum(dtype=np.int64)) + sum(self.many[tokens[k]] - MANY for k in np.flatnonzero(n == MANY).tolist())
 
 
-def units_of(word: str) -> list[str]:
-    """A word and its beginnings; the word itself is marked by its end."""
-    return [word + "$", *(word[:k] for k in BEGINNINGS if k < len(word))] if len(word) > 2 else []
+_WORD = re.compile(r"[^\W\d_]+")
+BEGINNINGS = range(4, 10)
 
 
 def levels(n: int, n_words: int) -> list[int]:
@@ -240,64 +295,63 @@ def head_of(word: str) -> int:
 
 
 def bases_of(word: str) -> tuple[int, ...]:
-    """A number for each of a word's units: the hash of the word's head, that of the unit, and three bits
-    for the level, which make it a feature."""
-    head = head_of(word)
-    return tuple(head | zlib.crc32(u.encode()) << 3 for u in units_of(word))
-
-
-def _words(text: str, restore: Restorer) -> Counter:
-    """Words of the restored text, lower case, with their counts."""
-    tokens = Counter(text.split())
-    drawn = restore.gaps(text, tokens)
-    words: Counter = Counter()
-    for t, n in (tokens if drawn == text else Counter(drawn.split())).items():
-        for w in _WORD.findall(restore.token(t).lower()):
-            words[w] += n
-    return words
-
-
-def _all_features(words: Counter, known: dict) -> list[int]:
-    total, units = sum(words.values()), Counter()
-    if len(known) > 200_000:
-        known.clear()
-    for w, n in words.items():
-        own = known.get(w)
-        if own is None:
-            own = known[w] = bases_of(w)
-        for u in own:
-            units[u] += n
-    return [u | k for u, n in units.items() for k in levels(n, total)]
+    """A number for each of a word's units, which are the word itself, marked by its end, and its beginnings: the
+    hash of the word's head, that of the unit, and three bits for the level, which make it a feature."""
+    n = len(word)
+    if n < 3:
+        return ()
+    head, raw = head_of(word), word.encode()
+    units = [raw + b"$", *([raw[:k] for k in BEGINNINGS if k < n] if len(raw) == n else [word[:k].encode() for k in BEGINNINGS if k < n])]
+    return tuple([head | zlib.crc32(u) << 3 for u in units])
+
+
+class Features:
+    """All features of a text, sorted."""
+
+    def __init__(self, model: np.ndarray):
+        self.kinds = Kinds(Restorer(model), self._units, 200_000)
+
+    def _units(self, word: str) -> list[bytes]:
+        """The bases of a word, as one string of bytes."""
+        return [np.array(own, np.int64).tobytes()] if (own := bases_of(word)) else []
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        tokens, kinds = self.kinds.of(text)
+        own, each = [], []
+        for t, n in Counter(tokens).items():
+            for bases in self.kinds.hits.get(t, ()):
+                own.append(bases)
+                each.append(n)
+        each = np.repeat(np.array(each, np.int64), [len(b) // 8 for b in own])
+        units, at = np.unique(np.frombuffer(b"".join(own), np.int64), return_inverse=True)
+        n, total = np.bincount(at, each, len(units)).astype(np.int64), self.kinds.total(tokens, kinds)
+        return np.sort(np.concatenate([units[on] | k for k, on in ((1, n > 0), (2, n >= 2), (3, n >= 4), (4, n * 150 >= total), (5, n * 40 >= total))]))
 
 
 class Scorer:
     """Scores of texts by the chosen features' weights."""
 
     def __init__(self, model: np.ndarray, weights: dict[int, float], bias: float):
-        self.restore, self.weights, self.bias, self.known = Restorer(model), weights, bias, {}
+        self.weights, self.bias = weights, bias
         self.bases = {f & ~7 for f in weights}
-        self.heads = {f >> 35 << 35 for f in weights}
-
-    def _units(self, token: str) -> tuple[tuple, int]:
-        """A token's units that any chosen feature has, and its number of words."""
-        if token not in self.known:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            words = _WORD.findall(self.restore.token(token).lower())
-            self.known[token] = tuple(u for w in words if head_of(w) in self.heads for u in bases_of(w) if u in self.bases), len(words)
-        return self.known[token]
+        self.heads, self.begun = {f >> 35 << 35 for f in weights}, {}
+        self.kinds = Kinds(Restorer(model), self._units)
+
+    def _units(self, word: str) -> list[int]:
+        """A word's units that any chosen feature has."""
+        begins = self.begun.get(word[:3])
+        if begins is None:
+            if len(self.begun) > 100_000:
+                self.begun.clear()
+            begins = self.begun[word[:3]] = head_of(word) in self.heads
+        return [u for u in bases_of(word) if u in self.bases] if begins else []
 
     def features(self, text: str | None) -> list[int]:
-        tokens = Counter((text or "").split())
-        drawn = self.restore.gaps(text or "", tokens)
-        if drawn != (text or ""):
-            tokens = Counter(drawn.split())
-        units, total = Counter(), 0
-        for t, n in tokens.items():
-            own, words = self._units(t)
-            total += n * words
-            for u in own:
-                units[u] += n
+        tokens, kinds = self.kinds.of(text)
+        total, units = self.kinds.total(tokens, kinds), Counter()
+        for k in np.flatnonzero(kinds & HIT).tolist():
+            for u in self.kinds.hits[tokens[k]]:
+                units[u] += 1
         return [f for u, n in units.items() for k in levels(n, total) if (f := u | k) in self.weights]
 
     def __call__(self, text: str | None) -> float:
@@ -335,9 +389,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     picked = fold.filter(F.xxhash64(doc_id).bitwiseAND((1 << 63) - 1) <= F.lit(max(0, bound - 1)).cast("long")).groupBy(doc_id).agg(F.max(label).alias("y"))  # at most about SAMPLE rows
     texts = docs.select(doc_id, text).join(F.broadcast(picked), doc_id).select("y", text)
 
+    made: list = []
+
     def look(ys, all_texts):
-        restore, known = Restorer(model), {}
-        return ys, [pack(np.unique(np.array(_all_features(_words(t or "", restore), known), np.int64))) for t in all_texts]
+        if not made:
+            made.append(Features(model))
+        return ys, [pack(made[0](t)) for t in all_texts]
 
     found = store(map_rows(texts.withColumn("y", F.col("y").cast("int")), look, fields("y int, features binary")), "labelled")
 
@@ -359,7 +416,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def keep(ys, blobs):
         wanted = np.array(sorted(names), np.int64)
-        return ys, [pack(np.intersect1d(unpack(b)[0], wanted)) for b in blobs]
+
+        def kept(own: np.ndarray) -> np.ndarray:
+            return own[wanted[np.searchsorted(wanted, own).clip(max=len(wanted) - 1)] == own]
+
+        return ys, [pack(kept(unpack(b)[0])) for b in blobs]
 
     rows = sorted((r[0], unpack(r[1])[0].tolist()) for r in map_rows(found, keep, fields("y int, features binary")).collect())  # at most about SAMPLE
     return model, *logistic(rows)

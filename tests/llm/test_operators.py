@@ -765,6 +765,46 @@ def test_toxicity_readings_and_scores(spark, odd):
     assert toxicity.score(odd.limit(0), trained).collect() == []
 
 
+def test_toxicity_features_equal_those_of_each_word(monkeypatch):
+    """Scorer and Features against units counted word by word, on junk too; a word met again with other signs or
+    capitals costs no second search of its letters."""
+    draw = random.Random(4)
+    model = toxicity.log_model(np.random.default_rng(2).random((toxicity._N,) * 3) * 50)
+    read = toxicity.Restorer(model)
+    pool = ["idiot", "Idiot.", "1d10t,", "i", "d", "o.", "-", "cl0wn", "aaa", "AAa", "ñandúes?", "ΟΔΟΣ.", "İİİ", "x²", "a.b.c", "one,two;three/four-five:six(seven)eight", "a@b.com", "", "\u2003", "weiß'", "st_u_p_id", "é" * 12, "12", "_"]
+    texts = [None, "", " \t"] + [" ".join(draw.choices(pool, k=draw.randint(1, 60))) for _ in range(300)]
+    texts += ["i d i o t " * 3, ("word " * 149 + "idiot ") * 2]
+
+    def plain(text):
+        words, units = re.findall(r"[^\W\d_]+", " ".join(read.token(t).lower() for t in re.sub(r"\s+", " ", drawn(text)).split())), {}
+        for w in words:
+            for u in [f"{w}$", *(w[:k] for k in range(4, 10) if k < len(w))] if len(w) > 2 else []:
+                base = (zlib.crc32(w[:3].encode()) & 0xFFFF) << 35 | zlib.crc32(u.encode()) << 3
+                units[base] = units.get(base, 0) + 1
+        return sorted({u | k for u, n in units.items() for k in toxicity.levels(n, len(words))})
+
+    def drawn(text):
+        tokens = (text or "").split()
+        single = {t for t in tokens if len(t) < 3 and sum(map(str.isalnum, t)) == 1}
+        row = b"\1\1\1" in bytes(t in single or t in ("-", ".", "_", "*") for t in tokens)
+        return toxicity.SPACED.sub(lambda m: toxicity.viterbi(m[0], model), text) if row and sum(t in single for t in tokens) > 2 else text or ""
+
+    every, wanted = toxicity.Features(model), [plain(t) for t in texts]
+    assert [every(t).tolist() for t in texts] == wanted
+    weights = {f: draw.uniform(-1, 1) for f in sorted({f for fs in wanted for f in fs}) if draw.random() < 0.3}
+    scorer = toxicity.Scorer(model, weights, 0.1)
+    for text, features in zip(texts, wanted):
+        assert sorted(scorer.features(text)) == [f for f in features if f in weights]
+        assert scorer(text) == pytest.approx(1 / (1 + np.exp(-0.1 - sum(weights.get(f, 0.0) for f in features))))
+    small = toxicity.Scorer(model, weights, 0.1)
+    small.kinds.most = 3  # what was kept is dropped between texts, again and again
+    assert [small(t) for t in texts] == [scorer(t) for t in texts]
+    calls, count = [], toxicity.bases_of
+    monkeypatch.setattr(toxicity, "bases_of", lambda word: calls.append(word) or count(word))
+    toxicity.Scorer(model, weights, 0.1).features("idiot Idiot idiot. IDIOT, idiot?\" " * 5)
+    assert len(calls) <= 1
+
+
 def test_toxicity_reads_all_words_of_a_token(spark):
     read = toxicity.Restorer(toxicity.log_model(toxicity.character_counts(spark.createDataFrame([("an idiot, a moron and stupid you say hello " * 9,)], "text string"))))
     for text, want in (("hello,1d10t", "hello,idiot"), ("you...stup1d", "you...stupid"), ("1d10t,m0r0n", "idiot,moron"), ("say:1d10t", "say:idiot"), ("'1d10t'm0r0n.stup1d", "'idiot'moron.stupid")):
