@@ -72,6 +72,25 @@ def totals(per_atom: DataFrame, cells: DataFrame) -> DataFrame:
     return out.withColumns({f"s_{n}": F.coalesce(F.when(F.col("volume") > 0, -F.col(f"w_{n}") / F.col("volume")), F.lit(0.0)) for n in has})
 
 
+def totals_of_pairs(evaluated: DataFrame, potential: Potential, cells: DataFrame, virial: bool = True) -> DataFrame:
+    """totals() by one sum over pairs in both directions that have each atom with itself, when no forces are wanted. Over
+    both directions of a pair the terms of slope_j df_i are those of slope_i df_j, so an atom's own slope times twice the
+    sum of df_j gives the same total; no pair has to know its partner's slope, and nothing is joined. The atoms' virials
+    are not those of forces_and_virials(). Without `virial` there are energies alone."""
+    other = F.col("i") != F.col("j")
+    of_pairs = lambda v: F.coalesce(F.sum(F.when(other, v)), F.lit(0.0))
+    over_r = {n: F.col(f"d{p}") * F.col(f"d{q}") / F.sqrt("r2") for n, p, q in VOIGT} if virial else {}
+    atoms = evaluated.groupBy("config_id", F.col("i").alias("atom_id")).agg(
+        F.first("ti").alias("type"),
+        of_pairs(F.col("f_j")).alias("rho"),
+        of_pairs(F.col("phi") / 2).alias("pair_energy"),
+        *(of_pairs(F.col("df_j") * v).alias(f"u_{n}") for n, v in over_r.items()),
+        *(of_pairs(F.col("dphi") * v).alias(f"v_{n}") for n, v in over_r.items()),
+    )
+    per = potential.at_atoms(atoms).withColumn("energy", F.col("embedding") + F.col("pair_energy"))
+    return totals(per.withColumns({f"w_{n}": F.lit(-0.5) * (F.lit(2.0) * F.col("dembedding") * F.col(f"u_{n}") + F.col(f"v_{n}")) for n in over_r}), cells)
+
+
 def atom_stresses(per_atom: DataFrame, cells: DataFrame) -> DataFrame:
     """per_atom with s_* = -N / V w_*, whose mean over atoms is the configuration's stress."""
     space = cells.select("config_id", F.when(F.col("pbc"), G.volume()).alias("volume"))

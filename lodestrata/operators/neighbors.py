@@ -5,11 +5,12 @@ The cell-list join bins atoms in a grid of at least the cutoff's width, deals ea
 by size, in place of the nested loop that a distance condition alone would be. Only ids, types and
 coordinates are multiplied. On axes of fewer than three cells, the cells around are distinct ones, so
 no pair is found twice. Displacements are minimum images; the cutoff is strict, and so is the lower
-bound, which leaves out an atom and its image at the same place."""
+bound, which leaves out an atom and its image at the same place. A join tests the squared distance by the cell's
+metric with some slack, which is arithmetic alone; only what passes gets its displacement and the exact test."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -22,12 +23,27 @@ ALL_PAIRS_UP_TO = 700
 _CELL = ["cx", "cy", "cz"]
 
 
+#: Products of a cell's lattice vectors: |d|^2 of a fractional displacement.
+_METRIC = {f"g{i}{j}": (i, j) for i in range(3) for j in range(i, 3)}
+#: Slack of the test before the exact one, far above the rounding of either.
+_SLACK = 1 + 1e-6
+
+
 def _positions(atoms: DataFrame, cells: DataFrame, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
-    """atoms with their cell's geometry, unless they have it."""
+    """atoms with their cell's geometry, and q0, q1, q2: fractional coordinates, in clusters Cartesian ones under a unit
+    matrix and without images (wrap 0). Coordinates that can't be had are NaN, which is near to nothing."""
     keys = ["config_id", *(b for b in by if b in cells.columns)]
-    geometry = G.with_geometry(cells).select(*keys, "pbc", *(c for r in (*G.H, *G.INV) for c in r), *(f"height{k}" for k in range(3)))
+    unit = {c: F.when(F.col("pbc"), F.col(c)).otherwise(F.lit(float(i == j))) for i, r in enumerate(G.H) for j, c in enumerate(r)}
+    known = lambda v: F.coalesce(v.cast("double"), F.lit(float("nan")))
+    geometry = G.with_geometry(cells).withColumns({**unit, "wrap": F.when(F.col("pbc"), 1.0).otherwise(0.0)})
+    geometry = geometry.withColumns({c: known(F.col(c)) for r in G.H for c in r})
+    geometry = geometry.withColumns({f"d{k}": known(F.when(F.col("pbc"), F.col(f"height{k}")).otherwise(F.lit(1.0))) for k in range(3)})
+    h = G.vectors()
+    geometry = geometry.withColumns({g: sum((p * q for p, q in zip(h[i], h[j])), F.lit(0.0)) for g, (i, j) in _METRIC.items()})
+    geometry = geometry.select(*keys, "pbc", "wrap", "d0", "d1", "d2", *_METRIC, *(c for r in (*G.H, *G.INV) for c in r), *(f"height{k}" for k in range(3)))
     placed = atoms.select("config_id", *by, "atom_id", "type", "x", "y", "z", *carry).join(geometry, keys)
-    return placed.withColumns({f"s{k}": s for k, s in enumerate(G.fractional("x", "y", "z"))})
+    placed = placed.withColumns({f"s{k}": s for k, s in enumerate(G.fractional("x", "y", "z"))})
+    return placed.withColumns({f"q{k}": known(F.when(F.col("pbc"), F.col(f"s{k}")).otherwise(F.col(c))) for k, c in enumerate("xyz")})
 
 
 def kinds_of(cells: DataFrame) -> frozenset:
@@ -69,27 +85,40 @@ def stencil(binned: DataFrame) -> DataFrame:
     return binned
 
 
+def _image() -> list[Column]:
+    """The displacement to the partner in q, its shortest image where there are images."""
+    off = [F.col(f"jq{k}") - F.col(f"q{k}") for k in range(3)]
+    return [o - F.col("wrap") * F.rint(o) for o in off]
+
+
+def _close(both: DataFrame, reach: float) -> DataFrame:
+    """both without the pairs beyond the reach, but for the slack: first by the distance between a pair's planes along each
+    axis, then by the distance itself."""
+    m, g = _image(), {k: F.col(k) for k in _METRIC}
+    for k in range(3):
+        both = both.filter(F.abs(m[k]) * F.col(f"d{k}") < reach * _SLACK)
+    r2 = m[0] * (g["g00"] * m[0] + F.lit(2.0) * (g["g01"] * m[1] + g["g02"] * m[2])) + m[1] * (g["g11"] * m[1] + F.lit(2.0) * g["g12"] * m[2]) + g["g22"] * m[2] * m[2]
+    return both.filter(r2 < reach * reach * _SLACK)
+
+
 def _displaced(both: DataFrame, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """both with dx, dy, dz, r2. The generator keeps the optimizer from writing the displacement out
     again for each use of it in the join's condition."""
-    off = [F.col(f"js{k}") - F.col(f"s{k}") for k in range(3)]
-    moved = G.cartesian([s - F.rint(s) for s in off])
-    plain = [F.col(f"j{a}") - F.col(a) for a in "xyz"]
-    d = F.struct(*(F.when(F.col("pbc"), m).otherwise(p).alias(f"d{a}") for m, p, a in zip(moved, plain, "xyz")))
+    d = F.struct(*(v.alias(f"d{a}") for v, a in zip(G.cartesian(_image()), "xyz")))
     found = both.select("config_id", *by, "atom_id", "j_id", "type", "j_type", *carry, *(f"j_{c}" for c in carry), F.inline(F.array(d)))
     return found.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
 
 
 def _within(both: DataFrame, cutoff: float, lowest: float | None, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
-    found = _displaced(both, carry, by)
+    found = _displaced(_close(both, cutoff), carry, by)
     found = found.filter(F.col("r2") < cutoff * cutoff)
     if lowest is not None:
-        found = found.filter(F.col("r2") > lowest)
+        found = found.filter((F.col("r2") > lowest) | (F.col("atom_id") == F.col("j_id")))
     return found.select("config_id", *by, F.col("atom_id").alias("i"), F.col("j_id").alias("j"), F.col("type").alias("ti"), F.col("j_type").alias("tj"), "dx", "dy", "dz", "r2", *(F.col(c).alias(f"{c}_i") for c in carry), *(F.col(f"j_{c}").alias(f"{c}_j") for c in carry))
 
 
 def _partners(atoms: DataFrame, *keys: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    return atoms.select("config_id", *keys, F.col("atom_id").alias("j_id"), F.col("type").alias("j_type"), *(F.col(a).alias(f"j{a}") for a in ("x", "y", "z", "s0", "s1", "s2")), *(F.col(c).alias(f"j_{c}") for c in carry))
+    return atoms.select("config_id", *keys, F.col("atom_id").alias("j_id"), F.col("type").alias("j_type"), *(F.col(f"q{k}").alias(f"jq{k}") for k in range(3)), *(F.col(c).alias(f"j_{c}") for c in carry))
 
 
 def cell_list_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = (), width: float | None = None, by: tuple[str, ...] = (), kinds: frozenset | None = None) -> DataFrame:
@@ -98,17 +127,18 @@ def cell_list_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: flo
     is to be more than the reach. `by`: keys besides config_id that both atoms of a pair share."""
     reach = cutoff + skin
     binned = assign_cells(atoms, cells, max(reach, width or 0.0), carry, by, kinds)
-    both = stencil(binned).join(_partners(binned, *by, *_CELL, carry=carry), ["config_id", *by, *_CELL])
+    both = binned.join(_partners(stencil(binned), *by, *_CELL, carry=carry), ["config_id", *by, *_CELL])
     both = both.filter(F.col("atom_id") < F.col("j_id") if half else F.col("atom_id") != F.col("j_id"))
     return _within(both, reach, lowest, carry, by)
 
 
-def all_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = (), kinds: frozenset | None = None) -> DataFrame:
-    """The same pairs by comparing all atoms of a configuration; for small configurations."""
+def all_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = (), kinds: frozenset | None = None, itself: bool = False) -> DataFrame:
+    """The same pairs by comparing all atoms of a configuration; for small configurations. `itself` adds each atom with
+    itself (i = j, r2 = 0), so that sums over i have a row for all atoms whose place is known."""
     placed = _positions(atoms, cells, carry)
     both = placed.join(_partners(placed, carry=carry), "config_id")
-    both = both.filter(F.col("atom_id") < F.col("j_id") if half else F.col("atom_id") != F.col("j_id"))
-    return _within(both, cutoff + skin, lowest, carry)
+    order = F.col("atom_id") < F.col("j_id") if half else F.col("atom_id") != F.col("j_id")
+    return _within(both if itself else both.filter(order), cutoff + skin, lowest, carry)
 
 
 def chosen(atoms: DataFrame) -> str:
@@ -182,7 +212,7 @@ def occupancy(binned: DataFrame) -> DataFrame:
 def visit_statistics(atoms: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
     """(config_id, visits, hits): ordered pairs that the stencil compares, and those within the cutoff."""
     binned = assign_cells(atoms, cells, cutoff)
-    both = stencil(binned).join(_partners(binned, *_CELL), ["config_id", *_CELL]).filter("atom_id <> j_id")
+    both = binned.join(_partners(stencil(binned), *_CELL), ["config_id", *_CELL]).filter("atom_id <> j_id")
     r2 = F.col("r2")
     return _displaced(both).groupBy("config_id").agg(F.count("*").alias("visits"), F.count_if((r2 < cutoff * cutoff) & (r2 > LOWEST_R2)).alias("hits"))
 
@@ -192,7 +222,7 @@ def nearest_sites(atoms: DataFrame, sites: DataFrame, cells: DataFrame, radius:
     radius, the lower site of two at the same distance. Atoms and sites are joined by cells."""
     binned = assign_cells(atoms, cells, radius)
     placed = assign_cells(sites.select("config_id", F.col("site_id").alias("atom_id"), F.lit(0).alias("type"), "x", "y", "z"), cells, radius)
-    near = _within(stencil(binned).join(_partners(placed, *_CELL), ["config_id", *_CELL]), radius, None)
+    near = _within(binned.join(_partners(stencil(placed), *_CELL), ["config_id", *_CELL]), radius, None)
     best = near.groupBy("config_id", F.col("i").alias("atom_id")).agg(F.min(F.struct("r2", F.col("j").alias("site_id"))).alias("b"))
     return best.select("config_id", "atom_id", "b.site_id", F.col("b.r2").alias("d2"))
 

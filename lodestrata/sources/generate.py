@@ -28,6 +28,8 @@ SYSTEMS = {
     "triclinic": (1, 0.10, 0.20, 0.15, 1.10, 0.25, 0.05, 0.30, 1.20),
 }
 PRIMES = (7919, 104729, 1299709)
+#: Atoms of an ensemble that a task holds, about.
+ATOMS_OF_A_TASK = 100_000
 NINE = [f"{i}{j}" for i in range(3) for j in range(3)]
 
 
@@ -95,6 +97,21 @@ def deform(atoms: DataFrame, cells: DataFrame, strains: DataFrame) -> tuple[Data
     return new_atoms, new_cells
 
 
+def ensemble(atoms: DataFrame, cells: DataFrame, strains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """deform() of small crystals under many deformations. The deformations are dealt out by config_id before they get
+    their atoms, which are broadcast as those of a few crystals, so joins and sums within a configuration move nothing
+    afterwards. Parts are as many as keep a task's atoms few."""
+    spark = strains.sparkSession
+    rows = strains.count() * atoms.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / ATOMS_OF_A_TASK))
+    m = [[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)]
+    each = cells.withColumnRenamed("config_id", "base_").crossJoin(strains).withColumn("config_id", F.concat_ws("/", "base_", "name")).repartition(parts, "config_id")
+    moved = [sum((F.col(c) * m[k][j] for k, c in enumerate("xyz")), F.lit(0.0)) for j in range(3)]
+    sites = F.broadcast(atoms.withColumnRenamed("config_id", "base_"))
+    new_atoms = each.join(sites, "base_").select("config_id", "atom_id", "type", *(v.alias(c) for v, c in zip(moved, "xyz")))
+    return new_atoms, each.select("config_id", "pbc", *(v.alias(k) for k, v in G.strained().items()))
+
+
 def deformations(spark: SparkSession, rows: list[tuple[str, tuple]]) -> DataFrame:
     return literal(spark, [(n, *map(float, m)) for n, m in rows], "name string, " + ", ".join(f"m{k} double" for k in NINE))
 
