@@ -64,3 +64,22 @@ def test_pairs_near_the_cutoff_are_whole(spark):
     half = neighbors.all_pairs(atoms, cells, d, half=True)
     assert half.count() * 2 == neighbors.all_pairs(atoms, cells, d).count()
     assert half.filter(F.col("i") >= F.col("j")).count() == 0
+
+
+def test_tiles_compare_all_pairs(spark):
+    """Configurations of one tile and of many, periodic and not: the pairs of the plain form, each in both directions once."""
+    big = generate.rattled(generate.lattice(spark, "b2", 3.1, (5, 5, 5), "big"), 0.3)
+    small = big.filter("atom_id < 9").withColumn("config_id", F.lit("small"))
+    open_ = big.filter("atom_id < 120").withColumn("config_id", F.lit("open"))
+    atoms = big.unionByName(small).unionByName(open_)
+    cells = generate.matrices(spark, [(c, m) for c, m in (("big", (15.5, 0, 0, 2, 15.5, 0, 0, 1, 15.5)), ("small", (15.5, 0, 0, 0, 15.5, 0, 0, 0, 15.5)), ("open", None))])
+    columns = ["config_id", "i", "j", "ti", "tj", "dx", "dy", "dz", "r2"]
+    want = sorted(map(tuple, neighbors.all_pairs(atoms, cells, RC).select(*columns).collect()))
+    for most in (40, 100_000):
+        assert sorted(map(tuple, neighbors.tiled_pairs(atoms, cells, RC, most=most).select(*columns).collect())) == want
+    assert len(want) > 3000 and neighbors.tiled_pairs(atoms.limit(0), cells, RC).count() == 0
+
+
+def test_all_pairs_of_a_large_configuration_are_many_tasks(spark):
+    """The key of the query's join has the tile, so no task compares a whole configuration."""
+    assert "tile_" in "".join(re.findall(r"SortMergeJoin \[.*?\], \[.*?\]", _plan(catalog.QUERIES["pairs_allpairs"](spark, SF))))
