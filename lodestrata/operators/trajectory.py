@@ -41,12 +41,14 @@ def rdf_over_frames(traj: DataFrame, cells: DataFrame, r_max: float, bins: int)
     """(config_id, bin, r, g, deviation, n_frames): mean and deviation over all frames with two atoms or more.
 
     All frames are one neighbour join on (config_id, frame, cell); counts are summed before the shuffle, and a
-    frame without a pair in a bin counts as 0 there. Cells may have a frame column of their own."""
+    frame without a pair in a bin counts as 0 there. Cells may have a frame column of their own. Atoms of a frame at the
+    same place, which are no pair, are one place with their number: a pair of places counts for the product, twice."""
     dr = r_max / bins
-    atoms = traj.select("config_id", "frame", "atom_id", F.lit(0).alias("type"), "x", "y", "z")
-    found = neighbors.cell_list_pairs(atoms, cells, r_max, lowest=0.0, by=("frame",))
+    places = traj.groupBy("config_id", "frame", "x", "y", "z").agg(F.count("*").alias("held"), F.min("atom_id").alias("atom_id"))
+    places = places.select("config_id", "frame", "atom_id", F.lit(0).alias("type"), "x", "y", "z", "held")
+    found = neighbors.cell_list_pairs(places, cells, r_max, lowest=0.0, half=True, carry=("held",), by=("frame",))
     k = F.least(F.floor(F.sqrt("r2") / dr), F.lit(bins - 1)).cast("int")
-    counts = found.groupBy("config_id", "frame", k.alias("bin")).agg(F.count("*").alias("n"))
+    counts = found.groupBy("config_id", "frame", k.alias("bin")).agg((F.lit(2) * F.sum(F.col("held_i") * F.col("held_j"))).alias("n"))
     keys = ["config_id", "frame"] if "frame" in cells.columns else ["config_id"]
     sizes = traj.groupBy("config_id", "frame").agg(F.count("*").alias("n_atoms")).filter("n_atoms > 1")
     sizes = sizes.join(G.with_geometry(cells).select(*keys, "volume"), keys)

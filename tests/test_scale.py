@@ -1,5 +1,6 @@
 """Work that grows with the tables: what is moved between tasks, what is compared, and that results stay whole."""
 
+import math
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata import catalog
 from lodestrata.functions.potentials import AnalyticPotential
-from lodestrata.operators import eam, neighbors
+from lodestrata.operators import eam, neighbors, trajectory
 from lodestrata.sources import generate
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +84,20 @@ def test_tiles_compare_all_pairs(spark):
 def test_all_pairs_of_a_large_configuration_are_many_tasks(spark):
     """The key of the query's join has the tile, so no task compares a whole configuration."""
     assert "tile_" in "".join(re.findall(r"SortMergeJoin \[.*?\], \[.*?\]", _plan(catalog.QUERIES["pairs_allpairs"](spark, SF))))
+
+
+def test_rdf_counts_places_for_all_that_hold_them(spark):
+    """Three hundred atoms at three places: pairs of places stand for all pairs of atoms, those at one place for none."""
+    xs = (1.0, 4.0, 8.5)
+    rows = [("c", f, k, xs[k % 3 if k % 7 else 0], 2.0, 3.0) for f in (0, 1) for k in range(300)]
+    traj = spark.createDataFrame(rows, "config_id string, frame int, atom_id long, x double, y double, z double")
+    got = {r.bin: r.g for r in trajectory.rdf_over_frames(traj, generate.orthorhombic(spark, [("c", 40.0, 40.0, 40.0)]), 7.0, 20).collect()}
+    held = [sum(r[3] == x for r in rows if r[1] == 0) for x in xs]
+    shell = lambda k: 300 * 299 / 64000 * 4 / 3 * math.pi * 0.35**3 * ((k + 1) ** 3 - k**3)
+    want = {8: 2 * held[0] * held[1] / shell(8), 12: 2 * held[1] * held[2] / shell(12)}
+    assert set(got) == set(range(20)) and {k: pytest.approx(v) for k, v in want.items()} == {k: v for k, v in got.items() if v}
+
+
+def test_frames_are_joined_by_places(spark):
+    plan = _plan(catalog.QUERIES["rdf_frames"](spark, SF))
+    assert "sum((held_i" in plan and "Generate explode(CASE WHEN pbc" in plan
