@@ -81,9 +81,11 @@ def test_tiles_compare_all_pairs(spark):
     assert len(want) > 3000 and neighbors.tiled_pairs(atoms.limit(0), cells, RC).count() == 0
 
 
-def test_all_pairs_of_a_large_configuration_are_many_tasks(spark):
-    """The key of the query's join has the tile, so no task compares a whole configuration."""
-    assert "tile_" in "".join(re.findall(r"SortMergeJoin \[.*?\], \[.*?\]", _plan(catalog.QUERIES["pairs_allpairs"](spark, SF))))
+@pytest.mark.parametrize("name", ["pairs_allpairs", "pairs_triclinic"])
+def test_all_pairs_of_a_large_configuration_are_many_tasks(spark, name):
+    """The key of the query's join has the tile, so no task compares a whole configuration, and no stencil multiplies a dense one."""
+    plan = _plan(catalog.QUERIES[name](spark, SF))
+    assert "tile_" in "".join(re.findall(r"SortMergeJoin \[.*?\], \[.*?\]", plan)) and "explode(CASE WHEN pbc" not in plan
 
 
 def test_rdf_counts_places_for_all_that_hold_them(spark):
