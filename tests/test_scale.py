@@ -81,7 +81,7 @@ def test_tiles_compare_all_pairs(spark):
     assert len(want) > 3000 and neighbors.tiled_pairs(atoms.limit(0), cells, RC).count() == 0
 
 
-@pytest.mark.parametrize("name", ["pairs_allpairs", "pairs_triclinic"])
+@pytest.mark.parametrize("name", ["pairs_allpairs", "pairs_triclinic", "pairs_cluster"])
 def test_all_pairs_of_a_large_configuration_are_many_tasks(spark, name):
     """The key of the query's join has the tile, so no task compares a whole configuration, and no stencil multiplies a dense one."""
     plan = _plan(catalog.QUERIES[name](spark, SF))
