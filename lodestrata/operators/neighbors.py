@@ -22,6 +22,8 @@ from .stored import stored
 LOWEST_R2 = 1e-4
 #: Atoms in a configuration up to which all pairs are compared when no strategy is asked for.
 ALL_PAIRS_UP_TO = 700
+#: Most cells of a block on an axis.
+BLOCK = 3
 #: Atoms of a tile where all pairs of a large configuration are compared.
 TILE = 8192
 _CELL = ["cx", "cy", "cz"]
@@ -136,6 +138,41 @@ def cell_list_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: flo
     return _within(both, reach, lowest, carry, by)
 
 
+def _block(cell: Column, n: Column) -> Column:
+    """Number, on an axis of n cells, of the block of at most BLOCK cells that has the cell; blocks are about equal."""
+    return F.floor(cell * F.ceil(n / BLOCK) / n)
+
+
+def _blocks_around(cell: str, n: str) -> Column:
+    return F.array_distinct(F.transform(_around(cell, n), lambda c: _block(c, F.col(n))))
+
+
+def blocked_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, kinds: frozenset | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """cell_list_pairs() for many atoms of an even density, with the atom's block as block_. Atoms are dealt to the blocks of
+    cells where they may have partners, a few in place of 27 cells, and compared with all that are there. All partners of
+    an atom are in its block, so what is summed by config_id, block_ and i isn't moved again. `lists` (config_id, i, list)
+    keep the pairs that they have: a list goes with its atom."""
+    binned = assign_cells(atoms, cells, cutoff + skin, kinds=kinds)
+    count = {a: F.ceil(F.col(f"n{a}") / BLOCK) for a in "xyz"}
+    number = lambda x, y, z: ((x * count["y"] + y) * count["z"] + z).alias("block_")
+    home, extra = binned.select("*", number(*(_block(F.col(f"c{a}"), F.col(f"n{a}")) for a in "xyz"))), ["block_"]
+    if lists is not None:
+        home, extra = home.join(lists.select("config_id", F.col("i").alias("atom_id"), "list"), ["config_id", "atom_id"]), ["block_", "list"]
+    far = binned
+    for a in "xyz":
+        far = far.withColumn(f"b{a}", F.explode(_blocks_around(f"c{a}", f"n{a}")))
+    far = _partners(far.select("*", number(*(F.col(f"b{a}") for a in "xyz"))), "block_")
+    both = home.join(far.hint("merge"), ["config_id", "block_"]).filter(F.col("atom_id") != F.col("j_id"))
+    found = _within(both, cutoff + skin, lowest, by=tuple(extra))
+    return found if lists is None else found.filter(F.array_contains("list", F.col("j"))).drop("list")
+
+
+def lists_alone(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float) -> DataFrame:
+    """(config_id, i, list): sorted neighbours within cutoff + skin, of atoms that have any; made in the atoms' blocks."""
+    found = blocked_pairs(atoms, cells, cutoff, skin, lowest=None)
+    return found.groupBy("config_id", "block_", "i").agg(F.sort_array(F.collect_list("j")).alias("list")).drop("block_")
+
+
 def all_pairs(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float = 0.0, lowest: float | None = LOWEST_R2, half: bool = False, carry: tuple[str, ...] = (), kinds: frozenset | None = None, itself: bool = False) -> DataFrame:
     """The same pairs by comparing all atoms of a configuration; for small configurations. `itself` adds each atom with
     itself (i = j, r2 = 0), so that sums over i have a row for all atoms whose place is known."""
@@ -190,12 +227,15 @@ def mirrored(half: DataFrame) -> DataFrame:
     return half.unionByName(back)
 
 
-def neighbor_lists(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float | None = None, find=cell_list_pairs) -> DataFrame:
+def neighbor_lists(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float | None = None, find=None) -> DataFrame:
     """(config_id, i, start, n, list): sorted neighbours within cutoff + skin (1 % unless given), without
     a lower bound; start counts those of the atoms before. An atom's list is bounded by its density.
-    `find` gives the pairs; all_pairs does for small configurations."""
-    found = find(atoms, cells, cutoff, 0.01 * cutoff if skin is None else skin, lowest=None)
-    lists = found.groupBy("config_id", "i").agg(F.sort_array(F.collect_list("j")).alias("list"))
+    `find` gives the pairs in place of blocks; all_pairs does for small configurations."""
+    skin = 0.01 * cutoff if skin is None else skin
+    if find is None:
+        lists = lists_alone(atoms, cells, cutoff, skin)
+    else:
+        lists = find(atoms, cells, cutoff, skin, lowest=None).groupBy("config_id", "i").agg(F.sort_array(F.collect_list("j")).alias("list"))
     every = atoms.select("config_id", F.col("atom_id").alias("i")).join(lists, ["config_id", "i"], "left")
     every = every.select("config_id", "i", F.coalesce("list", F.array().cast("array<bigint>")).alias("list")).withColumn("n", F.size("list"))
     every = stored(every, "lists")  # used for the sums and for the result
@@ -204,11 +244,10 @@ def neighbor_lists(atoms: DataFrame, cells: DataFrame, cutoff: float, skin: floa
 
 
 def pairs_of_lists(lists: DataFrame, atoms: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
-    """Pairs within the cutoff from neighbour lists made with a skin, at the atoms' present positions."""
-    listed = lists.select("config_id", F.col("i").alias("atom_id"), F.explode("list").alias("j_id"))
-    placed = _positions(atoms, cells)
-    both = listed.join(placed, ["config_id", "atom_id"]).join(_partners(placed), ["config_id", "j_id"])
-    return _within(both, cutoff, LOWEST_R2)
+    """Pairs within the cutoff from neighbour lists made with a skin, at the atoms' present positions. A list goes with its
+    atom to the atom's block, where all that is within the cutoff is, and says which of it are its own; entries as rows
+    would be moved to either atom. A list is a set: an entry twice is one pair."""
+    return blocked_pairs(atoms, cells, cutoff, lists=lists).drop("block_")
 
 
 def largest_moves(before: DataFrame, atoms: DataFrame, cells: DataFrame) -> DataFrame:
@@ -225,11 +264,13 @@ def largest_moves(before: DataFrame, atoms: DataFrame, cells: DataFrame) -> Data
 def current_lists(lists: DataFrame, before: DataFrame, atoms: DataFrame, cells: DataFrame, cutoff: float, skin: float) -> tuple[DataFrame, DataFrame]:
     """(lists good for the atoms as they are, (config_id, moved, stale)). Lists made with a skin from the atoms
     before hold all pairs while no atom has gone further than half of it; only configurations over that get
-    new ones. One aggregate over atoms decides; a handful of bytes for each configuration is joined."""
+    new ones. One aggregate over atoms decides; a handful of bytes for each configuration is joined. New lists have
+    the columns of those given: neighbor_lists() or lists_alone()."""
     state = stored(largest_moves(before, atoms, cells).withColumn("stale", F.coalesce(F.col("moved") * 2 > skin, F.lit(True))), "moves")
     stale = state.filter("stale").select("config_id")
     kept = lists.join(state.filter("not stale").select("config_id"), "config_id", "left_semi")
-    new = neighbor_lists(atoms.join(stale, "config_id", "left_semi"), cells.join(stale, "config_id", "left_semi"), cutoff, skin)
+    make = neighbor_lists if "start" in lists.columns else lists_alone
+    new = make(atoms.join(stale, "config_id", "left_semi"), cells.join(stale, "config_id", "left_semi"), cutoff, skin)
     return kept.unionByName(new), state
 
 

@@ -103,3 +103,24 @@ def test_rdf_counts_places_for_all_that_hold_them(spark):
 def test_frames_are_joined_by_places(spark):
     plan = _plan(catalog.QUERIES["rdf_frames"](spark, SF))
     assert "sum((held_i" in plan and "Generate explode(CASE WHEN pbc" in plan
+
+
+@pytest.mark.parametrize("block", [1, 2, 8])
+def test_blocks_give_the_pairs_of_cells(spark, monkeypatch, block):
+    """Grids of one to nine cells on an axis, a skewed cell, a cluster; all pairs, and those of lists that have some of them."""
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    sites = generate.rattled(generate.lattice(spark, "b2", 2.0, (9, 5, 3), "long"), 0.4)
+    atoms = sites.unionByName(sites.withColumn("config_id", F.lit("skewed"))).unionByName(sites.filter("atom_id % 3 = 0").withColumn("config_id", F.lit("open")))
+    cells = generate.matrices(spark, [("long", (18.0, 0, 0, 0, 10.0, 0, 0, 0, 6.0)), ("skewed", (18.0, 3, 0, 1, 10.0, 0.5, 0, 1, 6.0)), ("open", None)])
+    want = set(map(tuple, neighbors.cell_list_pairs(atoms, cells, 2.0, 0.2).collect()))
+    got = list(map(tuple, neighbors.blocked_pairs(atoms, cells, 2.0, 0.2).drop("block_").collect()))
+    assert set(got) == want and len(got) == len(want) > 300
+    some = neighbors.lists_alone(atoms, cells, 2.2, 0.0).withColumn("list", F.filter("list", lambda j: (j + F.col("i")) % 3 > 0)).filter("i % 4 < 3")
+    got = list(map(tuple, neighbors.pairs_of_lists(some, atoms, cells, 2.2).collect()))
+    assert set(got) == {p for p in want if (p[1] + p[2]) % 3 and p[1] % 4 < 3} and len(got) == len(set(got))
+
+
+def test_entries_of_lists_are_not_moved(spark):
+    """Lists go to the blocks of their atoms; no exchange is by a partner or deals an atom to the cells around."""
+    plan = catalog.QUERIES["list_reuse"](spark, SF)
+    assert not _moved(plan) & {"j_id", "j", "cx"} and "block_" in _moved(plan)
